@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haystrata.llm import decontaminate, exact_dedup, mixing, quality, toxicity
+from haystrata.llm import decontaminate, exact_dedup, html_text, mixing, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,9 +37,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op4_toxicity, op5_exact_dedup, op7_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op4_toxicity, op5_exact_dedup, op6_html_extraction, op7_quality)}
 ORACLES: dict[str, str] = {}
