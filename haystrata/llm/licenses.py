@@ -92,7 +92,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     heads = sorted(set().union(*(guards(g, threshold) for _, g in known)))
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     low = docs.select(F.col(id_col).alias("id"), text.alias("low"))
-    low = low.withColumn("flat", _flat(F.col("low")))
     guarded = lambda flat: F.exists(F.split(F.lit("|".join(heads)), "[|]"), lambda h: F.contains(flat, h))
 
     def matched(units: Column, kind: str) -> Column:
@@ -104,10 +103,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     paragraphs = F.split("low", "\n[ \\t\\r]*\n")
     lines = F.split("low", "\n")
+    # the array of one binds the flat text, or it would be made again for every beginning
+    maybe = F.exists(F.array(_flat(F.col("low"))), guarded)
     none = F.expr("cast(array() as array<struct<unit:string,number:bigint,license:string,dice:double>>)")
     found = F.concat(
         matched(lines, "line"),
         F.when(F.size(paragraphs) > 1, matched(paragraphs, "paragraph")).otherwise(none),
         F.when(F.size(lines) > 1, matched(F.array(F.col("low")), "text")).otherwise(none),
     )
-    return low.select(F.col("id").alias(id_col), F.when(guarded(F.col("flat")), found).otherwise(none).alias("matches"))
+    return low.select(F.col("id").alias(id_col), F.when(maybe, found).otherwise(none).alias("matches"))
