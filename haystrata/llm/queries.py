@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haystrata.llm import decontaminate, exact_dedup, html_text, licenses, mixing, quality, secrets, substring_dedup, toxicity
+from haystrata.llm import decontaminate, exact_dedup, html_text, jaccard, licenses, mixing, quality, secrets, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,9 +60,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_read(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(_read(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_licenses, op4_toxicity, op5_exact_dedup, op6_html_extraction, op7_quality, op8_substring_dedup, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_licenses, op4_toxicity, op5_exact_dedup, op6_html_extraction, op7_quality, op8_substring_dedup, op9_jaccard_join, op10_secrets)}
 ORACLES: dict[str, str] = {}
