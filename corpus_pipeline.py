@@ -1,15 +1,63 @@
-"""Corpus pipeline: stages over documents, each written and read again as the next one's input."""
+"""Corpus pipeline: stages over documents, each written and read again as the next one's input.
+
+Documents that the quality classifier rejects go; of equal texts one stays; of each group of
+near duplicates (five-word shingles, Jaccard 0.8 or more) one stays; documents with a benchmark
+passage go; the rest is mixed to the sources' target weights, and the last stage returns how
+often each document is emitted.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from haystrata.llm import decontaminate, exact_dedup, jaccard, mixing, quality
+from haystrata.llm.scratch import materialise
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7."""
+    return quality.keep_good(docs, _table(spark, sf_dir, "labels"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5."""
+    return exact_dedup.without_copies(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9."""
+    return jaccard.one_of_each(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1."""
+    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: documents that the mix takes, with their number of copies."""
+    return mixing.mix(docs).filter(F.col("copies") > 0)
+
 
-STAGES = []
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("ngram_jaccard_join", near_stage),
+    ("benchmark_decontamination", benchmark_stage),
+    ("source_mixing", mixing_stage),
+]
+#: A trained classifier is not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages on the documents table."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -162,8 +162,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def _pass(block, last: bool, shard_words: int):
-    """One block's search; carries the text along unless it is the last."""
+def _pass(block, text: str, drop: bool, shard_words: int):
+    """One block's search; other columns are carried along, and the text unless it is to be dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shard = [], Shard(block.value)
@@ -183,11 +183,11 @@ def _pass(block, last: bool, shard_words: int):
                 table = table.set_column(table.schema.get_field_index("spans"), "spans", pa.array(old_spans, SPANS))
                 table = table.set_column(table.schema.get_field_index("items"), "items", pa.array(old_items, pa.list_(pa.string())))
             table = table.set_column(table.schema.get_field_index("n_words"), "n_words", pa.array(n_words, pa.int64()))
-            return (table.drop_columns(["text"]) if last else table).to_batches()
+            return (table.drop_columns([text]) if drop else table).to_batches()
 
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, text):
             held.append(piece)
-            shard.add(piece.column("text"))
+            shard.add(piece.column(text))
             if shard.size >= shard_words:
                 yield from flush()
                 held, shard = [], Shard(block.value)
@@ -197,17 +197,40 @@ def _pass(block, last: bool, shard_words: int):
     return run
 
 
+def _search(rows: DataFrame, text: str, keep_text: bool, blocks: list, shard_words: int) -> DataFrame:
+    """rows: n_words, spans, items and other columns of unambiguous names."""
+    for k, block in enumerate(blocks):
+        drop = not keep_text and k == len(blocks) - 1
+        schema = rows.schema if not drop else rows.drop(text).schema
+        rows = rows.mapInArrow(_pass(block, text, drop, shard_words), schema)
+    return rows
+
+
+def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str, window: int, block_words: int) -> list:
+    spark: SparkSession = benchmark.sparkSession
+    blocks = [spark.sparkContext.broadcast(b) for b in phrase_blocks(benchmark, item_id_col, item_text_col, window, block_words)]
+    return blocks or [spark.sparkContext.broadcast(PhraseBlock([], window))]
+
+
+def _nothing() -> tuple:
+    """Before any search: no words, no spans, no items."""
+    return (
+        F.lit(0).cast("long").alias("n_words"),
+        F.expr("cast(array() as array<struct<first:bigint,end:bigint>>)").alias("spans"),
+        F.expr("cast(array() as array<string>)").alias("items"),
+    )
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per document: ``id_col``, n_words, spans (word first to end, merged), items (ids, sorted as strings)."""
-    spark: SparkSession = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    at = docs.select(
-        F.col(id_col).alias("id"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:bigint,end:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), F.col(text_col).alias("text")
-    )
-    blocks = [spark.sparkContext.broadcast(b) for b in phrase_blocks(benchmark, item_id_col, item_text_col, window, block_words)]
-    blocks = blocks or [spark.sparkContext.broadcast(PhraseBlock([], window))]
-    schema = f"id {kind}, n_words long, spans array<struct<first:bigint,end:bigint>>, items array<string>"
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        at = at.mapInArrow(_pass(block, last, shard_words), schema + ("" if last else ", text string"))
-    return at.withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *_nothing())
+    found = _search(rows, "text", False, _blocks(benchmark, item_id_col, item_text_col, window, block_words), shard_words)
+    return found.withColumnRenamed("id", id_col)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The documents, all columns, without those in which a phrase occurs. Nothing is joined or shuffled."""
+    rows = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    rows = rows.select("*", *_nothing())
+    found = _search(rows, f"c{docs.columns.index(text_col)}", True, _blocks(benchmark, item_id_col, item_text_col, window, block_words), shard_words)
+    return found.filter(F.size("spans") == 0).drop("n_words", "spans", "items").toDF(*docs.columns)

@@ -157,3 +157,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(single, True).otherwise(F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, without the copies that ``exact_groups`` does not keep."""
+    dropped = exact_groups(docs, id_col, text_col).filter(~F.col("kept"))
+    dropped = materialise(dropped.select(F.col(id_col).alias("gone_id"), F.unhex("text_sha256").alias("gone_sha")).distinct(), "dropped")
+    sha = F.unhex(F.sha2(F.translate(F.coalesce(docs[text_col], F.lit("")), UPPER, LOWER), 256))
+    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha")), "left_anti")

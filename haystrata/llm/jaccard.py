@@ -248,3 +248,10 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     out = sets.select("id", "n", "one", "two").join(classed, ["n", "one", "two"], "left")
     own = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all columns: of each component the one with the smallest id."""
+    found = linked(docs, id_col, text_col, k, percent)
+    dropped = materialise(found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone_id")).distinct(), "dropped")
+    return docs.join(dropped, docs[id_col] == F.col("gone_id"), "left_anti")

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from haystrata.llm.tokens import SPACE, raw, slices, words
 
@@ -118,21 +119,22 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id"
     return train(unpack("ids"), unpack("counts"), np.clip(table.column("label").to_numpy(), 0, 1))
 
 
-def scorer(spark, model: tuple[np.ndarray, float]) -> Callable:
-    """For mapInArrow: puts a score in the place of the text."""
+def scorer(spark, model: tuple[np.ndarray, float], text: str = "text", keep_text: bool = False) -> Callable:
+    """For mapInArrow: adds a last column, the score; the text goes unless it is to be kept."""
     held = spark.sparkContext.broadcast(model)  # 2**BITS numbers, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logits, bias = held.value
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, text):
             total, n = np.zeros(piece.num_rows), np.zeros(piece.num_rows)
-            for ids, first in features(piece.column("text")):
+            for ids, first in features(piece.column(text)):
                 sums = np.zeros(len(ids) + 1)
                 np.cumsum(logits[ids], out=sums[1:])
                 total += sums[first[1:]] - sums[first[:-1]]
                 n += np.diff(first)
             z = total / np.maximum(n, 1) + bias
-            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], ["id", "score"])
+            names = [c for c in piece.schema.names if keep_text or c != text]
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], [*names, "score"])
 
     return run
 
@@ -148,3 +150,12 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int =
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, most: int = TRAIN_DOCS) -> DataFrame:
+    """The documents, all columns, whose score reaches the threshold. Nothing is joined or shuffled."""
+    model = fit(docs, labels, remainder(id_col, modulus) != held_out, id_col, text_col, label_col, most)
+    rows = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    text = f"c{docs.columns.index(text_col)}"
+    scored = rows.mapInArrow(scorer(docs.sparkSession, model, text, True), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return scored.filter(F.col("score") >= threshold).drop("score").toDF(*docs.columns)
