@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FINDINGS, TREES, DEPTH, SEED = 4000, 15, 6, 3
+FINDINGS, TREES, DEPTH, SEED = 4000, 15, 8, 3
 THRESHOLD = 0.5
 # Words that stand before secrets, and in harmless surroundings.
 SECRET_WORDS = "(?i)(token|secret|passw(or)?d|pwd|api_?-?key|access_?-?key|auth|credential|bearer|private|apikey|client_?secret)"
@@ -70,9 +70,11 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = SEE
     label = (F.col("id") % 3 == 0).cast("int")
     digest = F.col("id") % 9 == 1  # a true-looking value in surroundings that say it is none
     before_true, before_false = pick(9, "token", "my api_key", "password", "client_secret", "auth", "set access_key", "the secret"), pick(10, "name", "see", "commit", "sha256", "file", "example", "on", "id", "version", "uuid", "the")
+    # a provider's shape needs no name before it
+    bare = true_value.rlike(PROVIDERS) & (r(14) % 2 == 0)
     return spark.range(rows).select(
-        F.when((label == 1) | digest, true_value).otherwise(false_value).alias("value"),
-        F.when(label == 1, before_true).when(digest, pick(11, "commit", "sha1", "checksum", "digest", "md5 of", "see", "and")).otherwise(before_false).alias("before"),
+        F.when((label == 1) | (digest & ~true_value.rlike(PROVIDERS)), true_value).otherwise(false_value).alias("value"),
+        F.when((label == 1) & bare, pick(15, "key", "and", "see", "the", "use", "")).when(label == 1, before_true).when(digest, pick(11, "commit", "sha1", "checksum", "digest", "md5 of", "see", "and")).otherwise(before_false).alias("before"),
         F.when(label == 1, pick(12, " = ", "=", ": ", " ")).otherwise(pick(12, " ", " ", ": ", "=")).alias("sign"),
         F.when(label == 1, F.lit("src/app.py")).otherwise(pick(13, "src/app.py", "tests/test_app.py", "docs/readme.md")).alias("path"),
         label.alias("label"),
