@@ -45,32 +45,43 @@ def fingerprints(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class FingerprintIndex:
-    """Sorted runs (fingerprint, smallest document), compacted in levels."""
+    """Sorted runs (fingerprint, smallest document) in levels: ``fan`` runs of a level become one of the next."""
 
     def __init__(self, fan: int = FAN):
-        self.fan, self.runs = fan, []
+        self.fan, self.levels = fan, [[]]
 
     def add(self, prints: np.ndarray, docs: np.ndarray) -> None:
         """A run: ascending fingerprints."""
-        self.runs.append((prints, docs))
-        if len(self.runs) >= self.fan:
-            self.compact()
-
-    def compact(self) -> None:
-        if not self.runs:
-            return
-        prints, docs = (np.concatenate(x) for x in zip(*self.runs, strict=True))
+        self.levels[0].append((prints, docs))
+        level = 0
+        while len(self.levels[level]) >= self.fan:
+            if level + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[level + 1].append(self._merged(self.levels[level]))
+            self.levels[level] = []
+            level += 1
+
+    @staticmethod
+    def _merged(runs: list) -> tuple[np.ndarray, np.ndarray]:
+        prints, docs = (np.concatenate(x) for x in zip(*runs, strict=True))
         order = np.argsort(prints, kind="stable")
         prints, docs = prints[order], docs[order]
         starts = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]]) if len(prints) else np.zeros(0, np.int64)
-        self.runs = [(prints[starts], np.minimum.reduceat(docs, starts) if len(prints) else docs)]
+        return prints[starts], np.minimum.reduceat(docs, starts) if len(prints) else docs
+
+    def compact(self) -> None:
+        """All runs to one."""
+        runs = [r for level in self.levels for r in level]
+        if len(runs) > 1:
+            self.levels = [[], [self._merged(runs)]]
 
     def earlier(self, prints: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """Which entries of a run occur in a smaller document: a merge join, keys first, then the second hash."""
         self.compact()
-        if not self.runs:
+        runs = [r for level in self.levels for r in level]
+        if not runs or not len(runs[0][0]):
             return np.zeros(len(prints), bool)
-        known, smallest = self.runs[0]
+        known, smallest = runs[0]
         at = np.searchsorted(known, prints)
         at[at == len(known)] = 0
         return (known[at] == prints) & (smallest[at] < docs)
@@ -128,38 +139,75 @@ def _decode(keys: bytes, checks: bytes, docs: bytes, ids: bytes) -> tuple[np.nda
     return unpack_sorted(keys) << _KEY | unpack(checks).astype(np.uint64), np.cumsum(unpack(ids))[unpack(docs)]
 
 
-def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of bucket: all runs enter the bucket's index, then each is joined with it."""
-    bucket, held = None, []
+def _join(bits: int):
+    """Rows in order of bucket: all runs enter the bucket's index, then each is joined with it.
+
+    Duplicates leave in one row for each group of documents, whatever number of buckets a task has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, prints, docs = None, [], [], []
+
+        def close():
+            index = FingerprintIndex()
+            for _, p, d in held:
+                index.add(*FingerprintIndex._merged([(p, d)]))
+            for new, p, d in held:
+                if new:
+                    dup = index.earlier(p, d)
+                    prints.append(p[dup] >> _KEY)
+                    docs.append(d[dup])
+
+        def emit():
+            p, d = np.concatenate(prints), np.concatenate(docs)
+            group = (mix(d.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.lexsort((d, group))
+            p, d, group = p[order], d[order], group[order]
+            cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else np.zeros(1, np.int64)
+            rows = [(int(group[a]), pack(np.diff(d[a:b], prepend=0)), pack(p[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            prints.clear()
+            docs.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["part", "docs", "keys"])
+
+        for batch in batches:
+            for b, new, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "new", "keys", "checks", "docs", "ids")), strict=True):
+                if b != bucket and held:
+                    close()
+                    held = []
+                    if sum(map(len, docs)) >= RUN_WINDOWS:
+                        yield emit()
+                bucket = b
+                held.append((new, *_decode(*blobs)))
+        if held:
+            close()
+        if docs:
+            yield emit()
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of document group: one row for each document, with all its duplicate windows."""
+    part, prints, docs = None, [], []
 
     def close():
-        index = FingerprintIndex()
-        for _, run in held:
-            index.add(*_decode(*run))
-        prints, docs = [], []
-        for new, run in held:
-            if new:
-                p, d = _decode(*run)
-                dup = index.earlier(p, d)
-                prints.append(p[dup] >> _KEY)
-                docs.append(d[dup])
-        p, d = np.concatenate(prints or [np.zeros(0, np.uint64)]), np.concatenate(docs or [np.zeros(0, np.int64)])
+        p, d = np.concatenate(prints), np.concatenate(docs)
         order = np.argsort(d, kind="stable")
         p, d = p[order], d[order]
         starts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.zeros(0, np.int64)
         flat = np.ascontiguousarray(p.view(np.uint8).reshape(-1, 8)[:, :6]).ravel()
-        offsets = (np.r_[starts, len(d)] * 6).astype(np.int32)
-        blobs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
-        return pa.RecordBatch.from_arrays([pa.array(d[starts], pa.int64()), blobs], ["id", "keys"])
+        offsets = (np.r_[starts, len(d)] * 6).astype(np.int64)
+        blobs = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+        return pa.RecordBatch.from_arrays([pa.array(d[starts], pa.int64()), blobs.cast(pa.binary())], ["id", "keys"])
 
     for batch in batches:
-        for b, new, *run in zip(*(batch.column(c).to_pylist() for c in ("bucket", "new", "keys", "checks", "docs", "ids")), strict=True):
-            if b != bucket and held:
+        for g, d, p in zip(*(batch.column(c).to_pylist() for c in ("part", "docs", "keys")), strict=True):
+            if g != part and docs:
                 yield close()
-                held = []
-            bucket = b
-            held.append((new, run))
-    if held:
+                prints, docs = [], []
+            part = g
+            docs.append(np.cumsum(unpack(d)))
+            prints.append(unpack(p))
+    if docs:
         yield close()
 
 
@@ -200,7 +248,7 @@ def _finish(window: int, texts: bool):
             cuts = np.searchsorted(at, w.first)
             for k, found in enumerate(piece.column("keys").to_pylist()):
                 if found:
-                    flat = np.frombuffer(b"".join(found), np.uint8).reshape(-1, 6)
+                    flat = np.frombuffer(found, np.uint8).reshape(-1, 6)
                     wide = np.zeros((len(flat), 8), np.uint8)
                     wide[:, :6] = flat
                     dup[cuts[k] : cuts[k + 1]] = np.isin(keys[cuts[k] : cuts[k + 1]], wide.view(np.uint64).ravel())
@@ -235,11 +283,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     windows count as historical, their documents are not read again.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    if bits is None:
+        bits = _bucket_bits(docs.select(F.col(text_col).alias("text")))
     runs = build_runs(docs, id_col, text_col, window, bits).withColumn("new", F.lit(True))
     if history is not None:
         runs = runs.unionByName(history.withColumn("new", F.lit(False)))
-    found = runs.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_join, "id long, keys binary")
-    found = materialise(found, "duplicate-windows").groupBy(F.col("id").alias("found_id")).agg(F.collect_list("keys").alias("keys"))
+    found = runs.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_join(bits), "part int, docs binary, keys binary")
+    found = found.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(_gather, "id long, keys binary")
+    found = materialise(found, "duplicate-windows").select(F.col("id").alias("found_id"), "keys")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(found, F.col("id").cast("long") == F.col("found_id"), "left").select("id", "text", "keys")
     out = rows.mapInArrow(_finish(window, texts), f"id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
