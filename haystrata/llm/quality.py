@@ -1,6 +1,7 @@
 """Quality classifier over supervised subword embeddings (operator 7).
 
-A document is the average of learned vectors of its hashed words and byte n-grams; a softmax
+A document is the average of learned vectors of its hashed words, byte n-grams and repeated
+word pairs; a softmax
 over the average gives the score. Vectors and output weights are trained together by
 stochastic gradient descent in numpy on the driver, on at most ``TRAIN_DOCS`` labelled
 documents (those with the smallest hash of their id; whole texts). The output is linear in
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from haystrata.llm.tokens import SPACE, raw, slices, words
 
-BITS, DIM, NGRAMS = 17, 8, (3, 4)
+BITS, DIM, NGRAMS, LAGS = 17, 8, (3, 4), (1, 2, 3)
 TRAIN_DOCS, EPOCHS, RATE, SEED = 4000, 8, 0.5, 11
 THRESHOLD = 0.3
 _tables = np.random.default_rng(5).integers(0, 2**32, (max(NGRAMS), 256), dtype=np.uint32)
@@ -37,9 +38,13 @@ def remainder(id_col: str, modulus: int) -> Column:
 
 
 def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(bucket ids, first id of each document) for words and for each n-gram length."""
+    """(bucket ids, first id of each document) for words, repeats of recent words and each n-gram length."""
     w = words(texts, SPACE)
     out = [((w.hashes >> np.uint64(64 - BITS)).astype(np.int32), w.first)]
+    for lag in LAGS:  # word pairs in which the second is the first again, whatever the word
+        place = np.flatnonzero(w.hashes[lag:] == w.hashes[:-lag]) + lag
+        place = place[place - lag >= w.first[np.searchsorted(w.first, place, "right") - 1]]
+        out.append((np.full(len(place), lag, np.int32), np.searchsorted(place, w.first)))
     buf, at = raw(texts)
     space = ~SPACE[buf]
     sym = np.where(space, np.uint8(32), buf)
