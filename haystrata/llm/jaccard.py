@@ -9,13 +9,14 @@ first n - ceil(t n) + 1 of each.
 Set relations are used at three levels:
 
 * Equal sets are one set: all documents of a set follow its smallest document.
-* Answers: every posting is first compared with its list's anchor only (the smallest set of the
-  list's size block, and of the next block). Verified links form components; a set in its
-  anchor's component derives its answer from the anchor's, and lists that lie in one component
-  are skipped whole.
-* Lists that still hold several components are read in order of size and position; blocks of a
-  list whose size or position cannot reach t are skipped, and remaining pairs of different
-  components are verified. Pairs inside a component are never made.
+* Answers: a list's anchor is its smallest set, and a set's family is the anchor that most of
+  its lists have: near copies share it. A family is solved in one task (split by size where it
+  is larger than ``FAMILY_TOKENS``): each set is compared with the sets of other components
+  only, parity bitmaps bound the symmetric difference from below, and what they leave is
+  counted on the sets. No pair of a family leaves the task, only each set's component.
+* Lists that still hold several families and several components are read in order of size and
+  position; blocks of a list whose size or position cannot reach t are skipped, and remaining
+  pairs of different families and components are verified.
 
 Verification compares whole token sets. Components are the exact connected components of all
 links. Null and empty texts have no shingle and link with nothing; a shorter text is one
@@ -39,6 +40,8 @@ from haystrata.llm.tokens import SPACE, sequence_hash, slices, windows, words
 
 SHINGLE, PERCENT = 3, 90
 SKETCH_BITS, CHUNK_BITS = 20, 4
+#: Tokens of a family that one task solves together.
+FAMILY_TOKENS = 1 << 23
 
 
 def shingles(texts: pa.Array, k: int, percent: int = 0) -> list[np.ndarray]:
@@ -124,11 +127,14 @@ def _sets(k: int, percent: int, classes):
 
 
 def _tokens(k: int):
+    """The text becomes its token set; other columns stay."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
             own = shingles(piece.column("text"), k)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in own])], pa.int32()), pa.array(np.concatenate(own).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([piece.column("id"), lists], ["id", "tokens"])
+            names = [c for c in piece.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), lists], [*names, "tokens"])
 
     return run
 
@@ -153,11 +159,57 @@ def _overlaps(percent: int):
     return run
 
 
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A bitmap for each set: bit h mod size is the parity of its tokens there. Tokens that two sets
+    do not share number at least the bits in which their bitmaps differ."""
+    bits = 1 << min(16, max(6, int(4 * max(map(len, sets))).bit_length()))
+    out = np.zeros((len(sets), bits // 64), np.uint64)
+    for k, s in enumerate(sets):
+        odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out[k] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+    return out
+
+
+def _solve(percent: int):
+    """One family, or part of it: every set's component among its sets."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        sets = [x.values.to_numpy().view(np.uint64) for x in table.column("tokens")]
+        order = sorted(range(len(ids)), key=lambda k: (len(sets[k]), ids[k]))
+        ids, sets = ids[order], [sets[k] for k in order]
+        n, maps = np.array([len(s) for s in sets]), _parities(sets)
+        comp = np.arange(len(ids))
+        for i in range(len(ids)):
+            # sizes ascend: only the sets up to the size bound come into question
+            last = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
+            j = np.arange(i + 1, last)
+            j = j[comp[i + 1 : last] != comp[i]]
+            apart = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
+            j = j[(100 + percent) * apart <= (100 - percent) * (n[j] + n[i])]
+            for x in j.tolist():
+                if comp[x] != comp[i]:
+                    both = _overlap(sets[i], sets[x])
+                    if 100 * both >= percent * (n[i] + n[x] - both):
+                        comp[comp == comp[x]] = comp[i]
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, comp, ids)
+        return pa.table({"node": pa.array(ids, pa.int64()), "component": pa.array(least[comp], pa.int64())})
+
+    return run
+
+
 def _cross(percent: int):
-    """Postings in order of token, size, position: pairs of different components that size and position allow."""
+    """Postings in order of token, size, position: pairs of different families and components that size and position allow."""
 
     def pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, n, pos, rep, comp = rows
+        _, n, pos, rep, comp, family = rows
         out_a, out_b = [], []
         # blocks of equal size: whole blocks beyond the size bound are skipped
         blocks = np.r_[np.flatnonzero(np.r_[True, n[1:] != n[:-1]]), len(n)]
@@ -170,7 +222,7 @@ def _cross(percent: int):
                 room = min(n[i] - pos[i], n[j] - pos[j])
                 if room >= need:  # else every later position of the block has less room still
                     last = j + int(np.searchsorted(pos[j:end], n[j] - need, "right"))
-                    other = np.arange(j, last)[comp[j:last] != comp[i]]
+                    other = np.arange(j, last)[(comp[j:last] != comp[i]) & (family[j:last] != family[i])]
                     out_a.append(np.full(len(other), rep[i]))
                     out_b.append(rep[other])
                 j = end
@@ -178,7 +230,7 @@ def _cross(percent: int):
         return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((5, 0), np.int64)
+        rest = np.zeros((6, 0), np.int64)
 
         def emit(block):
             cuts = np.r_[np.flatnonzero(np.r_[True, block[0, 1:] != block[0, :-1]]), block.shape[1]]
@@ -220,29 +272,27 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     known = sets.filter(F.col("id").isNotNull() & (F.col("n") > 0))
     reps = materialise(known.groupBy("n", "one", "two").agg(F.min("id").alias("rep"), F.any_value("prefix").alias("prefix")), "representatives")
 
-    # a size block spans one factor of 100 / percent: links lie in a block or between neighbours
-    block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("long")
-    postings = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("block", block)
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter("length > 1").select("token")
-    live = materialise(postings.join(lists, "token", "left_semi").select("token", F.col("n"), F.col("pos").cast("long").alias("pos"), "rep", "block"), "postings")
-
-    anchors = live.groupBy("token", "block").agg(F.min(F.struct("n", "rep", "pos")).alias("anchor"))
-    near = anchors.unionByName(anchors.withColumn("block", F.col("block") + 1))
-    room = F.least(F.col("n") - F.col("pos"), F.col("anchor.n") - F.col("anchor.pos"))
-    total = F.col("n") + F.col("anchor.n")
-    able = (F.col("rep") != F.col("anchor.rep")) & (100 * F.least("n", "anchor.n") >= percent * F.greatest("n", "anchor.n")) & ((100 + percent) * room >= percent * total)
-    first = live.join(near, ["token", "block"]).filter(able).select(F.greatest("rep", "anchor.rep").alias("a"), F.least("rep", "anchor.rep").alias("b")).distinct()
-    links = verified(first, texts, k, percent)
-    comps = materialise(connected_components(links), "components")
-
-    placed = live.join(comps, live["rep"] == comps["node"], "left").select("token", "n", "pos", "rep", F.coalesce("component", "rep").alias("comp"))
-    placed = materialise(placed, "placed")
-    open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+    postings = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
+    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.min(F.struct("n", "rep"))["rep"].alias("anchor")).filter("length > 1").select("token", "anchor")
+    live = materialise(postings.join(lists, "token").select("token", "n", F.col("pos").cast("long").alias("pos"), "rep", "anchor"), "postings")
+
+    votes = live.groupBy("rep", "n", "anchor").agg(F.count(F.lit(1)).alias("votes"))
+    families = materialise(votes.groupBy("rep", "n").agg(F.max(F.struct("votes", (-F.col("anchor")).alias("mark")))["mark"].alias("anchor")).select("rep", "n", (-F.col("anchor")).alias("family")), "families")
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens")).filter("members > 1")
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("tokens") / FAMILY_TOKENS))
+    members = materialise(families.join(sizes, "family").select("rep", "family", part.cast("long").alias("part")), "members")
+    own = texts.join(members, F.col("id") == F.col("rep")).select("id", "text", "family", "part")
+    own = own.mapInArrow(_tokens(k), "id long, family long, part long, tokens array<bigint>")
+    solved = materialise(own.groupBy("family", "part").applyInArrow(_solve(percent), "node long, component long"), "solved")
+
+    keys = members.select(F.col("rep").alias("member"), F.xxhash64("family", "part").alias("family"))
+    placed = live.join(solved, live["rep"] == solved["node"], "left").join(keys, live["rep"] == keys["member"], "left")
+    placed = materialise(placed.select("token", "n", "pos", "rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("family", F.xxhash64("rep")).alias("family")), "placed")
+    open_ = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("family").alias("f0"), F.max("family").alias("f1")).filter("c0 < c1 and f0 < f1").select("token")
     rest = placed.join(open_, "token", "left_semi").repartition(F.col("token")).sortWithinPartitions("token", "n", "pos", "rep")
-    second = rest.mapInArrow(_cross(percent), "a long, b long").distinct()
-    second = second.join(materialise(first, "first"), ["a", "b"], "left_anti")
-    more = verified(second, texts, k, percent)
-    comps = materialise(connected_components(links.unionByName(more)), "components")
+    more = verified(rest.mapInArrow(_cross(percent), "a long, b long").distinct(), texts, k, percent)
+    links = solved.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    comps = materialise(connected_components(links), "components")
 
     classed = reps.select("n", "one", "two", "rep").join(comps, F.col("rep") == F.col("node"), "left").select("n", "one", "two", F.coalesce("component", "rep").alias("component"))
     out = sets.select("id", "n", "one", "two").join(classed, ["n", "one", "two"], "left")
