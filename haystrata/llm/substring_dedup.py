@@ -33,7 +33,7 @@ from haystrata.llm.scratch import materialise
 from haystrata.llm.tokens import SPACE, Words, mix, slices, windows, words
 
 WINDOW, FAN = 13, 8
-RUN_WINDOWS, BUCKET_WINDOWS = 1 << 21, 1 << 20
+RUN_WINDOWS, BUCKET_WINDOWS = 1 << 20, 1 << 20
 _KEY = np.uint64(16)
 
 

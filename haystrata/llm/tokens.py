@@ -142,7 +142,7 @@ def sequence_hash(hashes: np.ndarray) -> int:
     return int(mix(np.array([np.sum(hashes * up[: len(hashes)], dtype=np.uint64)]))[0])
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again in slices of about ``most`` bytes of text, one document at least."""
     for batch in batches:
         if not batch.num_rows:
