@@ -3,8 +3,9 @@
 A document's set: 64-bit hashes of its distinct ``SHINGLE``-word shingles. Tokens have one
 global order, rare first: a count sketch of fixed size over all shingles of all documents gives
 each token a frequency class, the token's hash decides inside a class (any fixed order is
-exact; the sketch only keeps lists short). With Jaccard >= t two sets share a token among the
-first n - ceil(t n) + 1 of each.
+exact; the sketch only keeps lists short). With Jaccard >= t two sets share ``SHARED`` tokens
+(or all that the smaller must share) among the first n - ceil(t n) + SHARED of each. A posting
+is live if its list has a set within the size bound, a set if it has that many live postings.
 
 Set relations are used at three levels:
 
@@ -40,6 +41,8 @@ from haystrata.llm.tokens import SPACE, sequence_hash, slices, windows, words
 
 SHINGLE, PERCENT = 3, 90
 SKETCH_BITS, CHUNK_BITS = 20, 4
+#: Tokens that two linked sets share among their prefixes.
+SHARED = 4
 #: Tokens of a family that one task solves together.
 FAMILY_TOKENS = 1 << 23
 
@@ -117,7 +120,8 @@ def _sets(k: int, percent: int, classes):
                 sizes.append(n)
                 ones.append(int(np.bitwise_xor.reduce(h * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(29)))) if n else 0)
                 twos.append(int(np.sum((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9), dtype=np.uint64)) if n else 0)
-                p = n - (percent * n + 99) // 100 + 1 if n else 0
+                least = (percent * n + 99) // 100
+                p = n - least + min(SHARED, least)
                 order = np.lexsort((h, rare[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:p]
                 prefixes.append(h[order])
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in prefixes])], pa.int32()), pa.array(np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)))
@@ -176,6 +180,40 @@ def _parities(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _live(percent: int):
+    """Postings in order of token and size, one row of state: those whose list has a neighbour within the
+    size bound (sizes ascend, so the nearest decides), with the list's first set as anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, anchor, before = np.zeros((4, 0), np.int64), None, None
+
+        def emit(rows: np.ndarray, behind: np.ndarray | None):
+            """Rows whose successor is known (``behind`` is the one after the last)."""
+            nonlocal anchor, before
+            token, n, pos, rep = rows
+            head = np.r_[before is None or before[0] != token[0], token[1:] != token[:-1]]
+            start = np.maximum.accumulate(np.where(head, np.arange(len(token)), -1))
+            first = np.where(start >= 0, rep[np.maximum(start, 0)], 0 if anchor is None else anchor)
+            prior = np.r_[0 if before is None else before[1], n[:-1]]
+            up = ~head & (100 * prior >= percent * n)
+            then = np.r_[token[1:], -1 if behind is None else behind[0]], np.r_[n[1:], 0 if behind is None else behind[1]]
+            same = then[0] == token
+            same[-1] &= behind is not None
+            keep = up | same & (100 * n >= percent * then[1])
+            anchor, before = int(first[-1]), (int(token[-1]), int(n[-1]))
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, n, pos, rep, first)], ["token", "n", "pos", "rep", "anchor"])
+
+        for batch in batches:
+            held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
+            if held.shape[1] > 1:
+                yield emit(held[:, :-1], held[:2, -1])
+                held = held[:, -1:]
+        if held.shape[1]:
+            yield emit(held, None)
+
+    return run
+
+
 def _solve(percent: int):
     """One family, or part of it: every set's component among its sets."""
 
@@ -251,14 +289,11 @@ def _cross(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of ids that link; only texts of ids in a pair are read whole."""
-    pairs = materialise(pairs, "pairs")
-    ids = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
-    sets = materialise(texts.join(ids, "id", "left_semi").mapInArrow(_tokens(k), "id long, tokens array<bigint>"), "token-sets")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ids whose token sets link."""
     x = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    both = materialise(pairs, "pairs").join(x, "a").join(y, "b").select("a", "b", "x", "y")
     return materialise(both.mapInArrow(_overlaps(percent), "a long, b long"), "verified")
 
 
@@ -272,17 +307,21 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     known = sets.filter(F.col("id").isNotNull() & (F.col("n") > 0))
     reps = materialise(known.groupBy("n", "one", "two").agg(F.min("id").alias("rep"), F.any_value("prefix").alias("prefix")), "representatives")
 
-    postings = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.min(F.struct("n", "rep"))["rep"].alias("anchor")).filter("length > 1").select("token", "anchor")
-    live = materialise(postings.join(lists, "token").select("token", "n", F.col("pos").cast("long").alias("pos"), "rep", "anchor"), "postings")
+    postings = reps.select(F.posexplode("prefix").alias("pos", "token"), "n", "rep").select("token", "n", F.col("pos").cast("long").alias("pos"), "rep")
+    postings = postings.repartition(F.col("token")).sortWithinPartitions("token", "n", "rep").mapInArrow(_live(percent), "token long, n long, pos long, rep long, anchor long")
+    postings = materialise(postings, "postings")
+    # the least that a partner of the smallest size must share
+    least = F.least(F.lit(SHARED), F.ceil(F.ceil(F.col("n") * percent / 100) * percent / 100))
+    enough = postings.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("lists")).filter(F.col("lists") >= least).select("rep")
+    live = materialise(postings.join(enough, "rep", "left_semi"), "live")
 
     votes = live.groupBy("rep", "n", "anchor").agg(F.count(F.lit(1)).alias("votes"))
     families = materialise(votes.groupBy("rep", "n").agg(F.max(F.struct("votes", (-F.col("anchor")).alias("mark")))["mark"].alias("anchor")).select("rep", "n", (-F.col("anchor")).alias("family")), "families")
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens")).filter("members > 1")
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("tokens") / FAMILY_TOKENS))
     members = materialise(families.join(sizes, "family").select("rep", "family", part.cast("long").alias("part")), "members")
-    own = texts.join(members, F.col("id") == F.col("rep")).select("id", "text", "family", "part")
-    own = own.mapInArrow(_tokens(k), "id long, family long, part long, tokens array<bigint>")
+    own = texts.join(members.hint("shuffle_hash"), F.col("id") == F.col("rep")).select("id", "text", "family", "part")
+    own = materialise(own.mapInArrow(_tokens(k), "id long, family long, part long, tokens array<bigint>"), "token-sets")
     solved = materialise(own.groupBy("family", "part").applyInArrow(_solve(percent), "node long, component long"), "solved")
 
     keys = members.select(F.col("rep").alias("member"), F.xxhash64("family", "part").alias("family"))
@@ -290,7 +329,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     placed = materialise(placed.select("token", "n", "pos", "rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("family", F.xxhash64("rep")).alias("family")), "placed")
     open_ = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("family").alias("f0"), F.max("family").alias("f1")).filter("c0 < c1 and f0 < f1").select("token")
     rest = placed.join(open_, "token", "left_semi").repartition(F.col("token")).sortWithinPartitions("token", "n", "pos", "rep")
-    more = verified(rest.mapInArrow(_cross(percent), "a long, b long").distinct(), texts, k, percent)
+    more = verified(rest.mapInArrow(_cross(percent), "a long, b long").distinct(), own.select("id", "tokens"), percent)
     links = solved.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     comps = materialise(connected_components(links), "components")
 
