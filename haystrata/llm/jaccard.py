@@ -246,9 +246,9 @@ def _solve(percent: int):
 def _cross(percent: int):
     """Postings in order of token, size, position: pairs of different families and components that size and position allow."""
 
-    def pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         _, n, pos, rep, comp, family = rows
-        out_a, out_b = [], []
+        out_a, out_b, out_n = [], [], []
         # blocks of equal size: whole blocks beyond the size bound are skipped
         blocks = np.r_[np.flatnonzero(np.r_[True, n[1:] != n[:-1]]), len(n)]
         for i in range(len(n)):
@@ -256,16 +256,18 @@ def _cross(percent: int):
             j = i + 1
             while j < len(n) and n[j] <= most:
                 end = blocks[np.searchsorted(blocks, j, "right")]
-                need = -(-percent * (n[i] + n[j]) // (100 + percent))
+                # a pair's first SHARED common tokens are needed, so as many may lie before this one
+                need = -(-percent * (n[i] + n[j]) // (100 + percent)) - (SHARED - 1)
                 room = min(n[i] - pos[i], n[j] - pos[j])
                 if room >= need:  # else every later position of the block has less room still
                     last = j + int(np.searchsorted(pos[j:end], n[j] - need, "right"))
                     other = np.arange(j, last)[(comp[j:last] != comp[i]) & (family[j:last] != family[i])]
                     out_a.append(np.full(len(other), rep[i]))
                     out_b.append(rep[other])
+                    out_n.append(np.full(len(other), min(SHARED, -(-percent * n[i] // 100))))
                 j = end
         none = np.zeros(0, np.int64)
-        return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
+        return tuple(np.concatenate(x or [none]) for x in (out_a, out_b, out_n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.zeros((6, 0), np.int64)
@@ -273,9 +275,9 @@ def _cross(percent: int):
         def emit(block):
             cuts = np.r_[np.flatnonzero(np.r_[True, block[0, 1:] != block[0, :-1]]), block.shape[1]]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                x, y = pairs(block[:, a:b])
+                x, y, least = pairs(block[:, a:b])
                 if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(least)], ["a", "b", "least"])
 
         for batch in batches:
             rest = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
@@ -329,7 +331,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     placed = materialise(placed.select("token", "n", "pos", "rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("family", F.xxhash64("rep")).alias("family")), "placed")
     open_ = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("family").alias("f0"), F.max("family").alias("f1")).filter("c0 < c1 and f0 < f1").select("token")
     rest = placed.join(open_, "token", "left_semi").repartition(F.col("token")).sortWithinPartitions("token", "n", "pos", "rep")
-    more = verified(rest.mapInArrow(_cross(percent), "a long, b long").distinct(), own.select("id", "tokens"), percent)
+    shared = rest.mapInArrow(_cross(percent), "a long, b long, least long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least"))
+    more = verified(shared.filter("n >= least").select("a", "b"), own.select("id", "tokens"), percent)
     links = solved.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     comps = materialise(connected_components(links), "components")
 
