@@ -1,8 +1,8 @@
 """Hybrid retrieval over chunks: exact cosine, Okapi BM25, reciprocal rank fusion, confidence.
 
-A set of queries meets all chunks: queries are a stated, small set (checked by
-``MAX_QUERIES``) and are broadcast; chunks are scanned once and never shuffled for the vector
-side. For BM25 chunk terms are joined with query terms only, so postings of other terms end in
+Queries meet all chunks. For the vector side queries are broadcast, in blocks of about
+``MAX_QUERIES`` if there are more; chunks are scanned once a block and never shuffled, and rows
+without an embedding take no part. For BM25 chunk terms are joined with query terms only, so postings of other terms end in
 the scan's task; corpus statistics are partial aggregates.
 """
 
@@ -26,17 +26,22 @@ def cosine(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)))
 
 
-def _bounded(queries: DataFrame) -> DataFrame:
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries at once")
-    return F.broadcast(queries)
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """All queries in disjoint blocks of about ``MAX_QUERIES``, each broadcast."""
+    n = -(-queries.count() // MAX_QUERIES)
+    if n <= 1:
+        return [F.broadcast(queries)]
+    return [F.broadcast(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k)) for k in range(n)]
 
 
 def vector_search(chunks: DataFrame, queries: DataFrame, pool: int = 10) -> DataFrame:
     """chunks: chunk_id, seq, embedding; queries: query_id, query_embedding. query_id, chunk_id, seq, vector_similarity, vector_distance, rank."""
-    pairs = chunks.select("chunk_id", "seq", "embedding").join(_bounded(queries), F.lit(True))
-    scored = pairs.select("query_id", "chunk_id", "seq", cosine(F.col("embedding"), F.col("query_embedding")).alias("vector_similarity"))
+    chunks = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", "seq", "embedding")
     best = Window.partitionBy("query_id").orderBy(F.col("vector_similarity").desc(), "seq")
+    scored = None
+    for block in _blocks(queries.filter(F.col("query_embedding").isNotNull())):
+        part = chunks.join(block, F.lit(True)).select("query_id", "chunk_id", "seq", cosine(F.col("embedding"), F.col("query_embedding")).alias("vector_similarity"))
+        scored = part if scored is None else scored.unionByName(part)
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= pool).withColumn("vector_distance", 1 - F.col("vector_similarity"))
 
 
@@ -48,7 +53,7 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, pool: int = 10) -> DataFr
     idf = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), F.lit(True))
     idf = idf.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
-    asked = _bounded(queries).select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     asked = asked.join(idf, "term").join(F.broadcast(mean), F.lit(True)).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")))
     hits = postings.join(asked, "term").join(F.broadcast(stats), F.lit(True))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -265,9 +265,9 @@ def threshold_sweep(spark, sf_dir):
 
 def _tool_matches(spark, sf_dir):
     d, e = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "embeddings")
-    chunks = d.join(e, d["doc_id"] == e["vec_id"]).select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("seq"), "text", "embedding", "source", F.concat("source", F.lit(".txt")).alias("file_name"), F.lit("제10조").alias("article"), F.lit("보고").alias("article_title"))
-    b = _read(spark, sf_dir, "benchmark").filter(F.col("item_id") < 8)
-    queries = b.join(e, b["item_id"] == e["vec_id"]).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("query_embedding"))
+    chunks = d.join(e, d["doc_id"] == e["vec_id"], "left").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("seq"), "text", "embedding", "source", F.concat("source", F.lit(".txt")).alias("file_name"), F.lit("제10조").alias("article"), F.lit("보고").alias("article_title"))
+    b = _read(spark, sf_dir, "benchmark")
+    queries = b.join(e, b["item_id"] == e["vec_id"], "left").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("query_embedding"))
     return tools.matches(chunks, queries), queries
 
 

@@ -1,0 +1,33 @@
+"""Cases of the review of round 1: each failed before its finding was settled."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from haystrata import queries
+from haystrata.operators import retrieval
+
+
+def test_tools_search_documents_without_embedding(spark, tmp_path):
+    tables = {
+        "documents": ([(k, f"word{k} common", "s") for k in range(12)], "doc_id long, text string, source string"),
+        "embeddings": ([(k, [1.0, float(k)]) for k in range(9)], "vec_id long, embedding array<float>"),
+        "benchmark": ([(k, f"word{k}") for k in range(12)], "item_id long, text string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found, asked = queries._tool_matches(spark, str(tmp_path))
+    assert {r.query_id for r in asked.collect()} == set(range(12))
+    hit = {(r.query_id, r.chunk_id): r.vector_similarity for r in found.collect()}
+    assert all((k, str(k)) in hit for k in range(12))
+    assert hit[(10, "10")] is None and hit[(3, "3")] is not None
+    for tool in (queries.search_tool, queries.check_tool):
+        assert {r.query_id for r in tool(spark, str(tmp_path)).collect()} == set(range(12))
+
+
+def test_vector_search_in_blocks(spark, monkeypatch):
+    vectors = spark.createDataFrame([(str(k), k, [1.0, k / 7]) for k in range(20)] + [("none", 99, None)], "chunk_id string, seq long, embedding array<double>")
+    asked = vectors.select(F.col("seq").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    whole = sorted(map(str, retrieval.vector_search(vectors, asked, 3).collect()))
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 6)
+    assert sorted(map(str, retrieval.vector_search(vectors, asked, 3).collect())) == whole and len(whole) == 60
