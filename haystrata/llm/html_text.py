@@ -6,7 +6,8 @@ forms, and what class, id or role name as notices, adverts or comments) yield no
 line has a text-to-tag ratio; ratios are smoothed with a Gaussian over line order, lines above a
 threshold cluster into content regions, and a region takes in its whole container (article,
 main, or the nearest division that holds its lines), so that short paragraphs and headings of
-an article stay. An ``article`` or ``main`` element is a region of its own.
+an article stay. An ``article`` or ``main`` element is a region of its own, with all divisions,
+sections, tables and quotes inside it.
 
 Null and empty html give an empty text. Unclosed elements end where an outer one is closed.
 Pages are independent: repeated rows give repeated results. Only the named columns are read.
@@ -76,9 +77,9 @@ class _Lines(HTMLParser):
             self.pop(self.hidden)  # an unclosed menu or form ends where the article begins
         inside = self.hidden >= 0
         if tag in CONTAINER and not inside:
-            self.containers += 1
+            outer, self.containers = self.container, self.containers + 1
             self.container = self.containers
-            if tag in REGION:
+            if tag in REGION or outer in self.regions:  # what lies inside a region belongs to it
                 self.regions.add(self.container)
         if not inside:
             named = False

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from haystrata import queries
+from haystrata.llm import html_text
 from haystrata.operators import retrieval
 
 
@@ -31,3 +32,11 @@ def test_vector_search_in_blocks(spark, monkeypatch):
     whole = sorted(map(str, retrieval.vector_search(vectors, asked, 3).collect()))
     monkeypatch.setattr(retrieval, "MAX_QUERIES", 6)
     assert sorted(map(str, retrieval.vector_search(vectors, asked, 3).collect())) == whole and len(whole) == 60
+
+
+def test_html_article_body_in_nested_containers():
+    text = html_text.main_text
+    assert text("<article><h1>T</h1><div class=body><p>a <b>b</b></p><div><p>c</p></div></div></article>") == "T a b c"
+    assert text("<body><div>menu</div><main><p>one</p><section><h2>two</h2><p>three</p></section><blockquote><p>four</p></blockquote><table><tr><td>five<td>six</table></main><div>end</div></body>") == "one two three four five six"
+    assert text("<article><section><p>a</p><aside>x</aside><div class=ad>buy</div></section></article><div><p>b</p></div>") == "a"
+    assert text("<main><article><div><p>a</p></div></article><section><p>b</p></section></main>") == "a b"
