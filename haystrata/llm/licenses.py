@@ -8,6 +8,12 @@ bound says how many of a template's bigrams a unit may lack: words are chosen th
 bigrams than that, and a text with none of these words' beginnings is skipped before it is cut
 up. Both prunings are exact.
 
+A notice among other words is found by windows over the whole text's words: a window starts and
+ends with a bigram of the template (other ends only lower Dice), is at most (2 - t) / t times the
+template's bigrams long, and every such window is scored; a template that shares too few bigrams
+with the text has none. Of a template's overlapping windows the best stays. A window gives way to
+a unit or another window over the same words whose licence contains its own (``covers``).
+
 Everything is one projection of the documents: no shuffle, no Python. Null and empty texts and
 texts of one word match nothing. Rows are independent. Ties between templates go to the first
 name. Only the named columns are read.
@@ -86,8 +92,48 @@ def _best(own: Column, templates: list[tuple[str, list[str]]], threshold: float)
     return F.get(F.array_sort(found, order), F.lit(0))
 
 
+def covers(known: list[tuple[str, list[str]]], threshold: float) -> dict[str, list[str]]:
+    """For each licence those, itself among them, whose template alone could match it."""
+    return {b: [a for a, ga in known if len({*ga} & {*gb}) >= len(gb) * threshold / (2 - threshold) - 1e-9] for b, gb in known}
+
+
+def _windows(own: Column, known: list[tuple[str, list[str]]], units: Column, threshold: float) -> Column:
+    """own: the text's bigrams in order; units: matched units with first and last bigram. Windows as struct<first, last, license, dice>."""
+    over = covers(known, threshold)
+    table = F.array(*[F.struct(F.lit(n).alias("license"), F.split(F.lit("|".join(g)), "[|]").alias("grams"), F.lit(len(g)).alias("m"), F.lit(math.ceil(len(g) * threshold / (2 - threshold) - 1e-9)).alias("least"), F.lit(math.floor(len(g) * (2 - threshold) / threshold + 1e-9)).alias("most"), F.split(F.lit("|".join(over[n])), "[|]").alias("over")) for n, g in known])
+    table = F.filter(table, lambda t: F.size(F.array_intersect(own, t["grams"])) >= t["least"])
+    meet = lambda a, b: (a["first"] <= b["last"]) & (b["first"] <= a["last"])
+    better = lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).otherwise(a["last"] - b["last"])
+
+    def of(t: Column) -> Column:
+        places = F.filter(F.transform(own, lambda g, k: F.when(F.array_contains(t["grams"], g), k)), lambda k: k.isNotNull())
+
+        def best(at: Column, a: Column) -> Column:
+            """The best window that starts at a."""
+            ends = F.filter(F.slice(at, F.array_position(at, a).cast("int"), t["most"]), lambda b: b - a < t["most"])
+
+            def one(b: Column) -> Column:
+                grams = F.array_distinct(F.slice(own, a + 1, b - a + 1))
+                return F.struct(a.alias("first"), b.alias("last"), t["license"].alias("license"), (2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + t["m"])).alias("dice"), t["over"].alias("over"))
+
+            scored = F.filter(F.transform(F.slice(ends, t["least"], F.greatest(F.size(ends) - t["least"] + 1, F.lit(0))), one), lambda w: w["dice"] >= threshold)
+            return F.get(F.array_sort(scored, better), F.lit(0))
+
+        found = F.flatten(F.transform(F.array(places), lambda at: F.filter(F.transform(at, lambda a: best(at, a)), lambda w: w.isNotNull())))
+        # from left to right: a window after the last one is new, a better one that overlaps it takes its place
+        none = F.expr("cast(array() as array<struct<first:int,last:int,license:string,dice:double,over:array<string>>>)")
+        last = lambda kept: F.element_at(kept, -1)
+        return F.aggregate(found, none, lambda kept, w: F.when(F.size(kept) == 0, F.array(w)).when(last(kept)["last"] < w["first"], F.concat(kept, F.array(w))).when(last(kept)["dice"] < w["dice"], F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(w))).otherwise(kept))
+
+    def stays(w: Column, all_: Column) -> Column:
+        beats = lambda v: (v["license"] != w["license"]) & F.array_contains(w["over"], v["license"]) & meet(v, w) & (~F.array_contains(v["over"], w["license"]) | (v["dice"] > w["dice"]) | ((v["dice"] == w["dice"]) & (v["license"] < w["license"])))
+        return ~F.exists(all_, beats) & ~F.exists(units, lambda u: F.array_contains(w["over"], u["license"]) & meet(u, w))
+
+    return F.flatten(F.transform(F.array(F.flatten(F.transform(table, of))), lambda all_: F.filter(all_, lambda w: stays(w, all_))))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: ``id_col``, matches array<struct<unit, number, license, dice>> in order of unit."""
+    """One row per document: ``id_col``, matches array<struct<unit, number, license, dice>> in order of unit; a window's number is its first word's."""
     known = sorted((name, bigrams(t)) for name, t in (templates or TEMPLATES).items())
     heads = sorted(set().union(*(guards(g, threshold) for _, g in known)))
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -111,4 +157,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         F.when(F.size(paragraphs) > 1, matched(paragraphs, "paragraph")).otherwise(none),
         F.when(F.size(lines) > 1, matched(F.array(F.col("low")), "text")).otherwise(none),
     )
-    return low.select(F.col("id").alias(id_col), F.when(maybe, found).otherwise(none).alias("matches"))
+    rows = low.select("id", "low", F.when(maybe, found).alias("found"))
+    size = lambda text: F.size(F.filter(F.split(_flat(text), " "), lambda w: w != ""))
+
+    def placed(m: Column) -> Column:
+        """A matched unit with its first and last bigram in the text."""
+        cut = F.when(m["unit"] == "line", lines).when(m["unit"] == "paragraph", paragraphs).otherwise(F.array("low"))
+        first = size(F.array_join(F.slice(cut, 1, m["number"].cast("int")), " "))
+        return F.struct(m["license"].alias("license"), first.alias("first"), (first + size(F.get(cut, m["number"].cast("int"))) - 2).alias("last"))
+
+    words = F.split(_flat(F.col("low")), " ")
+    # the outer arrays of one bind what every template and window reads
+    own = F.transform(F.array(words), lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    inside = F.flatten(F.transform(own, lambda g: F.flatten(F.transform(F.array(F.transform("found", placed)), lambda u: _windows(g, known, u, threshold)))))
+    inside = F.transform(inside, lambda w: F.struct(F.lit("window").alias("unit"), w["first"].cast("long").alias("number"), w["license"].alias("license"), w["dice"].alias("dice")))
+    return rows.select(F.col("id").alias(id_col), F.when(F.col("found").isNotNull(), F.concat("found", F.array_sort(inside))).otherwise(none).alias("matches"))

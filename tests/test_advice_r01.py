@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from haystrata import queries
-from haystrata.llm import html_text
+from haystrata.llm import html_text, licenses
 from haystrata.operators import retrieval
 
 
@@ -40,3 +40,24 @@ def test_html_article_body_in_nested_containers():
     assert text("<body><div>menu</div><main><p>one</p><section><h2>two</h2><p>three</p></section><blockquote><p>four</p></blockquote><table><tr><td>five<td>six</table></main><div>end</div></body>") == "one two three four five six"
     assert text("<article><section><p>a</p><aside>x</aside><div class=ad>buy</div></section></article><div><p>b</p></div>") == "a"
     assert text("<main><article><div><p>a</p></div></article><section><p>b</p></section></main>") == "a b"
+
+
+def test_licenses_inside_longer_units(spark):
+    words = " ".join(f"word{k}" for k in range(200))
+    isc = licenses.TEMPLATES["isc"]
+    rows = [
+        (1, "Released under the MIT License. See LICENSE for details."),
+        (2, "Copyright (c) 2021 Jane Doe. Released under the MIT License."),
+        (3, f"{words} {isc.replace('fee', 'any fee')} {words}"),
+        (4, f"code here\n{isc[:90]}\n{isc[90:]}\nx = 1\n" + "\n".join(words.split())),
+        (5, f"{words} Released under the MIT License. Released under the MIT License. {words} Licensed under CC BY-NC 4.0. end"),
+        (6, f"{words} {licenses.TEMPLATES['cc-by-sa-4.0']} {words} {licenses.TEMPLATES['apache-2.0-header']} {words}"),
+        (7, f"Released under the MIT License.\n{words}"),
+        (8, f"{words} released words under the long MIT other License {words}"),
+    ]
+    got = {r.doc_id: [(m.unit, m.number, m.license) for m in r.matches] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == [("window", 0, "mit")] and got[2] == [("window", 5, "mit")]
+    assert [x[2] for x in got[3]] == ["isc"] and [x[2] for x in got[4]] == ["isc"]
+    assert got[5] == [("window", 200, "mit"), ("window", 205, "mit"), ("window", 410, "cc-by-nc-4.0")]
+    assert [x[2] for x in got[6]] == ["cc-by-sa-4.0", "apache-2.0-header"]
+    assert got[7] == [("line", 0, "mit")] and got[8] == []
