@@ -1,9 +1,10 @@
 """Secret scan with a random forest against false positives (operator 10, DataFrame functions only).
 
-Candidates are assigned values (``name = "value"``), tokens of known providers' shapes and long
-mixed strings. Each has features: length, digits, cases, character transitions, distinct
-characters, share of hex digits, dictionary coverage (share of the value made of runs that
-look like words), what its path says and what the words before it say. A random forest,
+Candidates are values assigned to a secret-like name (``password = "value"``, of any length and
+characters), tokens of known providers' shapes (also inside a path or URL) and long mixed strings.
+Each has features: length, digits, cases, character transitions, share of hex digits, coverage by
+runs that look like words (a pattern; no dictionary is at hand), quotes, signs of code, what its
+path says and what the words before it say. A random forest,
 trained on labelled findings, keeps the true ones.
 
 Labelled findings are made from a stated rule with ``spark.range``: random keys of the usual
@@ -28,12 +29,19 @@ THRESHOLD = 0.5
 SECRET_WORDS = "(?i)(token|secret|passw(or)?d|pwd|api_?-?key|access_?-?key|auth|credential|bearer|private|apikey|client_?secret)"
 HARMLESS_WORDS = "(?i)(example|sample|dummy|placeholder|changeme|checksum|sha1|sha256|md5|digest|commit|uuid|version|test|fixture)"
 HARMLESS_PATHS = "(?i)(test|fixture|example|sample|docs?/|readme)"
-PROVIDERS = "^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk_(live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_.-]{10,})$"
-#: A candidate: a whole run of at least 16 of these characters with a digit among them.
-CANDIDATE = "(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9_+/.-]{16,}+"
+_SHAPES = "AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk_(live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_.-]{10,}"
+PROVIDERS = f"^({_SHAPES})$"
+_INSIDE = f"(?<![A-Za-z0-9])(?:{_SHAPES})(?![A-Za-z0-9])"
+#: A secret-like name and its sign; what is assigned follows. The guard keeps most places from the longer look back.
+_GUARD = "(?<=[=:>][ \\t]{0,4}[\"']?)"
+_NAME = "(?i:token|secret|passw(?:or)?d|passphrase|pwd|api_?-?key|access_?-?key|auth(?!or)|credential|bearer|private)[A-Za-z0-9_-]{0,16}[\"'\\]]{0,2}[ \\t]{0,4}(?::=|=>|={1,3}|:)[ \\t]{0,4}"
+ASSIGNED = f"{_GUARD}(?:(?<={_NAME}\")[^\"\\n]++(?=\")|(?<={_NAME}')[^'\\n]++(?=')|(?<={_NAME})[^\\s\"',;=:>][^\\s\"',;]*+)"
+#: Or else a whole run of at least 16 of these characters with a digit among them, up to a provider's shape inside it.
+_RUN = f"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/.-]*[0-9])(?:(?!{_INSIDE})[A-Za-z0-9_+/.-]){{16,}}+"
+CANDIDATE = f"{ASSIGNED}|{_INSIDE}|{_RUN}"
 #: Characters before a candidate that its features look at.
 BEFORE = 32
-FEATURES = ["length", "digits", "uppers", "transitions", "hexes", "words", "symbols", "named", "harmless", "path", "provider", "assigned"]
+FEATURES = ["length", "digits", "uppers", "transitions", "hexes", "words", "symbols", "named", "harmless", "path", "provider", "assigned", "quoted", "code"]
 
 
 def features(value: Column, before: Column, sign: Column, path: Column) -> list[Column]:
@@ -53,11 +61,13 @@ def features(value: Column, before: Column, sign: Column, path: Column) -> list[
         flag(path.rlike(HARMLESS_PATHS)),
         flag(value.rlike(PROVIDERS)),
         flag(sign.rlike("[=:]")),
+        flag(sign.rlike("[\"']$")),
+        flag(value.rlike("[(\\[{<]|^[$%]|^(?i:none|null|true|false|nil|undefined|string)$")),
     ]
 
 
 def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = SEED) -> DataFrame:
-    """value, before, sign, path, label: a third true, the rest false."""
+    """value, before, sign, path, label: ``rows`` long findings, a third of them true, and half as many assigned values, half of them true."""
     r = lambda k: F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(f"{seed}.{k}"), F.col("id"))), 1, 7), 16, 10).cast("int")
     pick = lambda k, *xs: F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs]), r(k) % len(xs) + 1)
     hexes = F.sha2(F.concat_ws(":", F.lit(f"key{seed}"), F.col("id")), 512)
@@ -72,13 +82,28 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = SEE
     before_true, before_false = pick(9, "token", "my api_key", "password", "client_secret", "auth", "set access_key", "the secret"), pick(10, "name", "see", "commit", "sha256", "file", "example", "on", "id", "version", "uuid", "the")
     # a provider's shape needs no name before it
     bare = true_value.rlike(PROVIDERS) & (r(14) % 2 == 0)
-    return spark.range(rows).select(
+    long = spark.range(rows).select(
         F.when((label == 1) | (digest & ~true_value.rlike(PROVIDERS)), true_value).otherwise(false_value).alias("value"),
         F.when((label == 1) & bare, pick(15, "key", "and", "see", "the", "use", "")).when(label == 1, before_true).when(digest, pick(11, "commit", "sha1", "checksum", "digest", "md5 of", "see", "and")).otherwise(before_false).alias("before"),
         F.when(label == 1, pick(12, " = ", "=", ": ", " ")).otherwise(pick(12, " ", " ", ": ", "=")).alias("sign"),
         F.when(label == 1, F.lit("src/app.py")).otherwise(pick(13, "src/app.py", "tests/test_app.py", "docs/readme.md")).alias("path"),
         label.alias("label"),
     )
+    # values of any length assigned to secret-like names: passwords and short or unmixed keys; words of prose, code and placeholders are none
+    mark, cap = pick(16, "!", "&", "#", "$", "@", "-"), F.initcap(pick(2, *words))
+    some = lambda least, spread: F.substring(base, F.lit(1), F.lit(least) + r(17) % spread)
+    password = pick(18, F.concat(pick(2, *words), (r(8) % 1000).cast("string"), mark, F.substring(base, 1, 1)), F.concat(cap, mark, (r(8) % 100).cast("string")), F.concat(F.translate(cap, "aeo", "430"), mark, F.substring(base, 2, 1)), some(6, 12), F.substring(hexes, F.lit(1), F.lit(8) + r(17) % 8), F.translate(F.substring(base, 1, 36), "0123456789", "ghijKLMNOP"), F.lower(F.translate(some(10, 22), "0123456789", "bcdfghjklm")))
+    no_secret = pick(19, pick(2, *words), F.concat(pick(2, *words), F.lit("s")), F.substring(pick(3, *words), 1, 3), F.initcap(pick(4, *words)), F.concat(pick(2, *words), F.lit("."), pick(3, *words), F.lit("()")), F.concat(F.lit("get_"), pick(2, *words), F.lit("(")), F.lit("None"), F.lit("null"), F.lit("true"), F.concat(F.lit("${"), F.upper(pick(2, *words)), F.lit("}")), F.concat(F.lit("<"), pick(2, *words), F.lit(">")), F.lit("your_password"), F.lit("changeme"), F.lit("example"))
+    word = no_secret.rlike("^[A-Za-z]+$") & ~no_secret.isin("None", "null", "true", "changeme", "example")
+    name = pick(20, "password", "secret", "token", "api_key", "my pwd", "client_secret", "auth_token", "credential", "passwd")
+    short = spark.range(rows // 2).select(
+        F.when(F.col("id") % 2 == 0, password).otherwise(no_secret).alias("value"),
+        name.alias("before"),
+        F.when((F.col("id") % 2 == 1) & word, pick(21, ": ", "=", " = ", ":")).otherwise(pick(21, " = \"", ": \"", "='", ": ", "=", " = ")).alias("sign"),
+        pick(22, "src/app.py", "config/app.yml").alias("path"),
+        (F.col("id") % 2 == 0).cast("int").alias("label"),
+    )
+    return long.unionByName(short)
 
 
 def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> str:
@@ -119,12 +144,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
         lambda a, x: F.struct((a["at"] + x["gap"] + x["hit"]).alias("at"), F.concat(a["firsts"], F.array(a["at"] + x["gap"])).alias("firsts")),
         lambda a: a["firsts"],
     )
-    befores = F.transform("pieces", lambda p: F.right(p, F.lit(BEFORE)))
+    # a name that is itself the candidate before still stands before its value
+    joined = F.zip_with("pieces", F.concat(F.array(F.lit("")), F.col("hits")), lambda p, h: F.when(p.rlike("^[\"'=:> \\t\\]]*$"), F.concat(h, p)).otherwise(p))
+    befores = F.transform(joined, lambda p: F.right(p, F.lit(BEFORE)))
     one = rows.select("id", "path", F.posexplode(F.arrays_zip("hits", befores.alias("befores"), firsts.alias("firsts"))).alias("number", "span"))
     one = one.filter(F.col("span.hits").isNotNull())  # behind the last candidate
-    sign = F.regexp_extract(F.col("span.befores"), "[\"'=: ]*$", 0)
-    one = one.select("id", "path", "number", F.regexp_replace(F.col("span.befores"), "[\"'=: ]*$", "").alias("before"), sign.alias("sign"), F.col("span.hits").alias("value"), F.col("span.firsts").alias("first"))
-    one = one.filter(F.col("value").rlike("[A-Za-z]"))
+    ends = "[\"'=:> \\t\\]]*$"
+    sign = F.regexp_extract(F.col("span.befores"), ends, 0)
+    one = one.select("id", "path", "number", F.regexp_replace(F.col("span.befores"), ends, "").alias("before"), sign.alias("sign"), F.col("span.hits").alias("value"), F.col("span.firsts").alias("first"))
+    assigned = F.col("before").rlike(f"{SECRET_WORDS}[A-Za-z0-9_-]*$") & F.col("sign").rlike("[=:]")
+    one = one.filter(F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]") | F.col("value").rlike(PROVIDERS) | assigned)
     own = F.struct(*[c.alias(n) for c, n in zip(features(F.col("value"), F.col("before"), F.col("sign"), F.col("path")), FEATURES, strict=True)])
     scored = one.withColumn("f", own).withColumn("score", F.expr(forest)).filter(F.col("score") >= threshold)
     return scored.select(F.col("id").alias(id_col), F.col("number").cast("long").alias("number"), "value", "first", "score")
