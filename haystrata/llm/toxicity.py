@@ -1,16 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney bigram models (operator 4).
 
 Counting: every word pair of every labelled training text (crc32 remainders 0 and 1) of both
-classes. Words and contexts are hashed to 2**18 and 2**16 ids; a task keeps its distinct
-(context, word, class) types with counts as sorted runs, which are dealt by (word, context)
-ranges and merged. What is gathered grows with the labelled text; what is left is broadcast
-and bounded whatever the corpus: distinct contexts per word and class, tokens per context and
-class, and the pairs that are at least ``FREQUENT`` of a class's tokens in their range (so at
-most 1 / FREQUENT a class and range, 2**9 ranges).
+classes. Words and contexts are 64-bit hashes; a task keeps its distinct (word, context) pairs
+with the counts of both classes as sorted runs, which are dealt by word ranges and merged. All
+pairs, words and contexts are kept in two written tables of the shared folder that grow with the
+labelled text: counts by pair, and by word its continuations and its figures as a context.
 
-Model of class k: absolute discounting of the frequent pairs' counts, the rest of a context's
-mass backing off to the class's continuation counts of the word, backing off to continuation counts that both classes share,
-so a rare expression gives neither class an advantage.
+Model of class k: absolute discounting of the pairs' counts, the rest of a context's mass backing
+off to the discounted pairs of both classes together times the class's share of the word: its
+continuation counts (backing off to those that both classes share) over the shared ones. So a
+rare expression gives neither class an advantage.
+
+Scoring: a task gathers the distinct pairs and words of ``CHUNK`` bytes of text and streams the
+tables by range against them; nothing of the model is broadcast or collected but its totals.
 
 Score: the difference of length-normalised log-likelihoods and the summed evidence of a text's
 distinct strong words, calibrated by logistic regression on labelled texts of remainder 3, which the
@@ -25,38 +27,46 @@ columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haystrata.llm.quality import labelled_sample, remainder
+from haystrata.llm.scratch import materialise
 from haystrata.llm.tokens import ALNUM, slices, words
 
-WORD_BITS, CONTEXT_BITS = 18, 16
-#: Ranges by which types are dealt: the upper bits of word and context.
-WORD_CUT, CONTEXT_CUT = 6, 3
-DISCOUNT, STRONG, FREQUENT = 0.75, 2.0, 1e-3
+#: Word ranges by which pairs are dealt: the upper bits of the word.
+RANGE_BITS = 8
+DISCOUNT, STRONG = 0.75, 2.0
+#: Bytes of text that a task scores with one pass over the tables.
+CHUNK = 1 << 22
 CALIBRATION_DOCS = 6000
 THRESHOLD = 0.3
-_RUN = 1 << 21
+_RUN = 1 << 19
 _zstd = pa.Codec("zstd", compression_level=1)
 
 
 def pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context id, word id, first word of each document); a document's first word has context 0."""
+    """(context hash, word hash, first word of each document); a document's first word has context 0."""
     w = words(texts, ALNUM, lower=True)
-    word = (w.hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    context = np.zeros(len(w), np.int64)
-    context[1:] = ((w.hashes[:-1] >> np.uint64(20)) & np.uint64((1 << CONTEXT_BITS) - 1)).astype(np.int64)
+    context = np.zeros(len(w), np.uint64)
+    context[1:] = w.hashes[:-1]
     heads = w.first[:-1]
     context[heads[heads < len(w)]] = 0
-    return context, word, w.first
+    return context, w.hashes.astype(np.uint64), w.first
 
 
-def _range(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return (word >> (WORD_BITS - WORD_CUT)) << CONTEXT_CUT | context >> (CONTEXT_BITS - CONTEXT_CUT)
+def _pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A pair's hash, in the range of its word."""
+    x = (context ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) + word
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(29)
+    return word >> np.uint64(48) << np.uint64(48) | x >> np.uint64(16)
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -68,36 +78,41 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.frombuffer(_zstd.decompress(blob[9:], n * kind.itemsize, asbytes=True), kind)
 
 
-def _sum(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
+def _summed(keys: list[np.ndarray], values: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows in order of ``keys`` (the first is the main one), values of equal ones added."""
+    order = np.lexsort(keys[::-1])
+    keys, values = [k[order] for k in keys], values[order]
+    starts = np.flatnonzero(np.logical_or.reduce([np.r_[True, k[1:] != k[:-1]] for k in keys])) if len(order) else np.zeros(0, np.int64)
+    return [k[starts] for k in keys], np.add.reduceat(values, starts) if len(starts) else values
+
+
+def _rows(kind: int, keys: list[np.ndarray], values: np.ndarray) -> pa.RecordBatch:
+    """A row of blobs for each range that occurs: differences of the first key, other keys, columns of values."""
+    part = (keys[0] >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+    blobs = [[_pack(np.diff(keys[0][a:b], prepend=np.uint64(0))), *(_pack(k[a:b]) for k in keys[1:]), *(_pack(np.ascontiguousarray(values[a:b, j])) for j in range(values.shape[1]))] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int32()), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.list_(pa.binary()))], ["part", "kind", "blobs"])
+
+
+def _arrays(blobs: list, n_keys: int) -> tuple[list[np.ndarray], np.ndarray]:
+    found = [_unpack(bytes(x)) for x in blobs]
+    return [np.cumsum(found[0], dtype=np.uint64), *found[1:n_keys]], np.stack(found[n_keys:], axis=1)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted distinct (range, word, context, class) with counts, a row for each range that occurs."""
-    keys, counts, n = [], [], 0
+    """Sorted distinct (word, context) with the counts of both classes, a row for each range that occurs."""
+    held, n = [], 0
 
     def flush():
-        k, c = _sum(np.concatenate(keys), np.concatenate(counts))
-        shift = WORD_BITS + CONTEXT_BITS + 1
-        part = k >> shift
-        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(k) else np.zeros(1, np.int64)
-        inner = k & ((1 << shift) - 1)
-        rows = [(int(part[a]), _pack(np.diff(inner[a:b], prepend=0)), _pack(c[a:b].astype(np.int32))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        keys.clear()
-        counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "keys", "counts"])
+        w, c, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        return _rows(0, *_summed([w, c], v))
 
     for piece in slices(batches, "text"):
         context, word, first = pairs(piece.column("text"))
-        label = np.repeat(piece.column("label").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(first))
-        key = (_range(context, word) << WORD_BITS | word) << (CONTEXT_BITS + 1) | context << 1 | label
-        k, c = np.unique(key, return_counts=True)
-        keys.append(k)
-        counts.append(c)
-        n += len(k)
+        label = np.repeat(piece.column("label").to_numpy(zero_copy_only=False) > 0, np.diff(first))
+        held.append((word, context, np.stack([~label, label], axis=1).astype(np.int64)))
+        n += len(word)
         if n >= _RUN:
             yield flush()
             n = 0
@@ -105,105 +120,125 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, list]]]]:
+    """(range, its rows); rows come in order of range."""
+    rows = ((p, k, b) for batch in batches for p, k, b in zip(*(batch.column(x).to_pylist() for x in ("part", "kind", "blobs")), strict=True))
+    for part, own in groupby(rows, key=lambda r: r[0]):
+        yield part, ((k, b) for _, k, b in own)
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of range: the runs of each are merged, compacted as they grow, and summed up."""
-    part, keys, counts, n = None, [], [], 0
-
-    def close():
-        k, c = _sum(np.concatenate(keys), np.concatenate(counts))
-        label, context, word = k & 1, k >> 1 & ((1 << CONTEXT_BITS) - 1), k >> (CONTEXT_BITS + 1) & ((1 << WORD_BITS) - 1)
-        w0, c0 = (part >> CONTEXT_CUT) << (WORD_BITS - WORD_CUT), (part & ((1 << CONTEXT_CUT) - 1)) << (CONTEXT_BITS - CONTEXT_CUT)
-        nw, nc = 1 << (WORD_BITS - WORD_CUT), 1 << (CONTEXT_BITS - CONTEXT_CUT)
-        tables = [np.bincount(word - w0 + nw * label, minlength=2 * nw)]
-        either = np.flatnonzero(np.r_[True, k[1:] >> 1 != k[:-1] >> 1])
-        tables.append(np.bincount(word[either] - w0, minlength=nw))
-        tables.append(np.bincount(context - c0 + nc * label, weights=c, minlength=2 * nc))
-        total = np.bincount(label, weights=c, minlength=2)
-        often = np.isin(k >> 1, (k >> 1)[c >= np.maximum(3, FREQUENT * total[label])])
-        tables += [(k >> 1 & ((1 << (WORD_BITS + CONTEXT_BITS)) - 1))[often], label[often], c[often]]
-        blobs = [_pack(t.astype(np.int64)) for t in tables]
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blobs], pa.list_(pa.binary()))], ["part", "tables"])
-
-    for batch in batches:
-        for p, k, c in zip(*(batch.column(x).to_pylist() for x in ("part", "keys", "counts")), strict=True):
-            if p != part and part is not None:
-                yield close()
-                keys, counts, n = [], [], 0
-            part = p
-            keys.append(np.cumsum(_unpack(k)))
-            counts.append(_unpack(c).astype(np.int64))
-            n += len(keys[-1])
-            if n >= 2 * _RUN:
-                keys, counts = ([x] for x in _sum(np.concatenate(keys), np.concatenate(counts)))
-                n = len(keys[0])
-    if part is not None and keys:
-        yield close()
+    """Of each range the counts by pair (kind 0), continuations by word (1) and the range's share of what contexts need (2)."""
+    for _, rows in _ranges(batches):
+        held, n, least = [], 0, 2 * _RUN
+        for _, blobs in rows:
+            (w, c), v = _arrays(blobs, 2)
+            held.append((w, c, v))
+            n += len(w)
+            if n >= least:
+                (w, c), v = _summed(*_joined(held))
+                held, n = [(w, c, v)], len(w)
+                least = max(least, 2 * n)
+        (w, c), v = _summed(*_joined(held))
+        yield _rows(0, *_summed([_pair_keys(c, w)], v))
+        zero = np.zeros(len(w), np.int64)
+        yield _rows(1, *_summed([w], np.stack([v[:, 0] > 0, v[:, 1] > 0, zero + 1, zero, zero, zero, zero, zero], axis=1).astype(np.int64)))
+        yield _rows(2, *_summed([c], np.stack([zero, zero, zero, v[:, 0], v[:, 1], v[:, 0] > 0, v[:, 1] > 0, zero + 1], axis=1).astype(np.int64)))
+
+
+def _joined(held: list[tuple]) -> tuple[list[np.ndarray], np.ndarray]:
+    *keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
+    return keys, values
+
+
+def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kinds 1 and 2 of each range merged: continuations of both classes and of either, tokens, types and either class's types as a context; with totals."""
+    for _, rows in _ranges(batches):
+        keys, v = _summed(*_joined([(k[0], x) for k, x in (_arrays(b, 1) for _, b in rows)]))
+        batch = _rows(1, keys, v)
+        totals = [*v.sum(axis=0)[:5].tolist(), *(v[:, :2] > 0).sum(axis=0).tolist(), len(v)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([totals], pa.list_(pa.int64()))], ["part", "kind", "blobs", "totals"])
+
+
+def _looked_up(files: list[str], keys: np.ndarray, width: int) -> np.ndarray:
+    """The values of ascending ``keys`` in a written table, a range at a time; 0 where a key is not in it."""
+    out = np.zeros((len(keys), width))
+    for name in files:
+        fs, path = pyarrow.fs.FileSystem.from_uri(name)
+        with fs.open_input_file(path) as source:
+            for batch in pq.ParquetFile(source).iter_batches(batch_size=1, columns=["part", "blobs"]):
+                part, blobs = batch.column("part")[0].as_py(), batch.column("blobs")[0].as_py()
+                a = int(np.searchsorted(keys, np.uint64(part << (64 - RANGE_BITS))))
+                b = int(np.searchsorted(keys, np.uint64((part + 1 << (64 - RANGE_BITS)) - 1), "right"))
+                if b > a:
+                    (known,), values = _arrays(blobs, 1)
+                    at = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
+                    hit = known[at] == keys[a:b]
+                    out[a:b][hit] = values[at[hit]]
+    return out
 
 
 class KneserNey:
-    """The two classes' models as tables of fixed or bounded size."""
-
-    def __init__(self, rows: list):
-        nw, nc = 1 << WORD_BITS, 1 << CONTEXT_BITS
-        kinds, shared, tokens, often = np.zeros((2, nw)), np.zeros(nw), np.zeros((2, nc)), [(np.zeros(0, np.int64),) * 3]
-        for row in rows:
-            w0 = (row["part"] >> CONTEXT_CUT) << (WORD_BITS - WORD_CUT)
-            c0 = (row["part"] & ((1 << CONTEXT_CUT) - 1)) << (CONTEXT_BITS - CONTEXT_CUT)
-            a, b, c, *pair = (_unpack(bytes(x)) for x in row["tables"])
-            kinds[:, w0 : w0 + len(b)] += a.reshape(2, -1)
-            shared[w0 : w0 + len(b)] += b
-            tokens[:, c0 : c0 + len(c) // 2] += c.reshape(2, -1)
-            often.append(tuple(pair))
-        self.ready = bool(tokens[0].sum() and tokens[1].sum())
-        if not self.ready:
-            return
-        # continuation counts that both classes share, with half a count for a word never seen
-        base = (shared + 0.5) / (shared.sum() + 0.5 * nw)
-        total, used = kinds.sum(axis=1, keepdims=True), (kinds > 0).sum(axis=1, keepdims=True)
-        self.lower = ((np.maximum(kinds - DISCOUNT, 0) + DISCOUNT * used * base) / total).astype(np.float32)
-        key, label, count = (np.concatenate(x) for x in zip(*often, strict=True))
-        self.keys, at = np.unique(key, return_inverse=True)
-        context = self.keys & (nc - 1)
-        given = np.zeros((2, len(self.keys)))
-        given[label, at] = np.maximum(count - DISCOUNT, 0)
-        given /= np.maximum(tokens[:, context], 1)
-        self.back = np.stack([np.clip(1 - np.bincount(context, weights=g, minlength=nc), 0.01, 1) for g in given]).astype(np.float32)
-        self.given = given.astype(np.float32)
-        self.heads = np.zeros(nc, bool)
-        self.heads[context] = True
+    """The two classes' models: the files of the written tables and totals."""
+
+    def __init__(self, pair_files: list[str], word_files: list[str], totals: list[int]):
+        self.pair_files, self.word_files = pair_files, word_files
+        self.kinds, self.shared, tokens, self.used, self.n_words = np.array(totals[:2], float), totals[2], totals[3:5], np.array(totals[5:7], float), totals[7]
+        self.ready = bool(tokens[0] and tokens[1])
 
     def ratios(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log p(word | context, toxic) - log p(word | context, ordinary)"""
-        prob = self.back[:, context] * self.lower[:, word]
-        if len(self.keys):
-            maybe = np.flatnonzero(self.heads[context])
-            key = word[maybe] << CONTEXT_BITS | context[maybe]
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            hit = self.keys[at] == key
-            prob[:, maybe[hit]] += self.given[:, at[hit]]
-        return np.log(prob[1]) - np.log(prob[0])
+        keys, first, at = np.unique(_pair_keys(context, word), return_index=True, return_inverse=True)
+        context, word = context[first], word[first]
+        heads = np.unique(np.concatenate([context, word]))
+        figures = _looked_up(self.word_files, heads, 8)
+        of_word, of_context = figures[np.searchsorted(heads, word), :3], figures[np.searchsorted(heads, context), 3:]
+        # continuation counts that both classes share, with half a count for a word never seen
+        base = (of_word[:, 2] + 0.5) / (self.shared + 0.5 * (self.n_words + 1))
+        counts = _looked_up(self.pair_files, keys, 2)
+        # the pair in both classes together: a rare pair gives neither class an advantage
+        n, total = counts.sum(axis=1), of_context[:, :2].sum(axis=1)
+        either = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1) + np.where(total > 0, DISCOUNT * of_context[:, 4] / np.maximum(total, 1), 1.0) * base
+        prob = []
+        for k in (0, 1):
+            lower = (np.maximum(of_word[:, k] - DISCOUNT, 0) + DISCOUNT * self.used[k] * base) / self.kinds[k]
+            tokens = of_context[:, k]
+            back = np.where(tokens > 0, DISCOUNT * of_context[:, 2 + k] / np.maximum(tokens, 1), 1.0)
+            prob.append(np.maximum(counts[:, k] - DISCOUNT, 0) / np.maximum(tokens, 1) + back * either * lower / base)
+        return (np.log(prob[1]) - np.log(prob[0]))[at]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows again in batches of about ``CHUNK`` bytes."""
+    held, n = [], 0
+    for piece in slices(batches, "text", CHUNK):
+        held.append(piece)
+        n += piece.nbytes
+        if n >= CHUNK:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def _evidence(model):
     """For mapInArrow: mean log ratio, log of strong evidence, log of length, in the place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kn = model.value
-        for piece in slices(batches, "text"):
+        for piece in _chunks(batches):
             context, word, first = pairs(piece.column("text"))
-            r = kn.ratios(context, word).astype(np.float64)
+            r = model.ratios(context, word)
             n = np.diff(first)
             upto = lambda x: np.r_[0.0, np.cumsum(x)]
             a = upto(np.clip(r, -3, 6))
             mean = (a[first[1:]] - a[first[:-1]]) / np.maximum(n, 1)
             # strong evidence: each word of a document once, at its strongest
             at = np.flatnonzero(r > STRONG)
-            key = (np.searchsorted(first, at, "right") - 1) << WORD_BITS | word[at]
-            order = np.lexsort((-r[at], key))
-            at, key = at[order], key[order]
-            fresh = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-            strong = np.log1p(np.bincount(key[fresh] >> WORD_BITS, weights=np.minimum(r[at[fresh]], 8) - STRONG, minlength=piece.num_rows))
+            doc = np.searchsorted(first, at, "right") - 1
+            order = np.lexsort((-r[at], word[at], doc))
+            at, doc = at[order], doc[order]
+            fresh = np.r_[True, (doc[1:] != doc[:-1]) | (word[at[1:]] != word[at[:-1]])] if len(at) else np.zeros(0, bool)
+            strong = np.log1p(np.bincount(doc[fresh], weights=np.minimum(r[at[fresh]], 8) - STRONG, minlength=piece.num_rows))
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in piece.schema.names if c != "text"), pa.array(mean), pa.array(strong), pa.array(np.log1p(n))], [*(c for c in piece.schema.names if c != "text"), "mean", "strong", "length"])
 
     return run
@@ -231,25 +266,28 @@ def _design(mean, strong, length) -> np.ndarray:
 
 def score(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, calibrate: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, most: int = CALIBRATION_DOCS) -> DataFrame:
     """One row per document: ``id_col``, held_out, score of label 1, predicted."""
-    spark, rest = docs.sparkSession, remainder("id", modulus)
+    rest = remainder("id", modulus)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     counted = known.filter((rest != held_out) & (rest != calibrate))
     learn = texts.filter((rest != held_out) & (rest != calibrate)).join(counted.hint("shuffle_hash"), "id").select("text", "label")
-    runs = learn.mapInArrow(_runs, "part int, keys binary, counts binary")
-    merged = runs.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(_merged, "part int, tables array<binary>")
-    model = KneserNey(merged.collect())  # at most 2**9 rows of tables of fixed size
+    blobs = "part int, kind int, blobs array<binary>"
+    dealt = lambda rows: rows.repartition(F.col("part")).sortWithinPartitions("part")
+    counts = materialise(dealt(learn.mapInArrow(_runs, blobs)).mapInArrow(_merged, blobs), "toxic-counts", ("kind",))
+    by_pair = counts.filter("kind = 0")
+    by_word = materialise(dealt(counts.filter("kind > 0").select("part", "kind", "blobs")).mapInArrow(_figures, blobs + ", totals array<bigint>"), "toxic-words")
+    totals = by_word.agg(*[F.coalesce(F.sum(F.col("totals")[k]), F.lit(0)) for k in range(8)]).first()
+    model = KneserNey([f for f in by_pair.inputFiles() if "/kind=0/" in f], list(by_word.inputFiles()), list(totals))
     kind = docs.schema[id_col].dataType.simpleString()
     base = known.filter(rest == calibrate).agg(F.avg("label")).first()[0] or 0.0
     if model.ready:
-        held = spark.sparkContext.broadcast(model)
+        found = materialise(texts.mapInArrow(_evidence(model), f"id {kind}, mean double, strong double, length double"), "toxic-evidence")
         sample = labelled_sample(labels, id_col, label_col, remainder(id_col, modulus) == calibrate, most)
-        seen = texts.join(F.broadcast(sample), "id").mapInArrow(_evidence(held), f"id {kind}, label int, mean double, strong double, length double").toArrow()
+        seen = found.join(F.broadcast(sample), "id").select("label", "mean", "strong", "length").toArrow()
         x = _design(*(seen.column(c).to_numpy() for c in ("mean", "strong", "length")))
         y = seen.column("label").to_numpy()
         order = np.lexsort(x.T)
         beta = _logistic(x[order], np.clip(y[order], 0, 1)) if len(y) and 0 < y.sum() < len(y) else np.r_[1.0, 0, 0, 0, 0]
-        found = texts.mapInArrow(_evidence(held), f"id {kind}, mean double, strong double, length double")
         mean, strong, length = F.col("mean"), F.col("strong"), F.col("length")
         z = 10 * mean * float(beta[0]) + strong * float(beta[1]) + strong * length * float(beta[2]) + length * float(beta[3]) + float(beta[4])
         found = found.select("id", (1 / (1 + F.exp(-z))).alias("score"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from haystrata import queries
-from haystrata.llm import html_text, licenses, secrets
+from haystrata.llm import html_text, licenses, secrets, toxicity
 from haystrata.operators import retrieval
 
 
@@ -71,3 +75,24 @@ def test_secrets_assigned_and_inside_runs(spark):
     ]
     got = {r.doc_id: (r.value, r.first) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, want string")).collect()}
     assert got == {k: (want, text.index(want)) for k, text, want in rows if want}
+
+
+def test_toxicity_keeps_every_pair(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{(k * 7 + j * j) % 900}" for j in range(60))) for k in range(400)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int")
+    made = []
+    monkeypatch.setattr(toxicity, "_evidence", lambda model, make=toxicity._evidence: made.append(model) or make(model))
+    toxicity.score(docs, labels).count()
+    seen: dict = {}
+    for k, text in rows:
+        if zlib.crc32(str(k).encode()) % 4 < 2:
+            w = text.split()
+            for pair in zip([None, *w[:-1]], w, strict=True):
+                seen.setdefault(pair, [0, 0])[k % 2] += 1
+    assert min(map(sum, seen.values())) == 1  # the old model kept pairs from 3 on
+    context, word, _ = toxicity.pairs(pa.array([f"{a} {b}" for a, b in seen if a]))
+    keys, first = np.unique(toxicity._pair_keys(context[1::2], word[1::2]), return_index=True)
+    want = np.array([v for (a, _), v in seen.items() if a])[first]
+    assert len(keys) == sum(a is not None for a, _ in seen)
+    assert (toxicity._looked_up(made[0].pair_files, keys, 2) == want).all()
+    assert made[0].n_words == len({w for pair in seen for w in pair})
