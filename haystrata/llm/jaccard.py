@@ -14,7 +14,7 @@ Set relations are used at three levels:
   its lists have: near copies share it. A family is solved in one task (split by size where it
   is larger than ``FAMILY_TOKENS``): each set is compared with the sets of other components
   only, parity bitmaps bound the symmetric difference from below, and what they leave is
-  counted on the sets. No pair of a family leaves the task, only each set's component.
+  counted on the sets. No set's answers are derived from another's. No pair of a family leaves the task, only each set's component.
 * Lists that still hold several families and several components are read in order of size and
   position; blocks of a list whose size or position cannot reach t are skipped, and remaining
   pairs of different families and components are verified.
