@@ -2,8 +2,9 @@
 
 ``SPACE`` words are ``[^\\x20\\x09-\\x0D]+``; ``ALNUM`` words are
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. No per-word Python object
-is made. Word hashes are 64-bit: a random table value per byte, times a power of an odd
-number by position, mixed; equal words have equal hashes everywhere.
+is made. Word hashes are 64-bit: the sum of a random value for each byte at its place in the word,
+mixed; equal words have equal hashes everywhere, and no pattern of letters makes different words
+meet (a polynomial modulo 2**64 gives long Thue-Morse words one hash).
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE, _WBASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
+#: Places of a word whose values are tabulated; later ones are computed.
+PLACES = 64
+_AT_PLACE = _rng.integers(0, 2**64, PLACES * 256, dtype=np.uint64)
+_WBASE = 0xD6E8FEB86659FD93 | 1
 _lower = np.arange(256)
 _lower[65:91] += 32
 LOWER = _lower.astype(np.uint8)
@@ -45,7 +48,7 @@ class _Powers:
         return self.up, self.down
 
 
-_bytes_pow, _words_pow = _Powers(_BASE), _Powers(_WBASE)
+_words_pow = _Powers(_WBASE)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -90,6 +93,24 @@ def raw(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf, at - at[0]
 
 
+def _hashes(buf: np.ndarray, inside: np.ndarray, sizes: np.ndarray, lower: bool) -> np.ndarray:
+    """Hashes of the words whose bytes are ``inside``, of these sizes."""
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    own = buf[inside]
+    heads = np.cumsum(sizes) - sizes
+    place = np.arange(len(own)) - np.repeat(heads, sizes)
+    place *= 256
+    place += LOWER[own] if lower else own
+    if int(sizes.max()) <= PLACES:
+        value = _AT_PLACE[place]
+    else:
+        far = place >= len(_AT_PLACE)
+        value = _AT_PLACE[np.where(far, 0, place)]
+        value[far] = mix(place[far].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(np.add.reduceat(value, heads))
+
+
 def words(texts: pa.Array | pa.ChunkedArray, kind: np.ndarray = SPACE, lower: bool = False) -> Words:
     buf, at = raw(texts)
     n = len(buf)
@@ -108,16 +129,7 @@ def words(texts: pa.Array | pa.ChunkedArray, kind: np.ndarray = SPACE, lower: bo
     shut[cuts - 1] = inside[cuts - 1]
     ends = np.flatnonzero(shut) + 1
     first = np.searchsorted(starts, at)
-    table = _BYTE[LOWER] if lower else _BYTE
-    table = np.where(kind, table, np.uint64(0))
-    if len(starts):
-        up, down = _bytes_pow.upto(n)
-        value = table[buf]
-        value *= up[:n]
-        h = mix(np.add.reduceat(value, starts) * down[starts])
-    else:
-        h = np.zeros(0, np.uint64)
-    return Words(buf, starts, ends, first, h)
+    return Words(buf, starts, ends, first, _hashes(buf, inside, ends - starts, lower))
 
 
 def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
