@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haystrata.llm.scratch import materialise
+from haystrata.llm.scratch import free, materialise
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -22,12 +22,15 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """links: long columns a, b. Returns node, component (its smallest node) of every node but the smallest of each."""
+    """links: long columns a, b. Returns node, component (its smallest node) of every node but the smallest of each, as a written table."""
     at = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") > F.col("b")).distinct(), "links")
     mark = None
     while True:
-        at = materialise(_star(_star(at, True), False), "stars")
+        before, at = at, materialise(_star(_star(at, True), False), "stars")
+        free(before)
         now = at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
-            return at.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out = materialise(at.select(F.col("a").alias("node"), F.col("b").alias("component")), "components")
+            free(at)
+            return out
         mark = tuple(now)

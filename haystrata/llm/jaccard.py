@@ -3,26 +3,32 @@
 A document's set: 64-bit hashes of its distinct ``SHINGLE``-word shingles. Tokens have one
 global order, rare first: a count sketch of fixed size over all shingles of all documents gives
 each token a frequency class, the token's hash decides inside a class (any fixed order is
-exact; the sketch only keeps lists short). With Jaccard >= t two sets share ``SHARED`` tokens
-(or all that the smaller must share) among the first n - ceil(t n) + SHARED of each. A posting
-is live if its list has a set within the size bound, a set if it has that many live postings.
+exact; the sketch only keeps lists short). With Jaccard >= t two sets, the smaller of n tokens,
+share ``share(n)`` tokens among the first n - ceil(t n) + share(n) of each. A posting is live if its
+list has a set within the size bound, a set if it has as many live postings as its smallest
+partner would have to share with it.
 
-Set relations are used at three levels:
+Set relations are used at four levels:
 
 * Equal sets are one set: all documents of a set follow its smallest document.
-* Answers: a list's anchor is its smallest set, and a set's family is the anchor that most of
-  its lists have: near copies share it. A family is solved in one task (split by size where it
-  is larger than ``FAMILY_TOKENS``): each set is compared with the sets of other components
-  only, parity bitmaps bound the symmetric difference from below, and what they leave is
-  counted on the sets. No set's answers are derived from another's. No pair of a family leaves the task, only each set's component.
+* A list's anchor is its smallest set, and a set's family is the anchor that most of its lists
+  have: near copies share it. Families are dealt in blocks, and every pair of blocks is a task,
+  so no task holds a family that is large. Parity bitmaps, which bound the symmetric difference of
+  two sets from below, first drop the sets that no other set of the family can link with.
+* Answers: in a task a set that is like an earlier one takes that as its anchor and keeps only its
+  differences from it. The overlap of two sets of one anchor is derived from the anchor's answers:
+  bounds from the two overlaps with the anchor decide most pairs, the differences the others.
+  A set is compared with sets of other components only.
 * Lists that still hold several families and several components are read in order of size and
-  position; blocks of a list whose size or position cannot reach t are skipped, and remaining
-  pairs of different families and components are verified.
-
-Verification compares whole token sets. Components are the exact connected components of all
-links. Null and empty texts have no shingle and link with nothing; a shorter text is one
-shingle. Ids are integers; rows of one id are one node; a row with a null id links with
-nothing and has a null component. Only the id and text columns are read.
+  position; blocks of a list whose size or position cannot reach t are skipped. Long lists are
+  dealt in blocks too. First only one pair of sets is compared for each pair of components of a list,
+  then, with the components that this leaves, all. Pairs are verified by bitmap, then on the sets.
+
+Components are the exact connected components of all links. Null and empty texts have no shingle
+and link with nothing; a shorter text is one shingle. Ids are integers; rows of one id are one
+node; a row with a null id links with nothing and has a null component. Only the id and text
+columns are read. Two different shingles of two compared sets have one hash with a chance of
+n**2 / 2**64, so links are exact at any corpus size.
 """
 
 from __future__ import annotations
@@ -36,15 +42,24 @@ from pyspark.sql import functions as F
 
 from haystrata.llm.components import connected_components
 from haystrata.llm.packing import pack, unpack
-from haystrata.llm.scratch import materialise
+from haystrata.llm.scratch import free, materialise
 from haystrata.llm.tokens import SPACE, sequence_hash, slices, windows, words
 
 SHINGLE, PERCENT = 3, 90
 SKETCH_BITS, CHUNK_BITS = 20, 4
-#: Tokens that two linked sets share among their prefixes.
-SHARED = 4
-#: Tokens of a family that one task solves together.
-FAMILY_TOKENS = 1 << 23
+#: Two linked sets, the smaller of n tokens, share SHARED + n / SHARED_PART tokens (or all that they must) among their prefixes.
+SHARED, SHARED_PART = 4, 32
+#: A family of T tokens is dealt in about sqrt(T / FAMILY_TOKENS) blocks, a list of L sets in sqrt(L / LIST_SETS).
+FAMILY_TOKENS, LIST_SETS = 1 << 15, 1 << 10
+
+
+def share(n, percent: int):
+    """Tokens that a set of ``n`` shares in the prefixes with any larger set that it links with."""
+    return np.minimum((percent * n + 99) // 100, SHARED + n // SHARED_PART)
+
+
+def _share_sql(n: str, percent: int) -> str:
+    return f"least(({percent} * {n} + 99) div 100, {SHARED} + {n} div {SHARED_PART})"
 
 
 def shingles(texts: pa.Array, k: int, percent: int = 0) -> list[np.ndarray]:
@@ -107,25 +122,36 @@ def frequency_classes(texts: DataFrame, k: int) -> np.ndarray:
     return out
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """At least two bits a token: bit h mod size is the parity of the tokens there. Tokens that two sets do
+    not share number at least the bits in which their bitmaps differ; halves fold by exclusive or."""
+    bits = max(64, 1 << (2 * len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def digests(h: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums over a set."""
+    return int(np.bitwise_xor.reduce(h * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(29)))), int(np.sum((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9), dtype=np.uint64))
+
+
 def _sets(k: int, percent: int, classes):
-    """id, set size, two digests of the set, its prefix in the global order."""
+    """id, set size, two digests of the set, its prefix in the global order, its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = classes.value
         for piece in slices(batches, "text"):
             own = shingles(piece.column("text"), k)
-            sizes, ones, twos, prefixes = [], [], [], []
+            marks, prefixes = [digests(h) if len(h) else (0, 0) for h in own], []
             for h in own:
                 n = len(h)
-                sizes.append(n)
-                ones.append(int(np.bitwise_xor.reduce(h * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(29)))) if n else 0)
-                twos.append(int(np.sum((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9), dtype=np.uint64)) if n else 0)
-                least = (percent * n + 99) // 100
-                p = n - least + min(SHARED, least)
+                p = n - (percent * n + 99) // 100 + int(share(n, percent))
                 order = np.lexsort((h, rare[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:p]
                 prefixes.append(h[order])
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in prefixes])], pa.int32()), pa.array(np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(sizes, pa.int64()), pa.array(np.array(ones, np.uint64).view(np.int64)), pa.array(np.array(twos, np.uint64).view(np.int64)), lists], ["id", "n", "one", "two", "prefix"])
+            one, two = (pa.array(np.array([m[j] for m in marks], np.uint64).view(np.int64)) for j in (0, 1))
+            maps = pa.array([bitmap(h) if len(h) else b"" for h in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array([len(h) for h in own], pa.int64()), one, two, lists, maps], ["id", "n", "one", "two", "prefix", "map"])
 
     return run
 
@@ -169,20 +195,10 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _parities(sets: list[np.ndarray]) -> np.ndarray:
-    """A bitmap for each set: bit h mod size is the parity of its tokens there. Tokens that two sets
-    do not share number at least the bits in which their bitmaps differ."""
-    bits = 1 << min(16, max(6, int(4 * max(map(len, sets))).bit_length()))
-    out = np.zeros((len(sets), bits // 64), np.uint64)
-    for k, s in enumerate(sets):
-        odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-        out[k] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
-    return out
-
-
 def _live(percent: int):
-    """Postings in order of token and size, one row of state: those whose list has a neighbour within the
-    size bound (sizes ascend, so the nearest decides), with the list's first set as anchor."""
+    """Postings in order of token, size and set: those whose list has a neighbour within the size bound (sizes
+    ascend, so the nearest decides), with the list's first set as anchor. The first and last posting of a task
+    may have their neighbour in another task and stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, anchor, before = np.zeros((4, 0), np.int64), None, None
@@ -195,11 +211,10 @@ def _live(percent: int):
             start = np.maximum.accumulate(np.where(head, np.arange(len(token)), -1))
             first = np.where(start >= 0, rep[np.maximum(start, 0)], 0 if anchor is None else anchor)
             prior = np.r_[0 if before is None else before[1], n[:-1]]
-            up = ~head & (100 * prior >= percent * n)
-            then = np.r_[token[1:], -1 if behind is None else behind[0]], np.r_[n[1:], 0 if behind is None else behind[1]]
-            same = then[0] == token
-            same[-1] &= behind is not None
-            keep = up | same & (100 * n >= percent * then[1])
+            keep = ~head & (100 * prior >= percent * n)
+            then = np.r_[token[1:], token[-1] if behind is None else behind[0]], np.r_[n[1:], n[-1] if behind is None else behind[1]]
+            keep |= (then[0] == token) & (100 * n >= percent * then[1])
+            keep[0] |= before is None
             anchor, before = int(first[-1]), (int(token[-1]), int(n[-1]))
             return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, n, pos, rep, first)], ["token", "n", "pos", "rep", "anchor"])
 
@@ -214,28 +229,126 @@ def _live(percent: int):
     return run
 
 
+def _maps(blobs: pa.ChunkedArray, bits: int) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, folded to ``bits``."""
+    out = np.zeros((len(blobs), bits // 64), np.uint64)
+    for k, blob in enumerate(blobs):
+        own = np.frombuffer(blob.as_buffer(), np.uint64)
+        while len(own) > bits // 64:
+            own = own[: len(own) // 2] ^ own[len(own) // 2 :]
+        out[k] = own
+    return out
+
+
+def _by_size(n: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first, end, bits) of sets whose bitmaps have one size; ``n`` ascends."""
+    bits = np.array([max(64, 1 << (2 * int(x) - 1).bit_length()) for x in n], np.int64)
+    cuts = np.flatnonzero(np.r_[True, bits[1:] != bits[:-1], True]) if len(n) else np.zeros(1, np.int64)
+    return [(int(a), int(b), int(bits[a])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+class Neighbours:
+    """Sets in order of size with their bitmaps: which later sets can link with one of them."""
+
+    def __init__(self, n: np.ndarray, blobs: pa.ChunkedArray, percent: int):
+        self.n, self.percent, self.classes = n, percent, []
+        for a, b, bits in _by_size(n):
+            # a linked set has at most twice the tokens, so its bitmap folds once at most
+            end = int(np.searchsorted(n, 100 * n[b - 1] // percent, "right"))
+            self.classes.append((a, b, _maps(blobs[a:end], bits)))
+
+    def after(self, i: int, candidates: np.ndarray) -> np.ndarray:
+        """Of ascending later places the ones whose size and bitmap allow a link with set ``i``."""
+        first, _, maps = next(c for c in self.classes if c[0] <= i < c[1])
+        j = candidates[: np.searchsorted(candidates, np.searchsorted(self.n, 100 * self.n[i] // self.percent, "right"))]
+        apart = np.bitwise_count(maps[j - first] ^ maps[i - first]).sum(axis=1, dtype=np.int64)
+        return j[(100 + self.percent) * apart <= (100 - self.percent) * (self.n[j] + self.n[i])]
+
+
+def _ordered(table: pa.Table) -> pa.Table:
+    return table.sort_by([("n", "ascending"), ("rep", "ascending")])
+
+
+def _may_link(percent: int):
+    """One pair of a family's blocks: the sets that some other set of it may link with."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table, split = _ordered(table), key[1] != key[2]
+        n, part = table.column("n").to_numpy(), table.column("part").to_numpy()
+        near, found, places = Neighbours(n, table.column("map"), percent), np.zeros(len(n), bool), np.arange(len(n))
+        for i in range(len(n) - 1):
+            j = places[i + 1 :]
+            if split:
+                j = j[part[j] != part[i]]
+            if found[i]:
+                j = j[~found[j]]
+            j = near.after(i, j)
+            found[j] = True
+            found[i] |= len(j) > 0
+        return pa.table({"rep": table.column("rep").filter(pa.array(found))})
+
+    return run
+
+
+class Answers:
+    """Sets by their difference from an earlier, similar set, their anchor, whose answers they start from."""
+
+    def __init__(self, sets: list[np.ndarray], near: Neighbours, percent: int):
+        self.sets, self.percent, m = sets, percent, len(sets)
+        self.n = np.array([len(s) for s in sets], np.int64)
+        self.anchor, self.both = np.arange(m), self.n.copy()
+        self.more, self.less = [np.zeros(0, np.uint64)] * m, [np.zeros(0, np.uint64)] * m
+        taken = np.zeros(m, bool)
+        for a in range(m):
+            if taken[a]:
+                continue
+            open_ = a + 1 + np.flatnonzero(~taken[a + 1 :])
+            for x in near.after(a, open_).tolist():
+                hit = self._inside(sets[x], sets[a])
+                self.anchor[x], self.both[x], taken[x] = a, int(hit.sum()), True
+                self.more[x] = sets[x][~hit]
+                self.less[x] = sets[a][~self._inside(sets[a], sets[x])]
+
+    @staticmethod
+    def _inside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which tokens of one set another has."""
+        at = np.searchsorted(b, a)
+        at[at == len(b)] = 0
+        return b[at] == a
+
+    def links(self, i: int, j: np.ndarray) -> np.ndarray:
+        """1 where the anchor's answers make a link certain, 0 where they leave it open, -1 where they rule it out."""
+        one = self.anchor[j] == self.anchor[i]
+        least = self.both[i] + self.both[j] - self.n[self.anchor[i]]
+        most = np.minimum(self.both[i], self.both[j]) + np.minimum(self.n[i] - self.both[i], self.n[j] - self.both[j])
+        need = self.percent * (self.n[i] + self.n[j])
+        return np.where(one, np.where((100 + self.percent) * least >= need, 1, np.where((100 + self.percent) * most < need, -1, 0)), 0)
+
+    def overlap(self, i: int, j: int) -> int:
+        if self.anchor[i] != self.anchor[j]:
+            return int(self._inside(self.sets[i], self.sets[j]).sum())
+        a = self.anchor[i]
+        gone = len(np.union1d(self.less[i], self.less[j]))
+        added = int(self._inside(self.more[i], self.more[j]).sum()) if len(self.more[j]) else 0
+        return int(self.n[a]) - gone + added
+
+
 def _solve(percent: int):
-    """One family, or part of it: every set's component among its sets."""
+    """One pair of a family's blocks: every set's component among the sets of both."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        sets = [x.values.to_numpy().view(np.uint64) for x in table.column("tokens")]
-        order = sorted(range(len(ids)), key=lambda k: (len(sets[k]), ids[k]))
-        ids, sets = ids[order], [sets[k] for k in order]
-        n, maps = np.array([len(s) for s in sets]), _parities(sets)
-        comp = np.arange(len(ids))
+        table, split = _ordered(table), key[1] != key[2]
+        ids, n, part = (table.column(c).to_numpy() for c in ("rep", "n", "part"))
+        near = Neighbours(n, table.column("map"), percent)
+        answers = Answers([x.values.to_numpy().view(np.uint64) for x in table.column("tokens")], near, percent)
+        comp, places = np.arange(len(ids)), np.arange(len(ids))
         for i in range(len(ids)):
-            # sizes ascend: only the sets up to the size bound come into question
-            last = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
-            j = np.arange(i + 1, last)
-            j = j[comp[i + 1 : last] != comp[i]]
-            apart = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
-            j = j[(100 + percent) * apart <= (100 - percent) * (n[j] + n[i])]
-            for x in j.tolist():
-                if comp[x] != comp[i]:
-                    both = _overlap(sets[i], sets[x])
-                    if 100 * both >= percent * (n[i] + n[x] - both):
-                        comp[comp == comp[x]] = comp[i]
+            j = places[i + 1 :]
+            j = j[(comp[j] != comp[i]) & (part[j] != part[i])] if split else j[comp[j] != comp[i]]
+            j = near.after(i, j)
+            for x, known in zip(j.tolist(), answers.links(i, j).tolist(), strict=True):
+                if known >= 0 and comp[x] != comp[i] and (known or (100 + percent) * answers.overlap(i, x) >= percent * (n[i] + n[x])):
+                    comp[comp == comp[x]] = comp[i]
         least = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(least, comp, ids)
         return pa.table({"node": pa.array(ids, pa.int64()), "component": pa.array(least[comp], pa.int64())})
@@ -243,12 +356,13 @@ def _solve(percent: int):
     return run
 
 
-def _cross(percent: int):
-    """Postings in order of token, size, position: pairs of different families and components that size and position allow."""
+def _cross(percent: int, all_pairs: bool):
+    """Postings in order of token, blocks, size, position: pairs of different families and components that size
+    and position allow; unless ``all_pairs``, one for each pair of components of a list."""
 
-    def pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        _, n, pos, rep, comp, family = rows
-        out_a, out_b, out_n = [], [], []
+    def pairs(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        _, one, two, part, n, pos, rep, comp, family = rows
+        split, out, seen = one[0] != two[0], [], set()
         # blocks of equal size: whole blocks beyond the size bound are skipped
         blocks = np.r_[np.flatnonzero(np.r_[True, n[1:] != n[:-1]]), len(n)]
         for i in range(len(n)):
@@ -256,24 +370,27 @@ def _cross(percent: int):
             j = i + 1
             while j < len(n) and n[j] <= most:
                 end = blocks[np.searchsorted(blocks, j, "right")]
-                # a pair's first SHARED common tokens are needed, so as many may lie before this one
-                need = -(-percent * (n[i] + n[j]) // (100 + percent)) - (SHARED - 1)
-                room = min(n[i] - pos[i], n[j] - pos[j])
-                if room >= need:  # else every later position of the block has less room still
+                # a pair's first shared tokens are needed, so as many may lie before this one
+                need = -(-percent * (n[i] + n[j]) // (100 + percent)) - (int(share(n[i], percent)) - 1)
+                if min(n[i] - pos[i], n[j] - pos[j]) >= need:  # else every later position of the block has less room still
                     last = j + int(np.searchsorted(pos[j:end], n[j] - need, "right"))
                     other = np.arange(j, last)[(comp[j:last] != comp[i]) & (family[j:last] != family[i])]
-                    out_a.append(np.full(len(other), rep[i]))
-                    out_b.append(rep[other])
-                    out_n.append(np.full(len(other), min(SHARED, -(-percent * n[i] // 100))))
+                    if split:
+                        other = other[part[other] != part[i]]
+                    if not all_pairs and len(other):
+                        other = other[np.unique(comp[other], return_index=True)[1]]
+                        fresh = [(min(c, comp[i]), max(c, comp[i])) not in seen for c in comp[other].tolist()]
+                        other = other[np.array(fresh, bool)]
+                        seen.update((min(c, comp[i]), max(c, comp[i])) for c in comp[other].tolist())
+                    out.append((np.full(len(other), rep[i]), rep[other], np.full(len(other), int(share(n[i], percent)))))
                 j = end
-        none = np.zeros(0, np.int64)
-        return tuple(np.concatenate(x or [none]) for x in (out_a, out_b, out_n))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((6, 0), np.int64)
+        rest = np.zeros((9, 0), np.int64)
 
         def emit(block):
-            cuts = np.r_[np.flatnonzero(np.r_[True, block[0, 1:] != block[0, :-1]]), block.shape[1]]
+            cuts = np.r_[np.flatnonzero(np.r_[True, (block[:3, 1:] != block[:3, :-1]).any(axis=0)]), block.shape[1]]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 x, y, least = pairs(block[:, a:b])
                 if len(x):
@@ -282,7 +399,7 @@ def _cross(percent: int):
         for batch in batches:
             rest = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
             if rest.shape[1]:
-                cut = int(np.searchsorted(rest[0], rest[0, -1], "left"))  # the last token may go on
+                cut = int(np.flatnonzero((rest[:3] == rest[:3, -1:]).all(axis=0))[0])  # the last list may go on
                 yield from emit(rest[:, :cut]) if cut else ()
                 rest = rest[:, cut:]
         if rest.shape[1]:
@@ -291,12 +408,67 @@ def _cross(percent: int):
     return run
 
 
+def _close(percent: int):
+    """Pairs whose bitmaps allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            sizes = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                x, y = (np.frombuffer(b.as_buffer(), np.uint64) for b in (x, y))
+                while len(x) != len(y):
+                    x, y = sorted((x, y), key=len)
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                keep[k] = (100 + percent) * int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= (100 - percent) * sizes[k]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, parts: str) -> DataFrame:
+    """Rows with a column ``part`` below ``parts`` once for each pair of blocks (one, two) that theirs is of."""
+    rows = rows.withColumn("other", F.explode(F.expr(f"sequence(0L, {parts} - 1)")))
+    return rows.select("*", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two")).drop("other")
+
+
+def _token_sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """id, tokens and the other columns of ``wanted`` (rep first) for the texts of those ids."""
+    columns = [f for f in wanted.schema.fields if f.name != "rep"]
+    own = texts.join(wanted, F.col("id") == F.col("rep")).select("id", "text", *(f.name for f in columns))
+    schema = ", ".join(["id long", *(f"{f.name} {f.dataType.simpleString()}" for f in columns), "tokens array<bigint>"])
+    return own.mapInArrow(_tokens(k), schema).withColumnRenamed("id", "rep")
+
+
+def _cross_links(live: DataFrame, labels: DataFrame, keys: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int, all_pairs: bool) -> DataFrame:
+    """Verified links (a, b) between sets of different families and components."""
+    placed = live.join(labels, live["rep"] == labels["node"], "left").join(keys, live["rep"] == keys["member"], "left")
+    placed = materialise(placed.select("token", "n", "pos", "rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("family", F.xxhash64("rep")).alias("family")), "placed")
+    lists = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("family").alias("f0"), F.max("family").alias("f1"), F.count(F.lit(1)).alias("sets"))
+    lists = lists.filter("c0 < c1 and f0 < f1").select("token", F.ceil(F.sqrt(F.col("sets") / LIST_SETS)).cast("long").alias("parts"))
+    rest = placed.join(lists, "token").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    rest = _in_blocks(rest, "parts").select("token", "one", "two", "part", "n", "pos", "rep", "comp", "family")
+    rest = rest.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "n", "pos", "rep")
+    shared = rest.mapInArrow(_cross(percent, all_pairs), "a long, b long, least long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least"))
+    # one pair stands for its components, so the other tokens that it shares were not looked at
+    found = materialise((shared.filter("n >= least") if all_pairs else shared).select("a", "b"), "pairs")
+    free(placed)
+    x = reps.select(F.col("rep").alias("a"), "n", F.col("map").alias("x"))
+    y = reps.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("map").alias("y"))
+    pairs = materialise(found.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_close(percent), "a long, b long"), "close-pairs")
+    free(found)
+    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    sets = materialise(_token_sets(texts, ids, k), "pair-sets")
+    links = materialise(verified(pairs, sets, percent), "verified")
+    free(pairs, sets)
+    return links
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ids whose token sets link."""
-    x = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    both = materialise(pairs, "pairs").join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return materialise(both.mapInArrow(_overlaps(percent), "a long, b long"), "verified")
+    """Pairs (a, b) of sets (rep, tokens) that link."""
+    x = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x"))
+    y = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_overlaps(percent), "a long, b long")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -305,45 +477,73 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     classes = spark.sparkContext.broadcast(frequency_classes(texts, k))  # 2**SKETCH_BITS bytes
-    sets = materialise(texts.mapInArrow(_sets(k, percent, classes), "id long, n long, one long, two long, prefix array<bigint>"), "sets")
+    sets = materialise(texts.mapInArrow(_sets(k, percent, classes), "id long, n long, one long, two long, prefix array<bigint>, map binary"), "sets")
     known = sets.filter(F.col("id").isNotNull() & (F.col("n") > 0))
-    reps = materialise(known.groupBy("n", "one", "two").agg(F.min("id").alias("rep"), F.any_value("prefix").alias("prefix")), "representatives")
+    reps = materialise(known.groupBy("n", "one", "two").agg(F.min("id").alias("rep"), F.any_value("prefix").alias("prefix"), F.any_value("map").alias("map")), "representatives")
+    rows = materialise(sets.select("id", "n", "one", "two"), "rows")
+    free(sets)
 
     postings = reps.select(F.posexplode("prefix").alias("pos", "token"), "n", "rep").select("token", "n", F.col("pos").cast("long").alias("pos"), "rep")
-    postings = postings.repartition(F.col("token")).sortWithinPartitions("token", "n", "rep").mapInArrow(_live(percent), "token long, n long, pos long, rep long, anchor long")
+    # dealt by range: a list that many sets have is cut wherever a task is full
+    postings = postings.repartitionByRange("token", "n", "rep").sortWithinPartitions("token", "n", "rep").mapInArrow(_live(percent), "token long, n long, pos long, rep long, anchor long")
     postings = materialise(postings, "postings")
-    # the least that a partner of the smallest size must share
-    least = F.least(F.lit(SHARED), F.ceil(F.ceil(F.col("n") * percent / 100) * percent / 100))
+    least = F.expr(_share_sql(f"(({percent} * n + 99) div 100)", percent))
     enough = postings.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("lists")).filter(F.col("lists") >= least).select("rep")
     live = materialise(postings.join(enough, "rep", "left_semi"), "live")
+    free(postings)
 
     votes = live.groupBy("rep", "n", "anchor").agg(F.count(F.lit(1)).alias("votes"))
     families = materialise(votes.groupBy("rep", "n").agg(F.max(F.struct("votes", (-F.col("anchor")).alias("mark")))["mark"].alias("anchor")).select("rep", "n", (-F.col("anchor")).alias("family")), "families")
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("tokens") / FAMILY_TOKENS))
-    members = materialise(families.join(sizes, "family").select("rep", "family", part.cast("long").alias("part")), "members")
-    own = texts.join(members.hint("shuffle_hash"), F.col("id") == F.col("rep")).select("id", "text", "family", "part")
-    own = materialise(own.mapInArrow(_tokens(k), "id long, family long, part long, tokens array<bigint>"), "token-sets")
-    solved = materialise(own.groupBy("family", "part").applyInArrow(_solve(percent), "node long, component long"), "solved")
-
-    keys = members.select(F.col("rep").alias("member"), F.xxhash64("family", "part").alias("family"))
-    placed = live.join(solved, live["rep"] == solved["node"], "left").join(keys, live["rep"] == keys["member"], "left")
-    placed = materialise(placed.select("token", "n", "pos", "rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("family", F.xxhash64("rep")).alias("family")), "placed")
-    open_ = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("family").alias("f0"), F.max("family").alias("f1")).filter("c0 < c1 and f0 < f1").select("token")
-    rest = placed.join(open_, "token", "left_semi").repartition(F.col("token")).sortWithinPartitions("token", "n", "pos", "rep")
-    shared = rest.mapInArrow(_cross(percent), "a long, b long, least long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least"))
-    more = verified(shared.filter("n >= least").select("a", "b"), own.select("id", "tokens"), percent)
-    links = solved.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    comps = materialise(connected_components(links), "components")
-
-    classed = reps.select("n", "one", "two", "rep").join(comps, F.col("rep") == F.col("node"), "left").select("n", "one", "two", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("id", "n", "one", "two").join(classed, ["n", "one", "two"], "left")
+    blocks = F.ceil(F.sqrt(F.col("tokens") / FAMILY_TOKENS)).cast("long")
+    large = families.groupBy(F.col("family").alias("large")).agg(F.sum("n").alias("tokens")).filter(F.col("tokens") > FAMILY_TOKENS).select("large", blocks.alias("parts"))
+    members = families.join(large, F.col("family") == F.col("large"), "left").select("rep", "n", "family", F.coalesce("parts", F.lit(1).cast("long")).alias("parts"))
+    members = materialise(members.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))), "members")
+    free(families)
+    mapped = members.join(reps.select(F.col("rep").alias("own"), F.col("n").alias("size"), "map"), (F.col("rep") == F.col("own")) & (F.col("n") == F.col("size"))).select("rep", "n", "family", "parts", "part", "map")
+    mapped = materialise(mapped, "bitmaps")
+    near = materialise(_in_blocks(mapped, "parts").groupBy("family", "one", "two").applyInArrow(_may_link(percent), "rep long").distinct(), "near")
+    wanted = materialise(_token_sets(texts, mapped.join(near, "rep", "left_semi"), k), "token-sets")
+    own = wanted.filter(F.size("tokens") == F.col("n"))  # of rows that repeat an id, the one that the bitmap is of
+    solved = materialise(_in_blocks(own, "parts").groupBy("family", "one", "two").applyInArrow(_solve(percent), "node long, component long").distinct(), "solved")
+    keys = materialise(members.select(F.col("rep").alias("member"), "family"), "keys")
+    free(mapped, near, wanted, members)
+
+    links = solved.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    labels = connected_components(links)
+    found = [solved]
+    for all_pairs in (False, True):
+        more = _cross_links(live, labels, keys, reps, texts, k, percent, all_pairs)
+        found.append(more)
+        links = links.unionByName(more)
+        free(labels)
+        labels = connected_components(links)
+    free(live, keys, *found)
+
+    classed = reps.select("n", "one", "two", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("n", "one", "two", F.coalesce("component", "rep").alias("component"))
+    out = rows.join(classed, ["n", "one", "two"], "left")
     own = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    out = materialise(out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id")), "linked")
+    free(reps, rows, labels)
+    return out
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, all columns: of each component the one with the smallest id."""
-    found = linked(docs, id_col, text_col, k, percent)
-    dropped = materialise(found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone_id")).distinct(), "dropped")
-    return docs.join(dropped, docs[id_col] == F.col("gone_id"), "left_anti")
+    """The documents, all columns: of each component one, with the smallest id.
+
+    An id is no name where it is null or repeated: such rows go by a number made of id and text, below
+    all ids, so that rows of one id with different texts are judged each by its own text, and of rows that
+    repeat id and text one stays. Other columns may have any name.
+    """
+    rows = docs.toDF(*(f"c{j}" for j in range(len(docs.columns))))
+    own, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    often = materialise(rows.groupBy(F.col(own).alias("often")).agg(F.count(F.lit(1)).alias("times")).filter((F.col("times") > 1) | F.col("often").isNull()).select("often", F.lit(True).alias("many")), "repeated-ids")
+    rows = rows.join(often, F.col(own).eqNullSafe(F.col("often")), "left")
+    nameless = F.col("many").isNotNull()
+    number = F.xxhash64(F.coalesce(F.col(own).cast("string"), F.lit("null")), F.coalesce(text, F.lit("")), F.col(text).isNull())
+    rows = rows.withColumn("node", F.when(nameless, F.least(number, F.lit(-1).cast("long").bitwiseXOR(number))).otherwise(F.col(own).cast("long")))
+    found = linked(rows, "node", text, k, percent)
+    dropped = materialise(found.filter(F.col("component_id") != F.col("node")).select(F.col("node").alias("gone")).distinct(), "dropped")
+    free(found)
+    kept = rows.join(dropped, F.col("node") == F.col("gone"), "left_anti")
+    same = kept.filter(nameless).dropDuplicates(["node"])
+    return kept.filter(~nameless).unionByName(same).drop("often", "many", "node").toDF(*docs.columns)

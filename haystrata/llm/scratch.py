@@ -2,7 +2,8 @@
 
 A written table cuts lineage (a lost executor re-reads files instead of recomputing the
 query) and gives the optimiser a true size, so a join is broadcast only if that size is
-under ``spark.sql.autoBroadcastJoinThreshold``.
+under ``spark.sql.autoBroadcastJoinThreshold``. Shuffle files of a write go when it is done,
+a table goes when ``free`` says that nothing reads it any more, the rest at exit.
 """
 
 from __future__ import annotations
@@ -14,13 +15,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``. A folder of this machine serves only where all of Spark runs on it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = os.path.join(tempfile.gettempdir(), "haystrata-scratch")
     return at.rstrip("/")
 
@@ -29,20 +33,37 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     """Write ``df`` as Parquet into the shared folder and return a reader of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/haystrata/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._haystrata_path = path
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that no later step and no returned frame reads."""
+    for table in tables:
+        if table._haystrata_path in _written:
+            _delete(table._haystrata_path)
 
 
 def clean() -> None:
     """Delete what this process has written; runs at exit."""
-    while _written:
-        spark, path = _written.pop()
+    for path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(path)
         except Exception:  # the JVM is already gone
             return
 
