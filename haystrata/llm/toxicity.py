@@ -1,27 +1,30 @@
-"""Toxicity by class-conditional Kneser-Ney bigram models (operator 4).
-
-Counting: every word pair of every labelled training text (crc32 remainders 0 and 1) of both
-classes. Words and contexts are 64-bit hashes; a task keeps its distinct (word, context) pairs
-with the counts of both classes as sorted runs, which are dealt by word ranges and merged. All
-pairs, words and contexts are kept in two written tables of the shared folder that grow with the
-labelled text: counts by pair, and by word its continuations and its figures as a context.
-
-Model of class k: absolute discounting of the pairs' counts, the rest of a context's mass backing
-off to the discounted pairs of both classes together times the class's share of the word: its
-continuation counts (backing off to those that both classes share) over the shared ones. So a
-rare expression gives neither class an advantage.
-
-Scoring: a task gathers the distinct pairs and words of ``CHUNK`` bytes of text and streams the
-tables by range against them; nothing of the model is broadcast or collected but its totals.
-
-Score: the difference of length-normalised log-likelihoods and the summed evidence of a text's
-distinct strong words, calibrated by logistic regression on labelled texts of remainder 3, which the
-counts have not seen (at most ``CALIBRATION_DOCS``, those with the smallest hash of their id).
-
-Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``, lower-cased. Null and empty texts have no words
-and get the bias alone. Repeated rows get equal scores; of repeated labels the largest counts.
-With no labelled row of one class every score is the share of label 1. Only the id and text
-columns are read.
+"""Toxicity by class-conditional Kneser-Ney models (operator 4).
+
+The models: each class has its own distribution of expressions (words), an order-two Kneser-Ney model
+whose history is the class. With c(k, w) documents of class k that hold the word w and N(k) their sum,
+p(w | k) = (c(k, w) - D) / N(k) + mass(k) q(w): D is the modified Kneser-Ney discount of the class for
+counts 1, 2 and 3 or more, from its counts of counts, mass(k) what the discounts of the class set free,
+and q(w) the shared back-off, the number of distinct words that precede w in texts of either class,
+discounted likewise. So a rare expression has the probability that both classes share.
+
+The score: the two models' log-likelihoods of a text are compared on the fiftieth of its words (one at
+least) that most tell the classes apart towards label 1, and on all of them, both normalised by length;
+with the log of the length they are calibrated by logistic regression on labelled texts of remainder 3,
+which the counts have not seen (at most ``CALIBRATION_DOCS``, those with the smallest hash of their id).
+
+Counting: a task of labelled texts keeps document counts of both classes by word, and distinct pairs of
+neighbouring words, as sorted runs of 64-bit hashes; they are dealt by hash ranges, whose number grows
+with the labelled text, and merged into one written table of all words. No word or pair is left out.
+
+Scoring: a word's figures are asked for once for each group of documents (about ``GROUP_BYTES`` of text
+by hash of id and text): groups' distinct words are dealt to the table's ranges, the answers to the groups,
+where the texts of the group follow them. Nothing of the table is broadcast or collected but its totals.
+
+Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``, lower-cased. Null and empty texts have no words and
+get what the regression gives for none. Repeated rows get equal scores; of repeated labels the largest
+counts; a null label is none; a null id is never labelled and not held out. With no labelled row of one
+class every score is the share of label 1. Only the id and text columns are read, and other columns may
+have any name.
 """
 
 from __future__ import annotations
@@ -31,220 +34,275 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haystrata.llm.packing import pack, pack_sorted, unpack, unpack_sorted
 from haystrata.llm.quality import labelled_sample, remainder
-from haystrata.llm.scratch import materialise
-from haystrata.llm.tokens import ALNUM, slices, words
-
-#: Word ranges by which pairs are dealt: the upper bits of the word.
-RANGE_BITS = 8
-DISCOUNT, STRONG = 0.75, 2.0
-#: Bytes of text that a task scores with one pass over the tables.
-CHUNK = 1 << 22
+from haystrata.llm.scratch import free, materialise
+from haystrata.llm.tokens import ALNUM, Words, mix, slices, words
+
+#: Of a text's words the part that the first comparison is made on.
+TELLING = 50
+#: Bytes of labelled text to a hash range, bytes of text to a group, parts in which texts are dealt to their groups.
+RANGE_BYTES, GROUP_BYTES, BATCHES = 1 << 22, 1 << 25, 2
 CALIBRATION_DOCS = 6000
 THRESHOLD = 0.3
 _RUN = 1 << 19
-_zstd = pa.Codec("zstd", compression_level=1)
-
+BLOBS = "part int, kind int, owner long, blobs array<binary>"
 
-def pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context hash, word hash, first word of each document); a document's first word has context 0."""
-    w = words(texts, ALNUM, lower=True)
-    context = np.zeros(len(w), np.uint64)
-    context[1:] = w.hashes[:-1]
-    heads = w.first[:-1]
-    context[heads[heads < len(w)]] = 0
-    return context, w.hashes.astype(np.uint64), w.first
 
+def _split(texts: pa.Array) -> Words:
+    return words(texts, ALNUM, lower=True)
 
-def _pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """A pair's hash, in the range of its word."""
-    x = (context ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) + word
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(29)
-    return word >> np.uint64(48) << np.uint64(48) | x >> np.uint64(16)
 
+def _cuts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(range, first, end) of ascending keys."""
+    part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    at = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+    return zip(part[at[:-1]].tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)
 
-def _pack(a: np.ndarray) -> bytes:
-    return len(a).to_bytes(8, "little") + a.dtype.char.encode() + bytes(_zstd.compress(a.tobytes(), asbytes=True))
 
+def _batch(rows: list[tuple[int, int, int, list[bytes]]]) -> pa.RecordBatch:
+    part, kind, owner, blobs = zip(*rows, strict=True) if rows else ((),) * 4
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(owner, pa.int64()), pa.array(blobs, pa.list_(pa.binary()))], ["part", "kind", "owner", "blobs"])
 
-def _unpack(blob: bytes) -> np.ndarray:
-    n, kind = int.from_bytes(blob[:8], "little"), np.dtype(chr(blob[8]))
-    return np.frombuffer(_zstd.decompress(blob[9:], n * kind.itemsize, asbytes=True), kind)
 
+def _rows(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, Iterator[tuple[int, int, list]]]]:
+    """(key, its rows of kind, owner, blobs); rows come in order of the key."""
+    rows = ((k, kind, owner, blobs) for batch in batches for k, kind, owner, blobs in zip(*(batch.column(c).to_pylist() for c in (key, "kind", "owner", "blobs")), strict=True))
+    for k, own in groupby(rows, key=lambda r: r[0]):
+        yield k, ((kind, owner, blobs) for _, kind, owner, blobs in own)
 
-def _summed(keys: list[np.ndarray], values: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Rows in order of ``keys`` (the first is the main one), values of equal ones added."""
-    order = np.lexsort(keys[::-1])
-    keys, values = [k[order] for k in keys], values[order]
-    starts = np.flatnonzero(np.logical_or.reduce([np.r_[True, k[1:] != k[:-1]] for k in keys])) if len(order) else np.zeros(0, np.int64)
-    return [k[starts] for k in keys], np.add.reduceat(values, starts) if len(starts) else values
 
+def _distinct(keys: np.ndarray, values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Ascending distinct keys, with the sums of their values."""
+    if values is None:
+        return np.unique(keys), None
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.add.reduceat(values, starts) if len(starts) else values
 
-def _rows(kind: int, keys: list[np.ndarray], values: np.ndarray) -> pa.RecordBatch:
-    """A row of blobs for each range that occurs: differences of the first key, other keys, columns of values."""
-    part = (keys[0] >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
-    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
-    blobs = [[_pack(np.diff(keys[0][a:b], prepend=np.uint64(0))), *(_pack(k[a:b]) for k in keys[1:]), *(_pack(np.ascontiguousarray(values[a:b, j])) for j in range(values.shape[1]))] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int32()), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.list_(pa.binary()))], ["part", "kind", "blobs"])
 
+def document_words(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(document, word hash) of each document's distinct words."""
+    doc = w.doc_of
+    order = np.lexsort((w.hashes, doc))
+    doc, h = doc[order], w.hashes[order]
+    fresh = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
+    return doc[fresh], h[fresh]
 
-def _arrays(blobs: list, n_keys: int) -> tuple[list[np.ndarray], np.ndarray]:
-    found = [_unpack(bytes(x)) for x in blobs]
-    return [np.cumsum(found[0], dtype=np.uint64), *found[1:n_keys]], np.stack(found[n_keys:], axis=1)
 
+def pair_keys(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(word hash, hash of the word before it and itself); a document's first word follows nothing."""
+    before = np.zeros(len(w), np.uint64)
+    before[1:] = w.hashes[:-1]
+    heads = w.first[:-1]
+    before[heads[heads < len(w)]] = 0
+    return w.hashes, mix((before ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) + w.hashes)
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted distinct (word, context) with the counts of both classes, a row for each range that occurs."""
-    held, n = [], 0
 
-    def flush():
-        w, c, v = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        return _rows(0, *_summed([w, c], v))
+def _counted(bits: int):
+    """Sorted runs of labelled texts: words with the documents of each class (kind 0), distinct pairs by word (kind 1)."""
 
-    for piece in slices(batches, "text"):
-        context, word, first = pairs(piece.column("text"))
-        label = np.repeat(piece.column("label").to_numpy(zero_copy_only=False) > 0, np.diff(first))
-        held.append((word, context, np.stack([~label, label], axis=1).astype(np.int64)))
-        n += len(word)
-        if n >= _RUN:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, pairs, n = [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            w, c = _distinct(np.concatenate(keys), np.concatenate(counts))
+            out = [(p, 0, 0, [pack_sorted(w[a:b]), pack(c[a:b, 0].astype(np.uint32)), pack(c[a:b, 1].astype(np.uint32))]) for p, a, b in _cuts(w, bits)]
+            p, h = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            order = np.lexsort((h, p))
+            p, h = p[order], h[order]
+            fresh = np.r_[True, (p[1:] != p[:-1]) | (h[1:] != h[:-1])]
+            p, h = p[fresh], h[fresh]
+            out += [(r, 1, 0, [pack_sorted(p[a:b]), pack(h[a:b])]) for r, a, b in _cuts(p, bits)]
+            for held in (keys, counts, pairs):
+                held.clear()
+            return _batch(out)
+
+        for piece in slices(batches, "text"):
+            w = _split(piece.column("text"))
+            if not len(w):
+                continue
+            label = piece.column("label").to_numpy(zero_copy_only=False) > 0
+            doc, h = document_words(w)
+            keys.append(h)
+            counts.append(np.stack([~label[doc], label[doc]], axis=1).astype(np.int64))
+            pairs.append(pair_keys(w))
+            n += len(w)
+            if n >= _RUN:
+                yield flush()
+                n = 0
+        if n:
             yield flush()
-            n = 0
-    if n:
-        yield flush()
-
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, list]]]]:
-    """(range, its rows); rows come in order of range."""
-    rows = ((p, k, b) for batch in batches for p, k, b in zip(*(batch.column(x).to_pylist() for x in ("part", "kind", "blobs")), strict=True))
-    for part, own in groupby(rows, key=lambda r: r[0]):
-        yield part, ((k, b) for _, k, b in own)
+    return run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each range the counts by pair (kind 0), continuations by word (1) and the range's share of what contexts need (2)."""
-    for _, rows in _ranges(batches):
-        held, n, least = [], 0, 2 * _RUN
-        for _, blobs in rows:
-            (w, c), v = _arrays(blobs, 2)
-            held.append((w, c, v))
-            n += len(w)
-            if n >= least:
-                (w, c), v = _summed(*_joined(held))
-                held, n = [(w, c, v)], len(w)
-                least = max(least, 2 * n)
-        (w, c), v = _summed(*_joined(held))
-        yield _rows(0, *_summed([_pair_keys(c, w)], v))
-        zero = np.zeros(len(w), np.int64)
-        yield _rows(1, *_summed([w], np.stack([v[:, 0] > 0, v[:, 1] > 0, zero + 1, zero, zero, zero, zero, zero], axis=1).astype(np.int64)))
-        yield _rows(2, *_summed([c], np.stack([zero, zero, zero, v[:, 0], v[:, 1], v[:, 0] > 0, v[:, 1] > 0, zero + 1], axis=1).astype(np.int64)))
-
-
-def _joined(held: list[tuple]) -> tuple[list[np.ndarray], np.ndarray]:
-    *keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
-    return keys, values
-
-
-def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kinds 1 and 2 of each range merged: continuations of both classes and of either, tokens, types and either class's types as a context; with totals."""
-    for _, rows in _ranges(batches):
-        keys, v = _summed(*_joined([(k[0], x) for k, x in (_arrays(b, 1) for _, b in rows)]))
-        batch = _rows(1, keys, v)
-        totals = [*v.sum(axis=0)[:5].tolist(), *(v[:, :2] > 0).sum(axis=0).tolist(), len(v)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([totals], pa.list_(pa.int64()))], ["part", "kind", "blobs", "totals"])
-
-
-def _looked_up(files: list[str], keys: np.ndarray, width: int) -> np.ndarray:
-    """The values of ascending ``keys`` in a written table, a range at a time; 0 where a key is not in it."""
-    out = np.zeros((len(keys), width))
-    for name in files:
-        fs, path = pyarrow.fs.FileSystem.from_uri(name)
-        with fs.open_input_file(path) as source:
-            for batch in pq.ParquetFile(source).iter_batches(batch_size=1, columns=["part", "blobs"]):
-                part, blobs = batch.column("part")[0].as_py(), batch.column("blobs")[0].as_py()
-                a = int(np.searchsorted(keys, np.uint64(part << (64 - RANGE_BITS))))
-                b = int(np.searchsorted(keys, np.uint64((part + 1 << (64 - RANGE_BITS)) - 1), "right"))
-                if b > a:
-                    (known,), values = _arrays(blobs, 1)
-                    at = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
-                    hit = known[at] == keys[a:b]
-                    out[a:b][hit] = values[at[hit]]
-    return out
+    """Of each range its words with the counts of both classes and continuations, and the totals that discounts need."""
+    for part, rows in _rows(batches, "part"):
+        keys, counts, pairs, n, least = [], [], [], 0, 2 * _RUN
+        for kind, _, blobs in rows:
+            if kind == 0:
+                keys.append(unpack_sorted(blobs[0]))
+                counts.append(np.stack([unpack(blobs[1]), unpack(blobs[2])], axis=1).astype(np.int64))
+            else:
+                pairs.append((unpack_sorted(blobs[0]), unpack(blobs[1])))
+                n += len(pairs[-1][0])
+                if n >= least:
+                    pairs = [_distinct_pairs(pairs)]
+                    n = len(pairs[0][0])
+                    least = max(least, 2 * n)
+        w, c = _distinct(np.concatenate(keys), np.concatenate(counts))
+        before = np.bincount(np.searchsorted(w, _distinct_pairs(pairs)[0]), minlength=len(w))
+        figures = np.stack([c[:, 0], c[:, 1], before], axis=1)
+        totals = [len(w), *figures.sum(axis=0).tolist(), *(int((figures[:, j] == m).sum()) for j in range(3) for m in (1, 2, 3, 4)), *(int((figures[:, j] >= 3).sum()) for j in range(3))]
+        batch = _batch([(part, 0, -1, [pack_sorted(w), *(pack(figures[:, j].astype(np.uint32)) for j in range(3))])])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([totals], pa.list_(pa.int64()))], [*batch.schema.names, "totals"])
+
+
+def _distinct_pairs(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    p, h = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    order = np.lexsort((h, p))
+    p, h = p[order], h[order]
+    fresh = np.r_[True, (p[1:] != p[:-1]) | (h[1:] != h[:-1])]
+    return p[fresh], h[fresh]
+
+
+N_TOTALS = 1 + 3 + 12 + 3
 
 
 class KneserNey:
-    """The two classes' models: the files of the written tables and totals."""
-
-    def __init__(self, pair_files: list[str], word_files: list[str], totals: list[int]):
-        self.pair_files, self.word_files = pair_files, word_files
-        self.kinds, self.shared, tokens, self.used, self.n_words = np.array(totals[:2], float), totals[2], totals[3:5], np.array(totals[5:7], float), totals[7]
-        self.ready = bool(tokens[0] and tokens[1])
-
-    def ratios(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log p(word | context, toxic) - log p(word | context, ordinary)"""
-        keys, first, at = np.unique(_pair_keys(context, word), return_index=True, return_inverse=True)
-        context, word = context[first], word[first]
-        heads = np.unique(np.concatenate([context, word]))
-        figures = _looked_up(self.word_files, heads, 8)
-        of_word, of_context = figures[np.searchsorted(heads, word), :3], figures[np.searchsorted(heads, context), 3:]
-        # continuation counts that both classes share, with half a count for a word never seen
-        base = (of_word[:, 2] + 0.5) / (self.shared + 0.5 * (self.n_words + 1))
-        counts = _looked_up(self.pair_files, keys, 2)
-        # the pair in both classes together: a rare pair gives neither class an advantage
-        n, total = counts.sum(axis=1), of_context[:, :2].sum(axis=1)
-        either = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1) + np.where(total > 0, DISCOUNT * of_context[:, 4] / np.maximum(total, 1), 1.0) * base
-        prob = []
-        for k in (0, 1):
-            lower = (np.maximum(of_word[:, k] - DISCOUNT, 0) + DISCOUNT * self.used[k] * base) / self.kinds[k]
-            tokens = of_context[:, k]
-            back = np.where(tokens > 0, DISCOUNT * of_context[:, 2 + k] / np.maximum(tokens, 1), 1.0)
-            prob.append(np.maximum(counts[:, k] - DISCOUNT, 0) / np.maximum(tokens, 1) + back * either * lower / base)
-        return (np.log(prob[1]) - np.log(prob[0]))[at]
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows again in batches of about ``CHUNK`` bytes."""
-    held, n = [], 0
-    for piece in slices(batches, "text", CHUNK):
-        held.append(piece)
-        n += piece.nbytes
-        if n >= CHUNK:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def _evidence(model):
-    """For mapInArrow: mean log ratio, log of strong evidence, log of length, in the place of the text."""
+    """Discounts and masses of both classes and of the shared back-off, from the totals of all ranges."""
+
+    def __init__(self, totals: list[int]):
+        self.n_words, self.sums = totals[0], np.array(totals[1:4], float)
+        of = np.array(totals[4:16], float).reshape(3, 4)
+        many = totals[16:19]
+        self.discounts, self.mass = np.zeros((3, 4)), np.zeros(3)
+        for j in range(3):
+            n1, n2, n3, n4 = of[j]
+            y = n1 / (n1 + 2 * n2) if n1 else 0.5
+            for c, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1):
+                self.discounts[j, c] = np.clip(c - (c + 1) * y * b / a if a else c * y, 0.1 * c, 0.95 * c)
+            freed = self.discounts[j, 1] * n1 + self.discounts[j, 2] * n2 + self.discounts[j, 3] * many[j]
+            self.mass[j] = freed / self.sums[j] if self.sums[j] else 1.0
+        self.ready = bool(self.sums[0] and self.sums[1])
+
+    def kept(self, j: int, counts: np.ndarray) -> np.ndarray:
+        return (counts - self.discounts[j][np.minimum(counts, 3).astype(np.int64)]) / self.sums[j]
+
+    def ratios(self, figures: np.ndarray) -> np.ndarray:
+        """log p(w | toxic) - log p(w | ordinary) for rows of both classes' counts and continuations; zeros are an unknown word."""
+        shared = self.kept(2, figures[:, 2]) + self.mass[2] / (self.n_words + 1)
+        ordinary, toxic = (self.kept(k, figures[:, k]) + self.mass[k] * shared for k in (0, 1))
+        return np.log(toxic) - np.log(ordinary)
+
+
+def _asked(bits: int):
+    """The distinct words of each group's documents in this task, a row for each range and group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            group, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((group, h >> np.uint64(64 - bits)))
+            group, h = group[order], h[order]
+            part = (h >> np.uint64(64 - bits)).astype(np.int64)
+            at = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (group[1:] != group[:-1]), True])
+            return _batch([(int(part[a]), 1, int(group[a]), [pack_sorted(np.unique(h[a:b]))]) for a, b in zip(at[:-1], at[1:], strict=True)])
+
+        for piece in slices(batches, "text"):
+            w = _split(piece.column("text"))
+            if not len(w):
+                continue
+            doc, h = document_words(w)
+            held.append((piece.column("owner").to_numpy()[doc], h))
+            n += len(h)
+            if n >= 4 * _RUN:
+                yield flush()
+                n = 0
+        if n:
+            yield flush()
+
+    return run
+
+
+def _answered(model: KneserNey):
+    """Of each range the table's rows (kind 0) first, then the words that groups ask for: their log ratios."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _chunks(batches):
-            context, word, first = pairs(piece.column("text"))
-            r = model.ratios(context, word)
-            n = np.diff(first)
-            upto = lambda x: np.r_[0.0, np.cumsum(x)]
-            a = upto(np.clip(r, -3, 6))
-            mean = (a[first[1:]] - a[first[:-1]]) / np.maximum(n, 1)
-            # strong evidence: each word of a document once, at its strongest
-            at = np.flatnonzero(r > STRONG)
-            doc = np.searchsorted(first, at, "right") - 1
-            order = np.lexsort((-r[at], word[at], doc))
-            at, doc = at[order], doc[order]
-            fresh = np.r_[True, (doc[1:] != doc[:-1]) | (word[at[1:]] != word[at[:-1]])] if len(at) else np.zeros(0, bool)
-            strong = np.log1p(np.bincount(doc[fresh], weights=np.minimum(r[at[fresh]], 8) - STRONG, minlength=piece.num_rows))
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in piece.schema.names if c != "text"), pa.array(mean), pa.array(strong), pa.array(np.log1p(n))], [*(c for c in piece.schema.names if c != "text"), "mean", "strong", "length"])
+        for _, rows in _rows(batches, "part"):
+            known, ratio = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+
+            def answer(owner: int, asked: list[np.ndarray], known, ratio) -> pa.RecordBatch:
+                h = np.unique(np.concatenate(asked))
+                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+                return _batch([(0, 0, owner, [pack_sorted(h[hit]), pack(ratio[at[hit]])])])
+
+            for (kind, owner), own in groupby(rows, key=lambda r: (r[0], r[1])):
+                blobs = [b for _, _, b in own]
+                if kind == 0:
+                    known = unpack_sorted(blobs[0][0])
+                    ratio = model.ratios(np.stack([unpack(b) for b in blobs[0][1:]], axis=1)).astype(np.float32)
+                else:
+                    yield answer(owner, [unpack_sorted(b[0]) for b in blobs], known, ratio)
 
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _features(ratio: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each document: mean log ratio of its most telling words, of all words, log of length."""
+    n = np.diff(first)
+    doc = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((-ratio, doc))
+    take = np.arange(len(ratio)) - first[:-1][doc] < np.maximum(1, n // TELLING)[doc]
+    top = np.bincount(doc[take], weights=ratio[order][take], minlength=len(n)) / np.maximum(1, n // TELLING)
+    return top, np.bincount(doc, weights=ratio, minlength=len(n)) / np.maximum(n, 1), np.log1p(n)
+
+
+def _evidence(model: KneserNey):
+    """Of each group its answers (kind 0) first, then its texts: the three features of each."""
+    unknown = float(model.ratios(np.zeros((1, 3)))[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, hashes, ratios, held = None, [], [], (np.zeros(0, np.uint64), np.zeros(0))
+        for batch in batches:
+            kinds, owners = batch.column("kind").to_numpy(), batch.column("owner").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (kinds[1:] != kinds[:-1]) | (owners[1:] != owners[:-1]), True]) if len(kinds) else np.zeros(1, np.int64)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                rows = batch.slice(a, b - a)
+                if owners[a] != owner:
+                    owner, hashes, ratios, held = owners[a], [], [], (np.zeros(0, np.uint64), np.zeros(0))
+                if kinds[a] == 0:
+                    for blobs in rows.column("blobs").to_pylist():
+                        hashes.append(unpack_sorted(blobs[0]))
+                        ratios.append(unpack(blobs[1]).astype(float))
+                    continue
+                if hashes:
+                    h, r = np.concatenate(hashes), np.concatenate(ratios)
+                    order = np.argsort(h)
+                    held, hashes = (h[order], r[order]), []
+                for piece in slices(iter([rows]), "text"):
+                    w = _split(piece.column("text"))
+                    h, of = np.unique(w.hashes, return_inverse=True)
+                    at = np.minimum(np.searchsorted(held[0], h), max(0, len(held[0]) - 1))
+                    hit = held[0][at] == h if len(held[0]) else np.zeros(len(h), bool)
+                    ratio = np.full(len(h), unknown)
+                    ratio[hit] = held[1][at[hit]]
+                    top, mean, length = _features(ratio[of], w.first)
+                    yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(top), pa.array(mean), pa.array(length)], ["id", "top", "mean", "length"])
+
+    return run
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Newton steps; x has a column of ones last."""
     beta = np.zeros(x.shape[1])
     keep = np.full(x.shape[1], ridge)
@@ -252,7 +310,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
         g = x.T @ (p - y) + keep * beta
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(keep)
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(keep + 1e-9)
         step = np.linalg.solve(h, g)
         beta -= step
         if np.abs(step).max() < 1e-8:
@@ -260,8 +318,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return beta
 
 
-def _design(mean, strong, length) -> np.ndarray:
-    return np.stack([10 * mean, strong, strong * length, length, np.ones_like(mean)], axis=1)
+def fit(learn: DataFrame, bits: int) -> tuple[KneserNey, DataFrame]:
+    """learn: text, label. The model and the written table of its words."""
+    dealt = lambda rows: rows.repartition(F.col("part")).sortWithinPartitions("part", "kind")
+    runs = materialise(learn.mapInArrow(_counted(bits), BLOBS), "toxic-runs")
+    table = materialise(dealt(runs).mapInArrow(_merged, BLOBS + ", totals array<bigint>"), "toxic-words")
+    free(runs)
+    totals = table.agg(*[F.coalesce(F.sum(F.col("totals")[k]), F.lit(0)) for k in range(N_TOTALS)]).first()
+    return KneserNey(list(totals)), table
+
+
+def evidence(texts: DataFrame, model: KneserNey, table: DataFrame, bits: int) -> list[DataFrame]:
+    """texts: id, text. Written tables of id and the three features, together one row for each text."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, -(-size // GROUP_BYTES))
+    kind = texts.schema["id"].dataType.simpleString()
+    own = texts.withColumn("owner", F.pmod(F.xxhash64("id", "text"), F.lit(groups)))
+    asked = own.select("text", "owner").mapInArrow(_asked(bits), BLOBS)
+    meet = table.select("part", "kind", "owner", "blobs").unionByName(asked).repartition(F.col("part")).sortWithinPartitions("part", "kind", "owner")
+    answers = materialise(meet.mapInArrow(_answered(model), BLOBS), "toxic-answers")
+    out = []
+    for b in range(BATCHES):
+        mine = F.pmod(F.col("owner"), F.lit(BATCHES)) == b
+        none = F.lit(None)
+        rows = answers.filter(mine).select("owner", F.lit(0).alias("kind"), "blobs", none.cast(kind).alias("id"), none.cast("string").alias("text"))
+        rows = rows.unionByName(own.filter(mine).select("owner", F.lit(1).alias("kind"), none.cast("array<binary>").alias("blobs"), "id", "text"))
+        rows = rows.repartition(F.col("owner")).sortWithinPartitions("owner", "kind")
+        out.append(materialise(rows.mapInArrow(_evidence(model), f"id {kind}, top double, mean double, length double"), "toxic-evidence"))
+    free(answers)
+    return out
 
 
 def score(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, calibrate: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, most: int = CALIBRATION_DOCS) -> DataFrame:
@@ -269,29 +354,30 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int =
     rest = remainder("id", modulus)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    counted = known.filter((rest != held_out) & (rest != calibrate))
-    learn = texts.filter((rest != held_out) & (rest != calibrate)).join(counted.hint("shuffle_hash"), "id").select("text", "label")
-    blobs = "part int, kind int, blobs array<binary>"
-    dealt = lambda rows: rows.repartition(F.col("part")).sortWithinPartitions("part")
-    counts = materialise(dealt(learn.mapInArrow(_runs, blobs)).mapInArrow(_merged, blobs), "toxic-counts", ("kind",))
-    by_pair = counts.filter("kind = 0")
-    by_word = materialise(dealt(counts.filter("kind > 0").select("part", "kind", "blobs")).mapInArrow(_figures, blobs + ", totals array<bigint>"), "toxic-words")
-    totals = by_word.agg(*[F.coalesce(F.sum(F.col("totals")[k]), F.lit(0)) for k in range(8)]).first()
-    model = KneserNey([f for f in by_pair.inputFiles() if "/kind=0/" in f], list(by_word.inputFiles()), list(totals))
-    kind = docs.schema[id_col].dataType.simpleString()
-    base = known.filter(rest == calibrate).agg(F.avg("label")).first()[0] or 0.0
+    counted = (rest != held_out) & (rest != calibrate)
+    learn = texts.filter(counted).join(known.filter(counted).hint("shuffle_hash"), "id").select("text", "label")
+    learn = materialise(learn, "toxic-texts")
+    size = learn.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(4, int(np.ceil(np.log2(max(1, size / RANGE_BYTES)))))
+    model, table = fit(learn, bits)
+    free(learn)
     if model.ready:
-        found = materialise(texts.mapInArrow(_evidence(model), f"id {kind}, mean double, strong double, length double"), "toxic-evidence")
+        parts = evidence(texts, model, table, bits)
+        free(table)
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.unionByName(part)
         sample = labelled_sample(labels, id_col, label_col, remainder(id_col, modulus) == calibrate, most)
-        seen = found.join(F.broadcast(sample), "id").select("label", "mean", "strong", "length").toArrow()
-        x = _design(*(seen.column(c).to_numpy() for c in ("mean", "strong", "length")))
-        y = seen.column("label").to_numpy()
+        seen = found.join(F.broadcast(sample), "id").select("label", "top", "mean", "length").toArrow()  # at most CALIBRATION_DOCS ids
+        x = np.stack([*(seen.column(c).to_numpy() for c in ("top", "mean", "length")), np.ones(seen.num_rows)], axis=1)
+        y = np.clip(seen.column("label").to_numpy(), 0, 1)
         order = np.lexsort(x.T)
-        beta = _logistic(x[order], np.clip(y[order], 0, 1)) if len(y) and 0 < y.sum() < len(y) else np.r_[1.0, 0, 0, 0, 0]
-        mean, strong, length = F.col("mean"), F.col("strong"), F.col("length")
-        z = 10 * mean * float(beta[0]) + strong * float(beta[1]) + strong * length * float(beta[2]) + length * float(beta[3]) + float(beta[4])
+        beta = _logistic(x[order], y[order]) if 0 < y.sum() < len(y) else np.r_[1.0, 0, 0, 0]
+        z = F.col("top") * float(beta[0]) + F.col("mean") * float(beta[1]) + F.col("length") * float(beta[2]) + float(beta[3])
         found = found.select("id", (1 / (1 + F.exp(-z))).alias("score"))
     else:
+        free(table)
+        base = known.filter(rest != held_out).agg(F.avg("label")).first()[0] or 0.0
         found = texts.select("id", F.lit(float(base)).alias("score"))
     return found.select(
         F.col("id").alias(id_col),

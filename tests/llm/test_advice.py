@@ -2,40 +2,17 @@
 
 from __future__ import annotations
 
-import zlib
+import math
+import random
+import re
+from collections import Counter
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
-
-from haystrata import queries
-from haystrata.llm import html_text, licenses, secrets, toxicity
-from haystrata.operators import retrieval
-
-
-def test_tools_search_documents_without_embedding(spark, tmp_path):
-    tables = {
-        "documents": ([(k, f"word{k} common", "s") for k in range(12)], "doc_id long, text string, source string"),
-        "embeddings": ([(k, [1.0, float(k)]) for k in range(9)], "vec_id long, embedding array<float>"),
-        "benchmark": ([(k, f"word{k}") for k in range(12)], "item_id long, text string"),
-    }
-    for name, (rows, schema) in tables.items():
-        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    found, asked = queries._tool_matches(spark, str(tmp_path))
-    assert {r.query_id for r in asked.collect()} == set(range(12))
-    hit = {(r.query_id, r.chunk_id): r.vector_similarity for r in found.collect()}
-    assert all((k, str(k)) in hit for k in range(12))
-    assert hit[(10, "10")] is None and hit[(3, "3")] is not None
-    for tool in (queries.search_tool, queries.check_tool):
-        assert {r.query_id for r in tool(spark, str(tmp_path)).collect()} == set(range(12))
-
-
-def test_vector_search_in_blocks(spark, monkeypatch):
-    vectors = spark.createDataFrame([(str(k), k, [1.0, k / 7]) for k in range(20)] + [("none", 99, None)], "chunk_id string, seq long, embedding array<double>")
-    asked = vectors.select(F.col("seq").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    whole = sorted(map(str, retrieval.vector_search(vectors, asked, 3).collect()))
-    monkeypatch.setattr(retrieval, "MAX_QUERIES", 6)
-    assert sorted(map(str, retrieval.vector_search(vectors, asked, 3).collect())) == whole and len(whole) == 60
+import pytest
+
+from haystrata.llm import html_text, jaccard, licenses, secrets, tokens, toxicity
+
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def test_html_article_body_in_nested_containers():
@@ -77,22 +54,68 @@ def test_secrets_assigned_and_inside_runs(spark):
     assert got == {k: (want, text.index(want)) for k, text, want in rows if want}
 
 
-def test_toxicity_keeps_every_pair(spark, monkeypatch):
-    rows = [(k, " ".join(f"w{(k * 7 + j * j) % 900}" for j in range(60))) for k in range(400)]
-    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int")
-    made = []
-    monkeypatch.setattr(toxicity, "_evidence", lambda model, make=toxicity._evidence: made.append(model) or make(model))
-    toxicity.score(docs, labels).count()
-    seen: dict = {}
-    for k, text in rows:
-        if zlib.crc32(str(k).encode()) % 4 < 2:
-            w = text.split()
-            for pair in zip([None, *w[:-1]], w, strict=True):
-                seen.setdefault(pair, [0, 0])[k % 2] += 1
-    assert min(map(sum, seen.values())) == 1  # the old model kept pairs from 3 on
-    context, word, _ = toxicity.pairs(pa.array([f"{a} {b}" for a, b in seen if a]))
-    keys, first = np.unique(toxicity._pair_keys(context[1::2], word[1::2]), return_index=True)
-    want = np.array([v for (a, _), v in seen.items() if a])[first]
-    assert len(keys) == sum(a is not None for a, _ in seen)
-    assert (toxicity._looked_up(made[0].pair_files, keys, 2) == want).all()
-    assert made[0].n_words == len({w for pair in seen for w in pair})
+def plain_kneser_ney(learn, texts):
+    """The features of texts, straight from the definition."""
+    seen, sums = [Counter(), Counter(), Counter()], []
+    before: dict = {}
+    for text, label in learn:
+        w = ALNUM.findall((text or "").lower())
+        seen[label].update(set(w))
+        for a, b in zip([None, *w], w, strict=False):
+            before.setdefault(b, set()).add(a)
+    seen[2] = Counter({w: len(x) for w, x in before.items()})
+    discount, mass = [], []
+    for c in seen:
+        n = Counter(c.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        d = [0.0, *(min(max(m - (m + 1) * y * n[m + 1] / n[m] if n[m] else m * y, 0.1 * m), 0.95 * m) for m in (1, 2, 3))]
+        discount.append(d)
+        sums.append(sum(c.values()))
+        mass.append(sum(d[min(v, 3)] for v in c.values()) / sums[-1])
+    kept = lambda j, v: (v - discount[j][min(v, 3)]) / sums[j]
+
+    def ratio(w):
+        q = kept(2, seen[2][w]) + mass[2] / (len(before) + 1)
+        p = [kept(k, seen[k][w]) + mass[k] * q for k in (0, 1)]
+        return math.log(p[1]) - math.log(p[0])
+
+    out = []
+    for text in texts:
+        r = sorted((ratio(w) for w in ALNUM.findall((text or "").lower())), reverse=True)
+        top = r[: max(1, len(r) // toxicity.TELLING)]
+        out.append((sum(top) / max(1, len(top)), sum(r) / max(1, len(r)), math.log1p(len(r))))
+    return out
+
+
+def test_toxicity_against_the_definition(spark, monkeypatch):
+    rng = random.Random(4)
+    text = lambda k: " ".join(f"w{min(int(rng.paretovariate(0.6)), 3000)}" for _ in range(rng.randrange(1, 400)))
+    learn = [(text(k), k % 3 == 0) for k in range(120)] + [(None, 0), ("", 1), ("Trash trash W1", 1)]
+    texts = [text(k) for k in range(60)] + [None, "", "never seen words", "trash " * 5000, learn[0][0], learn[0][0]]
+    monkeypatch.setattr(toxicity, "GROUP_BYTES", 1 << 12)
+    monkeypatch.setattr(toxicity, "_RUN", 1 << 10)
+    model, table = toxicity.fit(spark.createDataFrame([(t, int(y)) for t, y in learn], "text string, label int").repartition(3), 5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    got = {r.id: (r.top, r.mean, r.length) for part in toxicity.evidence(docs, model, table, 5) for r in part.collect()}
+    assert len(got) == len(texts)
+    for k, want in enumerate(plain_kneser_ney(learn, texts)):
+        assert got[k] == pytest.approx(want, abs=1e-5)
+
+
+def test_words_of_one_hash_pattern_differ():
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a  # a polynomial modulo 2**64 gives these one hash whatever its base
+    for lower in (False, True):
+        w = tokens.words(pa.array([f"{a} {b} {a}", f"{b}"]), lower=lower)
+        assert len(a) == 1024 and w.hashes[0] == w.hashes[2] != w.hashes[1] == w.hashes[3]
+
+
+def test_near_copies_keep_one_row_of_each(spark):
+    base = [f"t{k}" for k in range(60)]
+    near = [*base[:59], "other"]
+    rows = [(5, " ".join(base)), (9, " ".join(near)), (9, "a quite different text of more than five words stands here"), (None, "nobody has an id but a text of some words"), (None, "nobody has an id but a text of some words"), (None, None), (7, " ".join(base))]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, gone int, gone_id int")
+    kept = sorted((str(r.doc_id), r.text or "") for r in jaccard.one_of_each(docs).collect())
+    assert kept == sorted([("9", rows[2][1]), ("None", rows[3][1]), ("None", ""), ("9", rows[1][1])]) or kept == sorted([("9", rows[2][1]), ("None", rows[3][1]), ("None", ""), ("5", rows[0][1])])
+    assert jaccard.one_of_each(docs).columns == docs.columns
