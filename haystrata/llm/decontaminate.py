@@ -13,7 +13,8 @@ in the same stage. Nothing is shuffled.
 
 Null or empty texts have no words, hit nothing and, as items, occur nowhere. Repeated rows
 give repeated results; items that repeat an id count once. A null item id is written as ''.
-Words are compared by 64-bit hashes.
+Words are compared by 64-bit hashes: a word of the corpus is taken for another one of the benchmark with
+a chance of vocabulary / 2**64, and a hit needs a whole phrase of such words.
 """
 
 from __future__ import annotations
@@ -229,7 +230,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The documents, all columns, without those in which a phrase occurs. Nothing is joined or shuffled."""
+    """The documents, all columns, without those in which a phrase occurs: each row is judged by its own text,
+    so rows that repeat an id, or have none, stay or go by it. Other columns may have any name. Nothing is joined or shuffled."""
     rows = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
     rows = rows.select("*", *_nothing())
     found = _search(rows, f"c{docs.columns.index(text_col)}", True, _blocks(benchmark, item_id_col, item_text_col, window, block_words), shard_words)

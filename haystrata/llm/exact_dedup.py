@@ -10,7 +10,8 @@
    the text itself, combined in each task before the shuffle.
 
 Null texts count as empty; empty texts equal one another. Rows that repeat a doc_id with an
-equal text are one document and get the same decision. A null doc_id sorts below all others.
+equal text are one document and get the same decision (``without_copies`` keeps one of them). A
+null doc_id sorts below all others.
 Only the id and text columns are read, so other columns can have any name.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haystrata.llm.scratch import materialise
+from haystrata.llm.scratch import free, materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fingerprints a merged segment should hold.
@@ -136,8 +137,8 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
     return fingerprints.mapInArrow(build, "segment int, cqf binary").groupBy("segment").applyInArrow(merge, "fp long")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id_col``, keep_id, group_size, kept, text_sha256 of the normalised text."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """``exact_groups`` and the written tables that it reads."""
     norm = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
     texts = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("fp", F.xxhash64("norm"))
     base = materialise(texts.select("id", "fp", F.unhex(F.sha2("norm", 256)).alias("sha")), "fingerprints")
@@ -149,19 +150,38 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "size")
     )
     groups = materialise(groups, "groups")
+    free(repeated)
     single = F.col("size").isNull()
-    return base.join(groups, ["fp", "sha"], "left").select(
+    found = base.join(groups, ["fp", "sha"], "left").select(
         F.col("id").alias(id_col),
         F.when(single, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
         F.when(single, True).otherwise(F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+    return found, [base, groups]
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``id_col``, keep_id, group_size, kept, text_sha256 of the normalised text."""
+    return _grouped(docs, id_col, text_col)[0]
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, without the copies that ``exact_groups`` does not keep."""
-    dropped = exact_groups(docs, id_col, text_col).filter(~F.col("kept"))
-    dropped = materialise(dropped.select(F.col(id_col).alias("gone_id"), F.unhex("text_sha256").alias("gone_sha")).distinct(), "dropped")
-    sha = F.unhex(F.sha2(F.translate(F.coalesce(docs[text_col], F.lit("")), UPPER, LOWER), 256))
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha")), "left_anti")
+    """The documents, all columns: of each group of equal texts exactly one row, with the largest id.
+
+    Of rows that repeat that id with an equal text (or all have none) any one stays. Other columns may have any name.
+    """
+    rows = docs.toDF(*(f"c{j}" for j in range(len(docs.columns))))
+    own, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    found, tables = _grouped(rows, own, text)
+    found = found.filter("group_size > 1").select(F.col(own).alias("gone"), F.unhex("text_sha256").alias("gone_sha"), "kept")
+    dropped = materialise(found.filter(~F.col("kept")).select("gone", "gone_sha").distinct(), "dropped")
+    ties = found.filter("kept").groupBy(F.col("gone").alias("tied"), F.col("gone_sha").alias("tied_sha")).agg(F.count(F.lit(1)).alias("times"))
+    ties = materialise(ties.filter("times > 1").select("tied", "tied_sha", F.lit(True).alias("many")), "ties")
+    free(*tables)
+    rows = rows.withColumn("sha", F.unhex(F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), 256)))
+    left = rows.join(dropped, F.col(own).eqNullSafe(F.col("gone")) & (F.col("sha") == F.col("gone_sha")), "left_anti")
+    left = left.join(ties, F.col(own).eqNullSafe(F.col("tied")) & (F.col("sha") == F.col("tied_sha")), "left").drop("tied", "tied_sha")
+    one = left.filter("many").dropDuplicates([own, "sha"])
+    return left.filter(F.col("many").isNull()).unionByName(one).drop("sha", "many").toDF(*docs.columns)

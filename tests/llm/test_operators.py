@@ -146,7 +146,11 @@ def test_exact_dedup(docs, rows, empty):
         keep = max((i for i in ids if i is not None), default=None)
         assert (g.keep_id, g.group_size, g.kept) == (keep, len(ids), g.doc_id == keep)
     assert exact_dedup.exact_groups(empty).count() == 0
-    assert exact_dedup.without_copies(docs).count() == sum(g.kept for g in got)
+    left = exact_dedup.without_copies(docs).collect()
+    assert len(left) == len(groups)
+    assert {((r.text or "").translate(LOW), r.doc_id) for r in left} == {(t, max((i for i in ids if i is not None), default=None)) for t, ids in groups.items()}
+    clash = docs.withColumnRenamed("size", "gone_id").withColumnRenamed("id", "gone")
+    assert exact_dedup.without_copies(clash).columns == clash.columns and exact_dedup.without_copies(clash).count() == len(groups)
 
 
 def test_mixing(docs, rows, empty):
