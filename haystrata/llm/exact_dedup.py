@@ -158,13 +158,14 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, li
         F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
         F.when(single, True).otherwise(F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        "fp",
     )
     return found, [base, groups]
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, keep_id, group_size, kept, text_sha256 of the normalised text."""
-    return _grouped(docs, id_col, text_col)[0]
+    return _grouped(docs, id_col, text_col)[0].drop("fp")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,13 +176,13 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.toDF(*(f"c{j}" for j in range(len(docs.columns))))
     own, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
     found, tables = _grouped(rows, own, text)
-    found = found.filter("group_size > 1").select(F.col(own).alias("gone"), F.unhex("text_sha256").alias("gone_sha"), "kept")
-    dropped = materialise(found.filter(~F.col("kept")).select("gone", "gone_sha").distinct(), "dropped")
-    ties = found.filter("kept").groupBy(F.col("gone").alias("tied"), F.col("gone_sha").alias("tied_sha")).agg(F.count(F.lit(1)).alias("times"))
-    ties = materialise(ties.filter("times > 1").select("tied", "tied_sha", F.lit(True).alias("many")), "ties")
+    found = found.filter("group_size > 1").select(F.col(own).alias("row_id"), "fp", "kept")
+    # a row is named by id and fingerprint: few bytes, and only rows of one id could be taken for one another
+    dropped = materialise(found.filter(~F.col("kept")).select("row_id", "fp").distinct(), "dropped")
+    ties = materialise(found.filter("kept").groupBy("row_id", "fp").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("row_id", "fp"), "ties")
     free(*tables)
-    rows = rows.withColumn("sha", F.unhex(F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), 256)))
-    left = rows.join(dropped, F.col(own).eqNullSafe(F.col("gone")) & (F.col("sha") == F.col("gone_sha")), "left_anti")
-    left = left.join(ties, F.col(own).eqNullSafe(F.col("tied")) & (F.col("sha") == F.col("tied_sha")), "left").drop("tied", "tied_sha")
-    one = left.filter("many").dropDuplicates([own, "sha"])
-    return left.filter(F.col("many").isNull()).unionByName(one).drop("sha", "many").toDF(*docs.columns)
+    print_ = F.xxhash64(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER))
+    named = F.col(own).eqNullSafe(F.col("row_id")) & (print_ == F.col("fp"))
+    once = rows.join(dropped, named, "left_anti").join(ties, named, "left_anti")
+    again = rows.join(ties, named, "left_semi").withColumn("print", print_).dropDuplicates([own, "print"]).drop("print")
+    return once.unionByName(again).toDF(*docs.columns)
