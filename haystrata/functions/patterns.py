@@ -66,6 +66,7 @@ CRITERIA = [
     ("7호", "회계처리", ["회계 관련"]),
     ("8호", "", []),
 ]
+# A call for review, articles and their headers, clause marks.
 REVIEW = r"준법감시(?:인|부서)?\s*(?:의\s*)?(?:확인|검토)|사전\s*확인|확인(?:이|가)?\s*필요|검토(?:가)?\s*필요|위험\s*신호|공시\s*위험"
 ARTICLE = r"제\s*(\d+)\s*조(?:\s*의\s*(\d+))?"
 HEADER = r"제\s*(\d+)\s*조(의\s*\d+)?\s*\(([^)]*)\)"

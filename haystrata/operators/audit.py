@@ -1,12 +1,16 @@
 """Hash-chained audit log: append, verify, duplicate guard.
 
-A chain is sequential by definition: a batch is put in order and folded once by a single
-writer (a batch of one chain is bounded by what that writer commits at a time). Verification
-recomputes hashes in parallel and compares neighbours.
+A chain is sequential by definition: a batch is put in order and streams through a single writer
+that holds one record at a time. Verification recomputes hashes in parallel, compares neighbours
+inside ranges of ids, and joins the ranges at their ends.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ from haystrata.operators.scan import scan
 
 GENESIS = "GENESIS"
 LOG = "id bigint, timestamp string, tool_name string, input_hash string, result_summary string, requires_human_review int, prev_hash string, record_hash string"
+_FIELDS = ("timestamp", "tool_name", "input_hash", "result_summary", "requires_human_review")
 
 
 def sanitize(field: Column) -> Column:
@@ -21,7 +26,12 @@ def sanitize(field: Column) -> Column:
 
 
 def record_hash(ts: Column, tool: Column, input_hash: Column, summary: Column, flag: Column, prev: Column) -> Column:
-    return F.sha2(F.concat_ws("|", ts, sanitize(tool), input_hash, sanitize(summary), flag.cast("string"), prev), 256)
+    return F.sha2(F.concat(record_text(ts, tool, input_hash, summary, flag), F.lit("|"), prev), 256)
+
+
+def record_text(ts: Column, tool: Column, input_hash: Column, summary: Column, flag: Column) -> Column:
+    """What a record's hash is taken of, but for the hash before it."""
+    return F.concat_ws("|", ts, sanitize(tool), input_hash, sanitize(summary), flag.cast("string"))
 
 
 def kst(ts: Column) -> Column:
@@ -30,40 +40,74 @@ def kst(ts: Column) -> Column:
 
 
 def prepare(records: DataFrame) -> DataFrame:
-    """records: seq, ts, tool_name, input_text, result_summary, requires_human_review. Hashes the input and drops it; scans and masks the summary."""
+    """records: seq, ts (null: now), tool_name, input_text, result_summary, requires_human_review. Hashes the input and drops it; scans and masks the summary."""
+    now = kst(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))
     checked = records.withColumn("result_summary", F.when(F.col("result_summary").isNull(), F.raise_error(F.lit("result_summary must not be null"))).otherwise(F.col("result_summary")))
     hashed = checked.withColumn("input_hash", F.sha2(F.col("input_text"), 256)).drop("input_text").withColumnRenamed("requires_human_review", "asked")
     return scan(hashed, "result_summary").select(
-        "seq", F.col("ts").alias("timestamp"), "tool_name", "input_hash", F.col("masked_text").alias("result_summary"), (F.col("asked") | F.col("requires_human_review")).cast("int").alias("requires_human_review")
+        "seq", F.coalesce("ts", now).alias("timestamp"), "tool_name", "input_hash", F.col("masked_text").alias("result_summary"), (F.col("asked") | F.col("requires_human_review")).cast("int").alias("requires_human_review")
     )
 
 
-def append(records: DataFrame, last_id: int = 0, last_hash: str = GENESIS) -> DataFrame:
-    """The batch's records behind the chain's last one, in order of seq."""
-    rows = prepare(records).select(F.struct("seq", "timestamp", "tool_name", "input_hash", "result_summary", "requires_human_review").alias("r"))
-    ordered = rows.agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    start = F.struct(F.lit(last_hash).alias("prev"), F.expr(f"cast(array() as array<struct<{', '.join(':'.join(c.split()) for c in LOG.split(', '))}>>)").alias("out"))
+def _chain(last_id: int, last_hash: str):
+    """Records in order, each with its text: number, hash before it and own hash are added."""
 
-    def step(acc: Column, r: Column) -> Column:
-        h = record_hash(r["timestamp"], r["tool_name"], r["input_hash"], r["result_summary"], r["requires_human_review"], acc["prev"])
-        number = (F.size(acc["out"]) + 1 + last_id).cast("bigint")
-        one = F.struct(number.alias("id"), *[r[c].alias(c) for c in ("timestamp", "tool_name", "input_hash", "result_summary", "requires_human_review")], acc["prev"].alias("prev_hash"), h.alias("record_hash"))
-        return F.struct(h.alias("prev"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, prev = last_id, last_hash
+        for batch in batches:
+            before, own = [], []
+            for text in batch.column("body").to_pylist():
+                before.append(prev)
+                prev = hashlib.sha256(f"{text}|{prev}".encode()).hexdigest()
+                own.append(prev)
+            ids = pa.array(range(number + 1, number + 1 + len(own)), pa.int64())
+            number += len(own)
+            yield pa.RecordBatch.from_arrays([ids, *(batch.column(c) for c in _FIELDS), pa.array(before, pa.string()), pa.array(own, pa.string())], [c.split()[0] for c in LOG.split(", ")])
 
-    return ordered.select(F.inline(F.aggregate("rs", start, step, lambda acc: acc["out"])))
+    return run
+
+
+def append(records: DataFrame, last_id: int = 0, last_hash: str = GENESIS) -> DataFrame:
+    """The batch's records behind the chain's last one, in order of seq."""
+    rows = prepare(records)
+    rows = rows.withColumn("body", record_text(*(F.col(c) for c in _FIELDS)))
+    order = ["seq", *_FIELDS]
+    return rows.repartition(1).sortWithinPartitions(*order).select(*_FIELDS, "body").mapInArrow(_chain(last_id, last_hash), LOG)
 
 
 def checked(log: DataFrame) -> DataFrame:
     """The log with the hash each record should have."""
-    return log.withColumn("expected", record_hash(*(F.col(c) for c in ("timestamp", "tool_name", "input_hash", "result_summary", "requires_human_review", "prev_hash"))))
+    return log.withColumn("expected", record_hash(*(F.col(c) for c in (*_FIELDS, "prev_hash"))))
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range of records in order: one row with its ends, its first record that does not fit the one before it, its number."""
+    first = last = broken = None
+    n = 0
+    for batch in batches:
+        for number, prev, own, fine in zip(*(batch.column(c).to_pylist() for c in ("id", "prev_hash", "record_hash", "fine")), strict=True):
+            if first is None:
+                first = (number, prev)
+                fits = bool(fine)
+            else:
+                fits = bool(fine) and prev == last
+            if not fits and broken is None:
+                broken = number
+            last = own
+            n += 1
+    if n:
+        yield pa.RecordBatch.from_pylist([{"first_id": first[0], "first_prev": first[1], "last_hash": last, "broken": broken, "n": n}], pa.schema([("first_id", pa.int64()), ("first_prev", pa.string()), ("last_hash", pa.string()), ("broken", pa.int64()), ("n", pa.int64())]))
 
 
 def verify(log: DataFrame) -> DataFrame:
     """One row: valid, broken_at (first id that does not fit), total_records."""
-    prev = F.lag("record_hash", 1, GENESIS).over(Window.orderBy("id"))
-    bad = (F.col("prev_hash") != F.col("prev")) | (F.col("record_hash") != F.col("expected"))
-    light = checked(log).select("id", "prev_hash", "record_hash", "expected").withColumn("prev", prev)
-    return light.agg(F.min(F.when(bad, F.col("id"))).alias("broken_at"), F.count(F.lit(1)).alias("total_records")).select(F.col("broken_at").isNull().alias("valid"), "broken_at", "total_records")
+    light = checked(log).select(F.col("id").cast("long").alias("id"), "prev_hash", "record_hash", F.col("record_hash").eqNullSafe(F.col("expected")).alias("fine"))
+    ranges = light.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(_compared, "first_id long, first_prev string, last_hash string, broken long, n long")
+    # one row a partition from here
+    joined = ranges.withColumn("prev", F.lag("last_hash", 1, GENESIS).over(Window.orderBy("first_id")))
+    broken = F.least("broken", F.when(~F.col("first_prev").eqNullSafe(F.col("prev")), F.col("first_id")))
+    out = joined.agg(F.min(broken).alias("broken_at"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_records"))
+    return out.select(F.col("broken_at").isNull().alias("valid"), "broken_at", "total_records")
 
 
 def latest(log: DataFrame) -> DataFrame:

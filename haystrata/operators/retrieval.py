@@ -2,8 +2,8 @@
 
 Queries meet all chunks. For the vector side queries are broadcast, in blocks of about
 ``MAX_QUERIES`` if there are more; chunks are scanned once a block and never shuffled, and rows
-without an embedding take no part. For BM25 chunk terms are joined with query terms only, so postings of other terms end in
-the scan's task; corpus statistics are partial aggregates.
+without an embedding take no part. For BM25 the terms of queries are met before anything is counted by chunk: broadcast
+if there are at most ``MAX_TERMS``, else joined; document frequencies are partial aggregates of each chunk's distinct terms.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-MAX_QUERIES = 10_000
+MAX_QUERIES, MAX_TERMS = 10_000, 200_000
 TOKEN = "[가-힣]+|[A-Za-z0-9]+"
 
 
@@ -49,12 +49,16 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, pool: int = 10) -> DataFr
     """chunks: chunk_id, seq, text; queries: query_id, query. query_id, chunk_id, seq, bm25, rank; scores above 0 only."""
     docs = chunks.select("chunk_id", "seq", tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = docs.select("chunk_id", "seq", "dl", F.explode("terms").alias("term")).groupBy("chunk_id", "seq", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    idf = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), F.lit(True))
+    idf = docs.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), F.lit(True))
     idf = idf.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     asked = asked.join(idf, "term").join(F.broadcast(mean), F.lit(True)).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")))
+    wanted = queries.select(F.explode(tokens(F.col("query"))).alias("term")).distinct()
+    if wanted.limit(MAX_TERMS + 1).count() <= MAX_TERMS:
+        wanted = F.broadcast(wanted)
+    own = docs.select("chunk_id", "seq", "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
+    postings = own.groupBy("chunk_id", "seq", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     hits = postings.join(asked, "term").join(F.broadcast(stats), F.lit(True))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "chunk_id", "seq").agg(F.sum(part).alias("bm25"))

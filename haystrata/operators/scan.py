@@ -97,7 +97,6 @@ def _numeric(text: Column) -> Column:
 def findings(text: Column) -> Column:
     """All findings, in order of stage, then place."""
     found = claim([rrn(text), card(text), phone(text), email(text), account(text), *claims(text), internal(text)], FINDING)
-    # the wrapped array binds the text once for all stages
     return F.when(text.isNull() | (text == ""), F.expr(f"cast(array() as {FINDING})")).otherwise(found)
 
 
@@ -117,23 +116,28 @@ def masked_values(found: Column) -> Column:
     return F.array_join(F.transform(types, text), ", ")
 
 
+OUTPUTS = ("findings", "total_findings", "returned_findings", "max_findings", "truncated_findings", "truncated", "counts", "detected_types", "masked_text", "log_safe_summary", "summary", "requires_human_review")
+
+
 def scan(df: DataFrame, text_col: str = "text", settings: Settings | None = None) -> DataFrame:
     """Adds findings, total_findings, returned_findings, truncated_findings, truncated, counts,
     detected_types, masked_text, log_safe_summary, summary, requires_human_review.
 
-    A null or empty text has no findings and its own summary; white space is a text.
+    A null or empty text has no findings and its own summary; white space is a text. A column of the
+    input that has an output's name gives way to it; all others stay.
     """
     most = (settings or Settings()).max_findings
     text = F.col(text_col)
-    rows = df.withColumn("all_findings", findings(text))
-    every, total = F.col("all_findings"), F.size("all_findings")
+    found, values = (next(n for n in (name + "_" * k for k in range(len(df.columns) + 1)) if n not in df.columns) for name in ("all_findings", "values_text"))
+    rows = df.withColumn(found, findings(text))
+    every, total = F.col(found), F.size(found)
     empty, none = text.isNull() | (text == ""), total == 0
     types = F.transform(every, lambda f: f["type"])
-    rows = rows.withColumn("values_text", masked_values(every))
+    rows = rows.withColumn(values, masked_values(every))
     cut = F.greatest(total - most, F.lit(0))
-    safe = F.concat(F.lit("scan_sensitive_info: "), F.col("values_text"), F.lit("; 사람 검토 필요"), F.when(cut > 0, F.concat(F.lit("; findings 상세 "), cut.cast("string"), F.lit("건 생략"))).otherwise(""))
+    safe = F.concat(F.lit("scan_sensitive_info: "), F.col(values), F.lit("; 사람 검토 필요"), F.when(cut > 0, F.concat(F.lit("; findings 상세 "), cut.cast("string"), F.lit("건 생략"))).otherwise(""))
     human = F.concat(
-        F.lit("스캔 결과 "), total.cast("string"), F.lit("건이 탐지되었습니다 ("), F.col("values_text"), F.lit("). 개인정보는 마스킹했으며, 외부 공유 전 사람 검토가 필요합니다."),
+        F.lit("스캔 결과 "), total.cast("string"), F.lit("건이 탐지되었습니다 ("), F.col(values), F.lit("). 개인정보는 마스킹했으며, 외부 공유 전 사람 검토가 필요합니다."),
         F.when(cut > 0, F.concat(F.lit(" 상세 반환은 "), F.lit(str(most)), F.lit("/"), total.cast("string"), F.lit("건으로 제한했습니다."))).otherwise(""),
     )
     shown = F.transform(
@@ -141,7 +145,7 @@ def scan(df: DataFrame, text_col: str = "text", settings: Settings | None = None
         lambda f: F.struct(f["type"].alias("type"), type_code(f["type"]).alias("type_code"), f["label"].alias("label"), f["mask"].alias("value_masked"), f["s"].alias("span_start"), f["e"].alias("span_end"), f["confidence"].alias("confidence"), F.lit(True).alias("requires_human_review"), f["reason"].alias("reason")),
     )
     return rows.select(
-        *df.columns,
+        *(c for c in df.columns if c not in OUTPUTS),
         shown.alias("findings"),
         total.alias("total_findings"),
         F.least(total, F.lit(most)).alias("returned_findings"),

@@ -30,6 +30,17 @@ def matched_criteria(signals: DataFrame, id_col: str) -> DataFrame:
     return one.join(known, "signal").groupBy(id_col, "criterion_no", "name").agg(F.array_sort(F.collect_set("signal")).alias("triggered_signals"))
 
 
+def criteria_met(signals: Column) -> Column:
+    """array<struct<criterion_no, name, triggered_signals>> of one text, in order of the criteria."""
+    types = F.transform(signals, lambda s: s["type"])
+    rows = []
+    for no, name, own in P.CRITERIA:
+        if own:
+            hit = F.array_sort(F.array_intersect(F.array(*map(F.lit, own)), types))
+            rows.append(F.when(F.size(hit) > 0, F.struct(F.lit(no).alias("criterion_no"), F.lit(name).alias("name"), hit.alias("triggered_signals"))))
+    return F.filter(F.array(*rows), lambda r: r.isNotNull())
+
+
 def asks_review(answer: Column) -> Column:
     return F.coalesce(answer.rlike(P.unicode_pattern(P.REVIEW)), F.lit(False))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haystrata.config import Settings
 from haystrata.operators import audit, citations, retrieval, signals
 from haystrata.operators.scan import envelope, scan
+from haystrata.sources import files
 
+# Messages.
 CONFIRMATION = "🔒 확인한 내용이 안전하게 기록되었습니다. 개인정보와 미공개 정보 등 민감한 내용은 노출되지 않도록 보호한 뒤 저장됩니다."
 
 
@@ -16,6 +18,60 @@ def with_confirmation(summary: Column) -> Column:
     return F.when(F.contains(summary, F.lit(CONFIRMATION)), summary).otherwise(F.concat(summary, F.lit("\n\n" + CONFIRMATION)))
 
 
+BOTH_INPUTS = ("text와 file_path 중 정확히 하나만 전달하세요.", "invalid_arguments: exactly one of text/file_path required")
+NOT_TEXT = ("올바르지 않은 인자 형식입니다. 모든 텍스트 필드는 문자열이어야 합니다.", "invalid_arguments: text fields must be strings")
+NOT_FLAG = ("올바르지 않은 인자 형식입니다. 검토 여부는 boolean이어야 합니다.", "invalid_arguments: requires_human_review must be boolean")
+NOT_READY = {"check_disclosure_risk": "규정 코퍼스 인덱스를 준비하지 못했습니다. 보수적으로 준법감시 확인이 필요합니다.", "search_compliance_rule": "규정 코퍼스 인덱스를 준비하지 못했습니다."}
+NO_TEXT_QUERY = "공시 위험 준법감시 사전확인"
+
+
+def failed(rows: DataFrame, id_col: str, tool: str, summary: Column, error: Column) -> DataFrame:
+    """The result columns of calls that failed: no data, no outputs, and always a review."""
+    return rows.select(id_col, F.lit(False).alias("ok"), F.lit(tool).alias("tool"), summary.alias("summary"), F.array().cast("array<string>").alias("outputs"), F.lit(True).alias("requires_human_review"), error.alias("error"))
+
+
+def with_failures(results: DataFrame, failures: DataFrame) -> DataFrame:
+    """Results and failed calls together; what a failure does not have is null."""
+    return results.unionByName(failures, allowMissingColumns=True)
+
+
+def not_ready(calls: DataFrame, id_col: str, tool: str, error: str | None) -> DataFrame:
+    """All calls of a tool whose index could not be made ready."""
+    return failed(calls, id_col, tool, F.lit(NOT_READY[tool]), F.lit(error or "unknown error"))
+
+
+def resolved(calls: DataFrame, read: DataFrame | None = None, id_col: str = "doc_id", tool: str = "scan_sensitive_info") -> tuple[DataFrame, DataFrame]:
+    """calls: ``id_col``, text, file_path; read: ``files.read_files`` of the paths. (``id_col``, text and file columns of usable calls; failed calls).
+
+    Exactly one of text and file counts; a blank file path is none, a null text is empty; a file that has an
+    error, or was not read, fails its call.
+    """
+    rows = calls.select(id_col, "text", "file_path", files.choose_input(F.col("text"), F.col("file_path")).alias("kind"))
+    columns = ("file_name", "extension", "pages", "total_chars", "truncated", "error")
+    if read is None:
+        read = calls.sparkSession.createDataFrame([], f"{files.READ}, total_chars int, truncated boolean")
+    # a file system's scheme is no part of the name that a call gives
+    plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
+    own = read.select(plain(F.col("path")).alias("at"), F.col("text").alias("file_text"), *columns)
+    rows = rows.join(own, (F.col("kind") == "file") & (plain(F.trim("file_path")) == F.col("at")), "left")
+    problem = F.when(F.col("kind") == "file", F.when(F.col("at").isNull(), F.concat(F.lit("파일을 찾을 수 없습니다: "), F.col("file_path"))).otherwise(F.col("error")))
+    rows = rows.withColumn("problem", problem)
+    both = F.col("kind") == "both"
+    bad = rows.filter(both | F.col("problem").isNotNull())
+    failures = failed(bad, id_col, tool, F.when(both, BOTH_INPUTS[0]).otherwise(F.concat(F.lit("파일 입력 오류: "), F.col("problem"))), F.when(both, BOTH_INPUTS[1]).otherwise(F.col("problem")))
+    good = rows.filter(~both & F.col("problem").isNull())
+    text = F.when(F.col("kind") == "file", F.col("file_text")).otherwise(F.coalesce("text", F.lit("")))
+    return good.select(id_col, text.alias("text"), "kind", *columns[:-1]), failures
+
+
+def scan_calls(calls: DataFrame, read: DataFrame | None = None, id_col: str = "doc_id", settings: Settings | None = None) -> DataFrame:
+    """The scan tool on calls with a text or a file: results, with file marks, and failures."""
+    good, failures = resolved(calls, read, id_col)
+    result = scan_tool(good.select(id_col, "text"), id_col, "text", settings)
+    result = apply_file_meta(result, good.filter("kind = 'file'"), id_col, (settings or Settings()).max_text_chars)
+    return with_failures(result, failures)
+
+
 def scan_tool(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
     return envelope(scan(texts, text_col, settings), id_col)
 
@@ -51,25 +107,59 @@ def check_tool(texts: DataFrame, found: DataFrame, answers: DataFrame | None = N
     rows = texts.join(_evidence(found, s.similarity_threshold), "query_id", "left")
     rows = rows.join(answers, "query_id", "left") if answers is not None else rows.withColumn("answer", F.lit(None).cast("string"))
     passed = F.coalesce("threshold_passed", F.lit(False))
+    rows = rows.withColumn("answer", F.nullif(citations.clean_answer(F.col("answer")), F.lit("")))
     rows = rows.withColumn("risk_signals", signals.risk_signals(F.coalesce("text", F.lit("")))).withColumn("passed", passed)
+    rows = rows.withColumn("matched_criteria", signals.criteria_met(F.col("risk_signals")))
     rows = rows.withColumn("citation", citations.verify(F.when(passed, F.col("answer")), F.coalesce(F.col("matches.article"), F.array().cast("array<string>"))))
     rows = rows.withColumn("kept", citations.guarded_answer(F.when(passed, F.col("answer")), F.col("citation")))
     review = signals.check_review(F.col("risk_signals"), F.col("citation.citation_verified"), F.col("kept"), F.col("passed"))
     summary = F.when(~F.col("passed"), signals.NO_EVIDENCE_REVIEW).otherwise(F.coalesce("kept", signals.fallback_summary(F.col("risk_signals"))))
     outputs = F.transform(F.slice("matches", 1, 3), lambda m: F.concat(m["source"], F.lit(" "), m["article"], F.lit(" "), m["article_title"], F.lit(": "), m["snippet"]))
     none = F.array().cast("array<string>")
-    return rows.select("query_id", F.lit(True).alias("ok"), F.lit("check_disclosure_risk").alias("tool"), summary.alias("summary"), "risk_signals", F.when(F.col("passed"), F.col("matches")).alias("matches"), F.col("kept").alias("answer"), "citation", F.col("passed").alias("threshold_passed"), F.when(F.col("passed"), outputs).otherwise(none).alias("outputs"), review.alias("requires_human_review"), F.lit(None).cast("string").alias("error"))
+    return rows.select("query_id", F.lit(True).alias("ok"), F.lit("check_disclosure_risk").alias("tool"), summary.alias("summary"), "risk_signals", "matched_criteria", F.when(F.col("passed"), F.col("matches")).alias("matches"), F.char_length(F.coalesce("text", F.lit(""))).alias("input_chars"), F.col("kept").alias("answer"), "citation", F.col("passed").alias("threshold_passed"), F.when(F.col("passed"), outputs).otherwise(none).alias("outputs"), review.alias("requires_human_review"), F.lit(None).cast("string").alias("error"))
 
 
-def search_tool(queries: DataFrame, found: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Result columns per query; success never asks for review."""
+def check_and_log(texts: DataFrame, found: DataFrame, answers: DataFrame | None = None, log: DataFrame | None = None, ts: str | None = None, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
+    """The check tool with its automatic record: (results with a confirmation and ``audit_log``, new records behind ``log``).
+
+    Calls are logged in order of query_id, which must not repeat; the summary is recorded as it was before the confirmation.
+    """
+    result = check_tool(texts, found, answers, settings)
+    calls = result.join(texts.select("query_id", F.coalesce("text", F.lit("")).alias("input_text")), "query_id")
+    calls = calls.select(F.col("query_id").alias("seq"), F.lit(ts).cast("string").alias("ts"), "tool", "input_text", F.col("summary").alias("result_summary"), "requires_human_review").withColumnRenamed("tool", "tool_name")
+    last = audit.latest(log).first() if log is not None else None
+    new = audit.append(calls, last["id"] if last else 0, last["record_hash"] if last else audit.GENESIS)
+    # records come back in order of the calls: the n-th call has the n-th record
+    order = Window.orderBy("query_id")
+    numbered = texts.select("query_id").withColumn("id", F.row_number().over(order).cast("long") + F.lit(last["id"] if last else 0))
+    own = numbered.join(new, "id").select("query_id", F.struct("id", "timestamp", "record_hash", (F.col("requires_human_review") == 1).alias("logged_requires_human_review"), F.lit(True).alias("auto_logged")).alias("audit_log"))
+    return result.join(own, "query_id").withColumn("summary", with_confirmation(F.col("summary"))), new
+
+
+def search_tool(queries: DataFrame, found: DataFrame, settings: Settings | None = None, answers: DataFrame | None = None) -> DataFrame:
+    """Result columns per query; success never asks for review. answers: query_id, answer."""
     s = settings or Settings()
     rows = queries.select("query_id", "query").join(_evidence(found, s.similarity_threshold), "query_id", "left").withColumn("passed", F.coalesce("threshold_passed", F.lit(False)))
-    n = F.size("matches")
-    summary = F.when(~F.col("passed"), signals.NO_EVIDENCE).otherwise(F.concat(F.lit("로컬 규정 코퍼스에서 관련 근거 "), n.cast("string"), F.lit("건을 찾았습니다.")))
+    rows = rows.join(answers, "query_id", "left") if answers is not None else rows.withColumn("answer", F.lit(None).cast("string"))
+    answer = F.when(F.col("passed"), F.nullif(citations.clean_answer(F.col("answer")), F.lit("")))
+    rows = rows.withColumn("citation", citations.verify(answer, F.coalesce(F.col("matches.article"), F.array().cast("array<string>"))))
+    rows = rows.withColumn("kept", citations.guarded_answer(answer, F.col("citation")))
+    listed = F.concat(F.lit("로컬 규정 코퍼스에서 관련 근거 "), F.size("matches").cast("string"), F.lit("건을 찾았습니다."))
+    summary = F.when(~F.col("passed"), signals.NO_EVIDENCE).otherwise(F.coalesce("kept", listed))
     outputs = F.transform("matches", lambda m: F.concat(m["source"], F.lit(" "), m["article"], F.lit(" "), m["article_title"], F.lit(": "), m["snippet"]))
     none = F.array().cast("array<string>")
-    return rows.select("query_id", F.lit(True).alias("ok"), F.lit("search_compliance_rule").alias("tool"), summary.alias("summary"), F.when(F.col("passed"), F.col("matches")).alias("matches"), F.col("passed").alias("threshold_passed"), F.when(F.col("passed"), outputs).otherwise(none).alias("outputs"), F.lit(False).alias("requires_human_review"), F.lit(None).cast("string").alias("error"))
+    return rows.select("query_id", F.lit(True).alias("ok"), F.lit("search_compliance_rule").alias("tool"), summary.alias("summary"), F.when(F.col("passed"), F.col("matches")).alias("matches"), F.col("kept").alias("answer"), "citation", F.col("passed").alias("threshold_passed"), F.when(F.col("passed"), outputs).otherwise(none).alias("outputs"), F.lit(False).alias("requires_human_review"), F.lit(None).cast("string").alias("error"))
+
+
+def generated(rows: DataFrame, answerer, settings: Settings | None = None) -> DataFrame:
+    """rows: query_id, query and matches in order. query_id, answer of the caller's function of (query, evidence block); none where it is
+    switched off. Queries without matches get a fixed sentence."""
+    s = settings or Settings()
+    if answerer is None or not s.generate_answer:
+        return rows.select("query_id", F.lit(None).cast("string").alias("answer"))
+    block = citations.evidence_block(F.col("matches"))
+    none = F.coalesce(F.size("matches"), F.lit(0)) == 0
+    return rows.select("query_id", F.when(none, signals.NO_EVIDENCE).otherwise(answerer(F.col("query"), block)).alias("answer"))
 
 
 def log_tool(log: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:

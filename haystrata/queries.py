@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from haystrata.operators import audit, calibrate, chunking, citations, retrieval, signals
 from haystrata.operators import scan as S
 from haystrata.plans import tools
+from haystrata.sources import index
 from haystrata.sources.files import truncated
 
 # template with {n} for a number, masked text, types found in order
@@ -28,6 +29,8 @@ TEMPLATES = [
     ("이 문서는 대외비이며 발간 전 자료입니다. {n}", "이 문서는 [내부정보키워드]이며 [내부정보키워드] 자료입니다. {n}", "internal_keyword,internal_keyword"),
     ("원금 손실 가능성이 전혀 없었습니다. 구조상 리스크가 없었습니다. {n}", "[금지표현]. 구조상 [금지표현]. {n}", "prohibited_claim,prohibited_claim"),
     ("공개 전략회의 자료 {n}", "공개 전략회의 자료 {n}", ""),
+    ("안정적 고수익을 드립니다. {n}", "[금지표현]을 드립니다. {n}", "prohibited_claim"),
+    ("이 종목은 무조건 상승합니다. {n}", "이 종목은 [금지표현]합니다. {n}", "prohibited_claim"),
 ]
 SIGNAL_TEXTS = [
     ("실적 발표 전 대외 공유 자료입니다.", "미공개/발표 전 정보:발표 전;실적/재무 전망:실적", "1호,6호"),
@@ -183,7 +186,7 @@ def _plain(spark, sf_dir):
 
 
 def plain_chunks(spark, sf_dir):
-    return _plain(spark, sf_dir).select(F.col("doc_seq").alias("doc_id"), "chunk_id", "chunk_seq", F.char_length("text").alias("n_chars"))
+    return _plain(spark, sf_dir).select(F.col("doc_seq").alias("doc_id"), "chunk_id", "chunk_seq", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def chunk_stats(spark, sf_dir):
@@ -194,7 +197,7 @@ def chunk_stats(spark, sf_dir):
 def _vectors(spark, sf_dir):
     e = _read(spark, sf_dir, "embeddings")
     chunks = e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("vec_id").alias("seq"), "embedding")
-    asked = e.filter(F.col("vec_id") < 8).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    asked = e.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     return retrieval.vector_search(chunks, asked)
 
 
@@ -204,7 +207,7 @@ def vector_topk(spark, sf_dir):
 
 def _lexical(spark, sf_dir):
     d = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("seq"), "text")
-    asked = _read(spark, sf_dir, "benchmark").filter(F.col("item_id") < 8).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    asked = _read(spark, sf_dir, "benchmark").filter(F.col("item_id") % 50 == 0).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return retrieval.bm25_search(d, asked)
 
 
@@ -273,13 +276,33 @@ def _tool_matches(spark, sf_dir):
 
 def search_tool(spark, sf_dir):
     found, queries = _tool_matches(spark, sf_dir)
-    return tools.search_tool(queries, found).select("query_id", "ok", "summary", F.size("matches").alias("n_matches"), "threshold_passed", F.size("outputs").alias("n_outputs"), "requires_human_review")
+    return tools.search_tool(queries, found).select("query_id", "ok", "summary", F.coalesce(F.size("matches"), F.lit(0)).cast("long").alias("n_matches"), "threshold_passed", F.size("outputs").cast("long").alias("n_outputs"), "requires_human_review")
 
 
 def check_tool(spark, sf_dir):
     found, queries = _tool_matches(spark, sf_dir)
-    answers = queries.select("query_id", _pick(F.col("query_id"), [a[0] for a in ANSWERS]).alias("answer"))
-    return tools.check_tool(queries.select("query_id", F.col("query").alias("text")), found, answers).select("query_id", "ok", "summary", "threshold_passed", "requires_human_review", F.size("outputs").alias("n_outputs"))
+    answers = queries.select("query_id", F.concat(F.lit("<think>x</think> "), _pick(F.col("query_id"), [a[0] for a in ANSWERS])).alias("answer"))
+    texts = queries.select("query_id", F.concat(F.lit("회계 처리 검토. "), F.col("query")).alias("text"))
+    result, _ = tools.check_and_log(texts, found, answers, ts="2026-01-01T09:00:00+09:00")
+    criteria = F.array_join(F.transform("matched_criteria", lambda c: c["criterion_no"]), ",")
+    return result.select("query_id", "ok", "summary", criteria.alias("criteria"), "threshold_passed", "requires_human_review", F.size("outputs").cast("long").alias("n_outputs"), F.col("audit_log.id").alias("log_id"), F.col("audit_log.record_hash").alias("record_hash"))
+
+
+def scan_calls(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    text, path = _pick(F.col("event_id"), ["평범한 글", "평범한 글", "평범한 글", " "]), _pick(F.col("event_id"), ["", "a.txt", " ", "/nowhere/b.txt"])
+    return tools.scan_calls(e.select("event_id", text.alias("text"), path.alias("file_path")), id_col="event_id").select("event_id", "ok", "summary", "requires_human_review", F.coalesce("error", F.lit("")).alias("error"))
+
+
+def index_upsert(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer")
+    key = F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("chunk_id")
+    none = F.lit(None).cast("string")
+    row = lambda text, seq: (key, text.alias("text"), F.lit("customer").alias("source"), none.alias("article"), none.alias("article_title"), none.alias("category"), none.alias("file_name"), F.lit(seq).cast("long").alias("chunk_seq"))
+    old = c.filter(F.col("c_custkey") % 2 == 0).select(*row(F.col("c_name"), 0))
+    new = c.filter(F.col("c_custkey") % 3 == 0).select(*row(F.concat(F.lit("new "), F.col("c_name")), 1)).unionByName(c.filter(F.col("c_custkey") % 9 == 0).select(*row(F.concat(F.lit("newer "), F.col("c_name")), 2)))
+    rows = index.restored(index.stored(index.upsert(old, new)))
+    return rows.select("chunk_id", "text", "source", "article", F.coalesce("category", F.lit("-")).alias("category"), F.coalesce("file_name", F.lit("-")).alias("file_name"), "chunk_seq")
 
 
 QUERIES = {
@@ -287,14 +310,14 @@ QUERIES = {
     for f in (
         scan_masked_text, scan_claim_priority, scan_counts_by_type, scan_log_safe_summary, scan_email_documents, scan_card_luhn_documents, scan_envelope, scan_phone_events, scan_rrn_confidence, scan_account_window,
         file_truncation, risk_signals, risk_criteria, citation_guard, review_decision, snippet_format, article_chunks, clause_chunks, plain_chunks, chunk_stats, vector_topk, bm25_topk, rrf_hybrid, retrieval_confidence,
-        audit_chain_append, audit_chain_verify, audit_duplicate_guard, calibration_stats, calibration_margin, threshold_sweep, search_tool, check_tool,
+        audit_chain_append, audit_chain_verify, audit_duplicate_guard, calibration_stats, calibration_margin, threshold_sweep, search_tool, check_tool, scan_calls, index_upsert,
     )
 }
 
 # --- the same results in DuckDB's SQL ---
 _MASKED = f"replace({_pick_sql('event_id', [m for _, m, _ in TEMPLATES])}, '{{n}}', '번호' || CAST(user_id % 1000 AS VARCHAR))"
 _TYPES = _pick_sql("event_id", [t for _, _, t in TEMPLATES])
-_DISTINCT_MASKS = ["RRN 900101-1******", "CARD 4111-****-****-1111", "ACCOUNT ***4567", "PHONE 010-****-5678", "EMAIL gi***@example.com", "", "CARD 4571-****-****-1234", "PROHIBITED_CLAIM [금지표현]", "", "INTERNAL_KEYWORD [내부정보키워드]", "PROHIBITED_CLAIM [금지표현]", ""]
+_DISTINCT_MASKS = ["RRN 900101-1******", "CARD 4111-****-****-1111", "ACCOUNT ***4567", "PHONE 010-****-5678", "EMAIL gi***@example.com", "", "CARD 4571-****-****-1234", "PROHIBITED_CLAIM [금지표현]", "", "INTERNAL_KEYWORD [내부정보키워드]", "PROHIBITED_CLAIM [금지표현]", "", "PROHIBITED_CLAIM [금지표현]", "PROHIBITED_CLAIM [금지표현]"]
 _SUMMARIES = [f"scan_sensitive_info: {m}; 사람 검토 필요" if m else "scan_sensitive_info: 탐지된 민감정보/금지문구 없음" for m in _DISTINCT_MASKS]
 _EMAILS = r"regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')"
 _CARDS = r"""
@@ -303,7 +326,7 @@ c AS (SELECT doc_id, list_transform(regexp_extract_all(p, '(?:^|\x02)([0-9]{16}|
 luhn AS (SELECT doc_id, list_filter(v, lambda x: list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(x, i, 1) AS INT) ELSE CASE WHEN CAST(substr(x, i, 1) AS INT) > 4 THEN CAST(substr(x, i, 1) AS INT) * 2 - 9 ELSE CAST(substr(x, i, 1) AS INT) * 2 END END)) % 10 = 0) AS v FROM c)
 """
 _TOP = """
-v AS (SELECT q.vec_id AS query_id, CAST(c.vec_id AS VARCHAR) AS chunk_id, c.vec_id AS seq, list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings c, embeddings q WHERE q.vec_id < 8),
+v AS (SELECT q.vec_id AS query_id, CAST(c.vec_id AS VARCHAR) AS chunk_id, c.vec_id AS seq, list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings c, embeddings q WHERE q.vec_id % 50 = 0),
 vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, seq) AS rank FROM v QUALIFY rank <= 10)
 """
 _BM25 = """
@@ -311,7 +334,7 @@ docs AS (SELECT doc_id AS seq, regexp_extract_all(lower(text), '[가-힣]+|[A-Za
 stats AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM docs),
 post AS (SELECT seq, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT seq, len(terms) AS dl, unnest(terms) AS term FROM docs) GROUP BY seq, term),
 idf0 AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM (SELECT term, count(*) AS df FROM post GROUP BY term), stats),
-ask AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[가-힣]+|[A-Za-z0-9]+')) AS term FROM benchmark WHERE item_id < 8) GROUP BY query_id, term),
+ask AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[가-힣]+|[A-Za-z0-9]+')) AS term FROM benchmark WHERE item_id % 50 = 0) GROUP BY query_id, term),
 idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM idf0) ELSE idf END AS idf FROM idf0),
 sc AS (SELECT query_id, seq, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM post JOIN ask USING (term) JOIN idf USING (term), stats GROUP BY query_id, seq),
 lr AS (SELECT query_id, CAST(seq AS VARCHAR) AS chunk_id, seq, bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, seq) AS rank FROM sc QUALIFY rank <= 10 AND bm25 > 0)
@@ -328,10 +351,37 @@ ch AS (SELECT CAST(0 AS BIGINT) AS id, '' AS ts, '' AS tool, '' AS ih, '' AS s,
   UNION ALL SELECT o.id, o.ts, o.tool, o.ih, o.s, o.f, ch.record_hash, sha256(o.ts || '|' || replace(o.tool, '|', '/') || '|' || o.ih || '|' || replace(o.s, '|', '/') || '|' || CAST(o.f AS VARCHAR) || '|' || ch.record_hash) FROM ch JOIN o ON o.id = ch.id + 1)
 """
 _MEASURED = f"m AS (SELECT {_pick_sql('label', ['A', 'B', 'C'])} AS \"group\", round(abs(CAST(embedding[1] AS DOUBLE)) * 3, 6) AS top1 FROM embeddings)"
+_FLAT = r"trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\pZ]+', ' ', 'g'))"
+_STOP = "strpos(reverse(substr(flat, {a} + 1, 900)), ' .')"
+_END = f"CASE WHEN {{a}} + 900 >= length(flat) THEN length(flat) WHEN {_STOP} > 0 AND length(substr(flat, {{a}} + 1, 900)) - {_STOP} - 1 > 450 THEN {{a}} + length(substr(flat, {{a}} + 1, 900)) - {_STOP} + 1 ELSE {{a}} + 900 END"
+_WINDOWS = f"""
+flat AS (SELECT doc_id, source, {_FLAT} AS flat FROM documents),
+win AS (SELECT doc_id, 0::BIGINT AS k, 0::BIGINT AS a, ({_END.format(a='0')})::BIGINT AS b FROM flat WHERE length(flat) > 0
+  UNION ALL SELECT doc_id, k + 1, na, ({_END.format(a='na')})::BIGINT FROM (SELECT win.doc_id, k, CASE WHEN b - 120 > a THEN b - 120 ELSE b END AS na, flat FROM win JOIN flat USING (doc_id) WHERE b < length(flat))),
+part AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_seq, length(trim(substr(flat, a + 1, b - a))) AS n_chars FROM win JOIN flat USING (doc_id) WHERE trim(substr(flat, a + 1, b - a)) <> '')
+"""
+_CLAUSES = """
+cl AS (SELECT n_nationkey, n_name, c, head, n, n_name || '은 보고한다.' AS s FROM nation, (VALUES (1, '제7조(보고) ① ', 30), (2, '② ', 20), (3, '③ ', 80)) AS x(c, head, n)),
+fill AS (SELECT n_nationkey, c, 1 AS i, head || s AS open, CAST(NULL AS VARCHAR) AS done FROM cl WHERE length(head) + n * (length(s) + 1) - 1 > 400
+  UNION ALL SELECT f.n_nationkey, f.c, i + 1, CASE WHEN length(open) + length(s) + 1 <= 400 THEN open || ' ' || s ELSE s END, CASE WHEN length(open) + length(s) + 1 <= 400 THEN NULL ELSE open END AS done FROM fill f JOIN cl ON cl.n_nationkey = f.n_nationkey AND cl.c = f.c WHERE i < n),
+made AS (SELECT n_nationkey, c, i, done AS text FROM fill WHERE done IS NOT NULL
+  UNION ALL SELECT f.n_nationkey, f.c, i + 1, open FROM fill f JOIN cl ON cl.n_nationkey = f.n_nationkey AND cl.c = f.c WHERE i = n
+  UNION ALL SELECT n_nationkey, c, 0, head || rtrim(repeat(s || ' ', n)) FROM cl WHERE length(head) + n * (length(s) + 1) - 1 <= 400)
+"""
+_TOOL_TOP = """
+v AS (SELECT b.item_id AS query_id, CAST(d.doc_id AS VARCHAR) AS chunk_id, d.doc_id AS seq, list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, documents d JOIN embeddings c ON c.vec_id = d.doc_id),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, seq) AS rank FROM v QUALIFY rank <= 10)
+"""
+_TOOLS = f"{_TOOL_TOP}, {_BM25.replace(' WHERE item_id % 50 = 0', '')}, {_FUSED.format(v='vr')}, hit AS (SELECT query_id, count(*) AS n, coalesce(max(round(s, 6)) >= 0.49, false) AS ok FROM fp GROUP BY query_id), t AS (SELECT item_id AS query_id, text, coalesce(n, 0) AS n, coalesce(ok, false) AS passed FROM benchmark LEFT JOIN hit ON query_id = item_id)"
+_ANSWER = _pick_sql("query_id", [a[0] for a in ANSWERS])
+_CHECKED = f"""
+k AS (SELECT query_id, text, n, passed, row_number() OVER (ORDER BY query_id) AS id, CASE WHEN NOT passed THEN '{signals.NO_EVIDENCE_REVIEW}' WHEN query_id % 4 = 2 THEN '공시/대외공유 관련 위험 신호가 감지되었습니다: 회계 관련. 아래 규정 근거를 참고하되 최종 판단은 준법감시인이 확인해야 합니다.' ELSE {_ANSWER} END AS summary FROM t),
+ch AS (SELECT CAST(0 AS BIGINT) AS id, 'GENESIS' AS record_hash UNION ALL SELECT k.id, sha256('2026-01-01T09:00:00+09:00|check_disclosure_risk|' || sha256('회계 처리 검토. ' || text) || '|' || replace(summary, '|', '/') || '|1|' || ch.record_hash) FROM ch JOIN k ON k.id = ch.id + 1)
+"""
 ORACLES = {
     "scan_masked_text": f"SELECT event_id, {_MASKED} AS masked_text FROM events",
     "scan_claim_priority": f"SELECT event_id, {_TYPES} AS types, CAST(CASE WHEN {_TYPES} = '' THEN 0 ELSE len(string_split({_TYPES}, ',')) END AS BIGINT) AS n, {_TYPES} <> '' AS requires_human_review FROM events",
-    "scan_counts_by_type": f"SELECT type, upper(type) AS type_code, count(*) AS n, sum(CASE WHEN type = 'card' AND event_id % 12 = 6 THEN 1 ELSE 0 END)::BIGINT AS n_low FROM (SELECT event_id, unnest(string_split({_TYPES}, ',')) AS type FROM events) WHERE type <> '' GROUP BY type",
+    "scan_counts_by_type": f"SELECT type, upper(type) AS type_code, count(*) AS n, sum(CASE WHEN type = 'card' AND event_id % {len(TEMPLATES)} = 6 THEN 1 ELSE 0 END)::BIGINT AS n_low FROM (SELECT event_id, unnest(string_split({_TYPES}, ',')) AS type FROM events) WHERE type <> '' GROUP BY type",
     "scan_log_safe_summary": f"SELECT event_id, {_pick_sql('event_id', _SUMMARIES)} AS log_safe_summary FROM events",
     "scan_email_documents": f"SELECT doc_id, len(v)::BIGINT AS n, array_to_string(list_transform(v, lambda x: CASE WHEN length(split_part(x, '@', 1)) <= 2 THEN '' ELSE substr(x, 1, 2) END || '***@' || split_part(x, '@', 2)), ' ') AS masks FROM (SELECT doc_id, {_EMAILS} AS v FROM documents) WHERE len(v) > 0",
     "scan_card_luhn_documents": f"WITH {_CARDS} SELECT doc_id, len(v)::BIGINT AS n, array_to_string(list_transform(v, lambda x: substr(x, 1, 4) || '-****-****-' || substr(x, 13, 4)), ' ') AS masks FROM luhn WHERE len(v) > 0",
@@ -356,4 +406,11 @@ ORACLES = {
     "calibration_stats": f"WITH {_MEASURED} SELECT \"group\", count(*) AS n, round(min(top1), 6) AS min_top1, round(avg(top1), 6) AS mean_top1, round(max(top1), 6) AS max_top1, count(*) FILTER (top1 >= 0.49) AS n_pass, count(*) FILTER (top1 < 0.49) AS n_cut FROM m GROUP BY \"group\"",
     "calibration_margin": f"WITH {_MEASURED}, e AS (SELECT min(top1) FILTER (\"group\" = 'A') AS a, max(top1) FILTER (\"group\" = 'B') AS b FROM m) SELECT round(a - b, 6) AS margin, coalesce(CASE WHEN a > b THEN round((a + b) / 2, 6) END, -1.0::DOUBLE) AS midpoint FROM e",
     "threshold_sweep": f"WITH {_MEASURED} SELECT \"group\", h::INT AS hundredths, count(*) FILTER (top1 >= h / 100.0::DOUBLE) AS n_pass, count(*) FILTER (top1 < h / 100.0::DOUBLE) AS n_cut, round(avg(CASE WHEN top1 >= h / 100.0::DOUBLE THEN 1.0::DOUBLE ELSE 0 END), 6) AS pass_rate FROM m, (SELECT unnest(range(30, 71, 2)) AS h) GROUP BY \"group\", h",
+    "plain_chunks": f"WITH RECURSIVE {_WINDOWS} SELECT doc_id, 'doc' || doc_id || '_plain_' || chunk_seq AS chunk_id, chunk_seq, n_chars::BIGINT AS n_chars FROM part",
+    "chunk_stats": f"WITH RECURSIVE {_WINDOWS} SELECT source AS origin, count(*) AS n_chunks FROM part GROUP BY source",
+    "clause_chunks": f"WITH RECURSIVE {_CLAUSES} SELECT n_name || '.txt' AS file_name, lower(regexp_extract(n_name, '^[A-Za-z0-9]+')) || '_7_' || j AS chunk_id, j AS chunk_seq, text FROM (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY c, i) - 1 AS j FROM made) JOIN nation USING (n_nationkey)",
+    "search_tool": f"WITH {_TOOLS} SELECT query_id, true AS ok, CASE WHEN passed THEN '로컬 규정 코퍼스에서 관련 근거 ' || n || '건을 찾았습니다.' ELSE '{signals.NO_EVIDENCE}' END AS summary, (CASE WHEN passed THEN n ELSE 0 END)::BIGINT AS n_matches, passed AS threshold_passed, (CASE WHEN passed THEN n ELSE 0 END)::BIGINT AS n_outputs, false AS requires_human_review FROM t",
+    "check_tool": f"WITH RECURSIVE {_TOOLS}, {_CHECKED} SELECT query_id, true AS ok, summary || chr(10) || chr(10) || '{tools.CONFIRMATION}' AS summary, '7호' AS criteria, passed AS threshold_passed, true AS requires_human_review, (CASE WHEN passed THEN least(n, 3) ELSE 0 END)::BIGINT AS n_outputs, id AS log_id, record_hash FROM k JOIN ch USING (id)",
+    "scan_calls": f"SELECT event_id, event_id % 4 IN (0, 2) AS ok, CASE event_id % 4 WHEN 1 THEN '{tools.BOTH_INPUTS[0]}' WHEN 3 THEN '파일 입력 오류: 파일을 찾을 수 없습니다: /nowhere/b.txt' ELSE '민감정보·금융 금지문구 패턴이 탐지되지 않았습니다.' END AS summary, event_id % 4 IN (1, 3) AS requires_human_review, CASE event_id % 4 WHEN 1 THEN '{tools.BOTH_INPUTS[1]}' WHEN 3 THEN '파일을 찾을 수 없습니다: /nowhere/b.txt' ELSE '' END AS error FROM events",
+    "index_upsert": "SELECT 'k' || c_custkey AS chunk_id, CASE WHEN c_custkey % 9 = 0 THEN 'newer ' WHEN c_custkey % 3 = 0 THEN 'new ' ELSE '' END || c_name AS text, 'customer' AS source, '' AS article, '-' AS category, '-' AS file_name, (CASE WHEN c_custkey % 9 = 0 THEN 2 WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS chunk_seq FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haystrata.config import Settings
@@ -85,20 +85,18 @@ def corpus_fingerprint(spark: SparkSession, path: str) -> str:
 
 
 def rule_documents(spark: SparkSession, path: str) -> DataFrame:
-    """file_name, text, doc_seq in order of name; a file that cannot be read fails the whole load."""
+    """file_name, text, doc_seq in order of name; a file that cannot be read fails the whole load.
+
+    Only names are numbered in one place; texts stay where they are read.
+    """
     files = read_files(spark, path, Settings(max_text_chars=2**31 - 1))
     files = files.filter(F.substring("extension", 2, 9).isin(*ALLOWED))
     text = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.col("file_name"), F.lit(": "), F.col("error")))).otherwise(F.col("text"))
-    from pyspark.sql import Window
-
-    return files.select("file_name", text.alias("text"), (F.row_number().over(Window.orderBy("file_name")) - 1).cast("long").alias("doc_seq"))
+    names = spark.read.format("binaryFile").load(path).select(F.col("path").alias("at"))
+    names = names.withColumn("doc_seq", (F.row_number().over(Window.orderBy(F.element_at(F.split("at", "/"), -1), "at")) - 1).cast("long"))
+    return files.join(names, F.col("path") == F.col("at")).select("file_name", text.alias("text"), "doc_seq")
 
 
 def write_index(chunks: DataFrame, path: str) -> None:
     """Replaces the index, so that vector and lexical side hold the same chunks."""
     chunks.write.mode("overwrite").parquet(path)
-
-
-def upsert(index: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Rows of ``new`` replace rows of equal key."""
-    return index.join(new.select(key), key, "left_anti").unionByName(new)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -9,14 +10,14 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from haystrata import queries
+from haystrata import ingest, queries
 from haystrata.config import Settings
 from haystrata.functions import patterns as P
-from haystrata.functions.spans import spans
+from haystrata.functions.spans import spans, squeeze
 from haystrata.operators import audit, chunking, citations, retrieval, signals
 from haystrata.operators.scan import finding_rows, scan
 from haystrata.plans import tools
-from haystrata.sources import files
+from haystrata.sources import files, index
 
 # text, masked text, (type, confidence) of each finding
 GOLDENS = [
@@ -111,21 +112,81 @@ def test_bm25_negative_idf(spark):
     assert got == pytest.approx({k: v for k, v in want.items() if v > 0})
 
 
+def chunked(spark, name: str, text, limit: int = 900, overlap: int = 120):
+    docs = spark.createDataFrame([(name, text, 0)], "file_name string, text string, doc_seq long")
+    return chunking.chunk(docs, limit, overlap, name_is_file=False).orderBy("chunk_seq").collect()
+
+
 def test_chunking(spark):
     text = "머리말 제1조(목적) 가.\n제10조(정보 교류) 나.\n제52조의2(차단) 다."
-    got = chunking.article_chunks(text, "KOFIA_기준")
+    got = chunked(spark, "KOFIA_기준", text)
     assert [c["article"] for c in got] == ["제1조", "제10조", "제52조의2"] and got[2]["chunk_id"] == "kofia_52_2_0"
+    assert got[0]["text"] == "제1조(목적) 가." and got[1]["article_title"] == "정보 교류"
     long = "제99조(긴 조항) " + " ".join(f"{m} 이 항은 길다. 문장이 이어진다." for m in "①②③")
-    parts = chunking.article_chunks(long, "KOFIA", 60)
-    assert len(parts) >= 3 and all(len(p["text"]) <= 60 for p in parts)
-    ids = [c["chunk_id"] for c in chunking.plain_chunks("가" * 110 + ". " + "나" * 300, "x", 200, 150)]
+    parts = chunked(spark, "KOFIA", long, 60, 20)
+    assert [p["text"][0] for p in parts] == ["제", "②", "③"] and all(len(p["text"]) <= 60 for p in parts)
+    sentences = chunked(spark, "K", "제3조(가) " + " ".join(f"문장 {k}." for k in range(40)), 50, 20)
+    assert len(sentences) > 4 and all(len(p["text"]) <= 50 for p in sentences) and " ".join(p["text"] for p in sentences).endswith("문장 39.")
+    ids = [c["chunk_id"] for c in chunked(spark, "x", "가" * 110 + ". " + "나" * 300, 200, 150)]
     assert 2 <= len(ids) <= 9 and len(set(ids)) == len(ids)
-    assert [c["chunk_id"] for c in chunking.article_chunks("제1조(가) 나 제1조(다) 라", "A")] == ["a_1_0", "a_1_0_1"]
+    assert [c["chunk_id"] for c in chunked(spark, "A", "제1조(가) 나 제1조(다) 라")] == ["a_1_0", "a_1_0_1"]
     with pytest.raises(ValueError):
-        chunking.plain_windows("가", 100, 100)
-    assert chunking.source_name("01_KOFIA_표준내부통제기준.txt") == "KOFIA_표준내부통제기준"
-    docs = spark.createDataFrame([("a.txt", text, 0), ("b.txt", "no header here", 1), ("c.txt", None, 2)], "file_name string, text string, doc_seq long")
+        chunked(spark, "x", "가", 100, 100)
+    name = lambda x: spark.range(1).select(chunking.source_name(F.lit(x)).alias("x")).first().x
+    assert name("01_KOFIA_표준내부통제기준.txt") == "KOFIA_표준내부통제기준" and name("01.txt") == "01"
+    docs = spark.createDataFrame([("a.txt", text, 0), ("b.txt", "no header here", 1), ("c.txt", None, 2), ("d.txt", "", 3)], "file_name string, text string, doc_seq long")
     assert [r.n for r in chunking.chunk(docs).groupBy("file_name").agg(F.count("*").alias("n")).orderBy("file_name").collect()] == [3, 1]
+    assert chunking.chunk(docs.limit(0)).count() == 0
+
+
+def test_windows_cover_the_text(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["가", "b", " ", ". ", "\n", "c"]) for _ in range(rng.randrange(0, 900))) for _ in range(40)]
+    docs = spark.createDataFrame([(f"t{k}", t, k) for k, t in enumerate(texts)], "file_name string, text string, doc_seq long")
+    for limit, overlap in ((100, 20), (60, 59), (50, 0)):
+        rows = chunking.composed(docs, "text").select("doc_seq", squeeze(F.col("text")).alias("flat"))
+        for r in rows.select("doc_seq", "flat", chunking.window_bounds(F.col("flat"), limit, overlap).alias("w")).collect():
+            n, at = len(r.flat), 0
+            for k, w in enumerate(r.w):
+                assert w.a == at and w.a < w.b <= min(n, w.a + limit)
+                stops = [j + 2 for j in range(w.a + limit // 2 + 1, w.a + limit - 1) if r.flat[j : j + 2] == ". "]
+                assert w.b == (n if w.a + limit >= n else stops[-1] if stops else w.a + limit)
+                at = w.b - overlap if w.b - overlap > w.a else w.b
+                assert (w.b == n) == (k == len(r.w) - 1)
+            assert bool(r.w) == bool(n)
+
+
+def test_index(spark, tmp_path):
+    corpus, path = tmp_path / "corpus", str(tmp_path / "index")
+    assert index.corpus_files(spark, str(corpus)).count() == 0
+    assert index.ensure_ready(spark, str(corpus), path)[1] == index.NO_CORPUS
+    corpus.mkdir()
+    (corpus / "02_기준.txt").write_text("제1조(목적) 가를 정한다.\n제2조(범위) 나를 정한다.", "utf-8")
+    (corpus / "01_plain.md").write_bytes("조항이 없는 문서입니다.".encode("cp949"))
+    assert [r.file_name for r in index.corpus_files(spark, str(corpus)).collect()] == ["01_plain.md", "02_기준.txt"]
+    embed = lambda text: F.array(F.length(text).cast("float"), F.lit(1.0).cast("float"))
+    ready, error = index.ensure_ready(spark, str(corpus), path, embed)
+    assert error is None and ready.count() == 3
+    assert index.read_manifest(spark, path) == {"corpus": files.corpus_fingerprint(spark, str(corpus)), "chunks": 3}
+    rows = ready.chunks.collect()
+    assert {r.category for r in rows} == {None} and {r.source for r in rows} == {"기준", "plain"}
+    asked = spark.createDataFrame([(1, "목적을 정한다", [9.0, 1.0])], "query_id int, query string, query_embedding array<float>")
+    hits = ready.search(asked).orderBy("position").collect()
+    assert hits and hits[0].article in ("제1조", "제2조", "")
+    with pytest.raises(RuntimeError, match="인덱스가 없습니다"):
+        index.load(spark, str(tmp_path / "nowhere")).search(asked)
+    written = (tmp_path / "index" / "manifest.json").stat().st_mtime_ns
+    assert index.ensure_ready(spark, str(corpus), path, embed)[1] is None
+    assert (tmp_path / "index" / "manifest.json").stat().st_mtime_ns == written  # the same corpus is not built again
+    (tmp_path / "index" / "manifest.json").write_text("no json")
+    assert index.ensure_ready(spark, str(corpus), path, embed)[0].count() == 3
+    with pytest.raises(ValueError):
+        index.load_paths(spark, [str(corpus / "x.docx")])
+    summary = index.ingest(spark, [str(corpus / "02_기준.txt")], str(tmp_path / "two"))
+    assert summary["total_chunks"] == 2 and summary["per_source"] == {"기준": 2}
+    assert ingest.main([str(corpus / "*.txt"), "--index", str(tmp_path / "three")], spark) == 0
+    assert ingest.main([str(corpus / "none*.txt"), "--index", str(tmp_path / "four")], spark) == 1
+    assert not (tmp_path / "four").exists()
 
 
 def test_files(spark, tmp_path):
@@ -202,7 +263,7 @@ def test_queries_against_sql(spark):
     import duckdb
 
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("nation", "events", "documents", "embeddings", "benchmark"):
+    for t in ("nation", "events", "customer", "documents", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     for name, sql in queries.ORACLES.items():
         frame = queries.QUERIES[name](spark, sf)
