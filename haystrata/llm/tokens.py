@@ -48,7 +48,7 @@ class _Powers:
         return self.up, self.down
 
 
-_words_pow = _Powers(_WBASE)
+_words_pow, _second_pow = _Powers(_WBASE), _Powers(0xA24BAED4963EE407)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -148,6 +148,14 @@ def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+def second_windows(w: Words, k: int, at: np.ndarray) -> np.ndarray:
+    """32 bits of another hash of the windows that begin at ``at``."""
+    up, down = _second_pow.upto(len(w))
+    total = np.zeros(len(w) + 1, np.uint64)
+    np.cumsum(mix(w.hashes ^ np.uint64(0x5851F42D4C957F2D)) * up[: len(w)], out=total[1:])
+    return (mix((total[at + k] - total[at]) * down[at]) >> np.uint64(32)).astype(np.uint32)
+
+
 def sequence_hash(hashes: np.ndarray) -> int:
     """The hash that ``windows`` gives to exactly these words."""
     up, _ = _words_pow.upto(max(1, len(hashes)))

@@ -298,6 +298,38 @@ def test_substring_dedup_incremental(spark):
     assert got == {7: (40, "end"), 8: (0, "fresh words only")}
 
 
+def test_substring_index_in_levels(spark, rows, tmp_path, monkeypatch):
+    """Batches in order of id give what one batch gives; full levels are merged; only the index is read."""
+    monkeypatch.setattr(substring_dedup, "RUN_WINDOWS", 1 << 9)
+    own = sorted({(r[0], r[1]) for r in rows if r[0] is not None}, key=lambda r: r[0])
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, text string").repartition(3)
+    index = substring_dedup.SubstringIndex(spark, str(tmp_path / "index"), bits=6, fan=2)
+    assert index.runs() is None
+    got, levels = [], []
+    for k in range(3):
+        got += [tuple(r) for r in index.add(frame(own[k * 25 : (k + 1) * 25])).collect()]
+        levels.append([level for level, _ in index.tables()])
+    assert levels == [[0], [1], [0, 1]]
+    assert sorted(got) == sorted(tuple(r) for r in substring_dedup.dedup(frame(own)).collect())
+    # ids below history's: the passage goes all the same, and a document that comes again loses nothing to itself
+    again = {r.doc_id: r.n_removed for r in index.add(frame([(-5, rows[66][1]), own[0]])).collect()}
+    assert again[-5] == len(SPACE.findall(rows[66][1])) == 70
+    assert [level for level, _ in index.tables()] == [2]
+    with pytest.raises(ValueError):
+        substring_dedup.SubstringIndex(spark, str(tmp_path / "index"), bits=7).runs()
+
+
+def test_substring_index_verifies_by_the_second_hash():
+    a = lambda *x: np.array(x, np.uint64)
+    c = lambda *x: np.array(x, np.uint32)
+    index = substring_dedup.FingerprintIndex(fan=2)
+    for run in ((a(1, 5, 5), c(1, 1, 3), np.array([4, 8, 2])), (a(5, 9), c(2, 1), np.array([6, 3])), (a(5,), c(3,), np.array([1]))):
+        index.add(run)
+    known, first = index.smallest(a(0, 1, 5, 5, 5, 5, 9, 10), c(1, 1, 1, 2, 3, 4, 2, 1))
+    assert known.tolist() == [False, True, True, True, True, False, False, False]
+    assert first[known].tolist() == [4, 8, 6, 1]
+
+
 def plain_components(rows, k, percent):
     sets = {}
     for i, t in rows:
