@@ -7,9 +7,11 @@ shortest phrase's length enter the shard's index, with separators between runs:
 small. All phrases are searched backwards at once through wavelet-tree ranks, occurrences are
 located by sampled suffix positions, and their spans are merged per document.
 
-The benchmark is read in blocks of at most ``BLOCK_WORDS`` words; a block is broadcast (a
-bound that does not depend on the corpus) and the documents stream through one pass per block
-in the same stage. Nothing is shuffled.
+The benchmark is read in blocks of about ``BLOCK_WORDS`` words (one item at least). Blocks are broadcast,
+``PASS_BLOCKS`` at a time, and the documents stream through one Python stage that hashes words once and
+loads one block after the other for each shard; a larger benchmark takes further passes, each over the
+written rows of the one before. So neither the corpus nor the benchmark sets what an executor
+holds. Nothing is shuffled.
 
 Null or empty texts have no words, hit nothing and, as items, occur nowhere. Repeated rows
 give repeated results; items that repeat an id count once. A null item id is written as ''.
@@ -20,6 +22,7 @@ a chance of vocabulary / 2**64, and a hit needs a whole phrase of such words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haystrata.llm.fm_index import FMIndex
+from haystrata.llm.scratch import free, materialise
 from haystrata.llm.tokens import ALNUM, slices, words
 
 WINDOW = 10
 BLOCK_WORDS = 400_000
+#: Blocks broadcast at once, of some 100 MB each at most unless an item is longer.
+PASS_BLOCKS = 8
 SHARD_WORDS = 1 << 21
 
 
@@ -59,7 +65,9 @@ class PhraseBlock:
         self.phrases = np.zeros((len(found), window), np.int64)
         for k, p in enumerate(found):
             self.phrases[k, : len(p)] = place[list(p)] + 2
-        self.items = [np.array(sorted(x), np.int64) for x in found.values()]
+        #: Items of phrase p: ``flat[bounds[p]:bounds[p + 1]]``.
+        self.flat = np.array(list(chain.from_iterable(map(sorted, found.values()))), np.int64)
+        self.bounds = np.cumsum([0, *map(len, found.values())])
         self.shortest = int(self.lengths.min()) if len(found) else 0
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
@@ -91,15 +99,15 @@ class Shard:
     def __init__(self, block: PhraseBlock):
         self.block, self.n_words, self.symbols, self.places, self.docs, self.size = block, [], [], [], [], 0
 
-    def add(self, texts: pa.Array) -> None:
-        w = words(texts, ALNUM, lower=True)
-        self.n_words.append(np.diff(w.first))
-        s = self.block.symbols(w.hashes)
+    def add(self, first: np.ndarray, hashes: np.ndarray) -> None:
+        """Documents d with the words ``hashes[first[d]:first[d + 1]]``."""
+        self.n_words.append(np.diff(first))
+        s = self.block.symbols(hashes)
         inside = s > 0
         if inside.any():
             # runs of vocabulary words, broken at document bounds
             opens, shuts = inside.copy(), inside.copy()
-            bounds = np.unique(w.first[1:-1])
+            bounds = np.unique(first[1:-1])
             bounds = bounds[(bounds > 0) & (bounds < len(s))]
             opens[1:] &= ~inside[:-1]
             opens[bounds] = inside[bounds]
@@ -116,12 +124,12 @@ class Shard:
             self.places.append(place + self.size)
         self.size += len(s)
 
-    def hits(self) -> tuple[np.ndarray, list, dict[int, list[str]]]:
-        """Words per document, merged (document, first, end) spans, item ids by document."""
+    def hits(self) -> tuple[list, dict[int, list[str]]]:
+        """Merged (document, first, end) spans, item ids by document."""
         n_words = np.concatenate(self.n_words)
         block, symbols = self.block, np.concatenate(self.symbols) if self.symbols else np.zeros(0, np.int64)
         if not len(symbols) or not len(block.phrases):
-            return n_words, [], {}
+            return [], {}
         first = np.r_[0, np.cumsum(n_words)]
         index = FMIndex(symbols, block.sigma)
         lo, hi = index.search(block.phrases, block.lengths)
@@ -146,8 +154,8 @@ class Shard:
         pairs = np.unique((np.searchsorted(first, at, "right") - 1) * len(n) + phrase)
         items: dict[int, set[int]] = {}
         for d, p in zip((pairs // len(n)).tolist(), (pairs % len(n)).tolist(), strict=True):
-            items.setdefault(d, set()).update(block.items[p].tolist())
-        return n_words, spans, {d: sorted(block.item_ids[i] for i in x) for d, x in items.items()}
+            items.setdefault(d, set()).update(block.flat[block.bounds[p] : block.bounds[p + 1]].tolist())
+        return spans, {d: sorted(block.item_ids[i] for i in x) for d, x in items.items()}
 
 
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
@@ -163,54 +171,72 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def _pass(block, text: str, drop: bool, shard_words: int):
-    """One block's search; other columns are carried along, and the text unless it is to be dropped."""
+def _pass(blocks: list, text: str, drop: bool, shard_words: int):
+    """The search of some blocks; other columns are carried along, and the text unless it is to be dropped."""
+
+    def load(block) -> PhraseBlock:
+        # a worker keeps the value of a broadcast that it asks for; of many only one at a time may be held
+        return block.value if len(blocks) == 1 else block.load_from_path(block._path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, shard = [], Shard(block.value)
+        held, hashed, size = [], [], 0
 
         def flush():
-            n_words, spans, items = shard.hits()
-            table = pa.Table.from_batches(held)
             by_doc: dict[int, list] = {}
-            for d, a, b in spans:
-                by_doc.setdefault(d, []).append((a, b))
-            old_spans, old_items = table.column("spans").to_pylist() if by_doc else None, table.column("items").to_pylist() if by_doc else None
+            of_doc: dict[int, set] = {}
+            for block in blocks:
+                shard = Shard(load(block))
+                for first, hashes in hashed:
+                    shard.add(first, hashes)
+                spans, items = shard.hits()
+                for d, a, b in spans:
+                    by_doc.setdefault(d, []).append((a, b))
+                for d, own in items.items():
+                    of_doc.setdefault(d, set()).update(own)
+            table = pa.Table.from_batches(held)
             if by_doc:
-                for d in by_doc:
-                    before = [(x["first"], x["end"]) for x in old_spans[d]]
-                    old_spans[d] = _merged(before + by_doc[d])
-                    old_items[d] = sorted({*old_items[d], *items.get(d, ())})
-                table = table.set_column(table.schema.get_field_index("spans"), "spans", pa.array(old_spans, SPANS))
-                table = table.set_column(table.schema.get_field_index("items"), "items", pa.array(old_items, pa.list_(pa.string())))
+                spans, items = table.column("spans").to_pylist(), table.column("items").to_pylist()
+                for d, found in by_doc.items():
+                    spans[d] = _merged([(x["first"], x["end"]) for x in spans[d]] + found)
+                    items[d] = sorted({*items[d], *of_doc.get(d, ())})
+                table = table.set_column(table.schema.get_field_index("spans"), "spans", pa.array(spans, SPANS))
+                table = table.set_column(table.schema.get_field_index("items"), "items", pa.array(items, pa.list_(pa.string())))
+            n_words = np.concatenate([np.diff(first) for first, _ in hashed])
             table = table.set_column(table.schema.get_field_index("n_words"), "n_words", pa.array(n_words, pa.int64()))
             return (table.drop_columns([text]) if drop else table).to_batches()
 
         for piece in slices(batches, text):
             held.append(piece)
-            shard.add(piece.column(text))
-            if shard.size >= shard_words:
+            w = words(piece.column(text), ALNUM, lower=True)
+            hashed.append((w.first, w.hashes))
+            size += len(w)
+            if size >= shard_words:
                 yield from flush()
-                held, shard = [], Shard(block.value)
+                held, hashed, size = [], [], 0
         if held:
             yield from flush()
 
     return run
 
 
-def _search(rows: DataFrame, text: str, keep_text: bool, blocks: list, shard_words: int) -> DataFrame:
+def _search(rows: DataFrame, text: str, keep_text: bool, blocks: Iterator[PhraseBlock], window: int, shard_words: int) -> DataFrame:
     """rows: n_words, spans, items and other columns of unambiguous names."""
-    for k, block in enumerate(blocks):
-        drop = not keep_text and k == len(blocks) - 1
-        schema = rows.schema if not drop else rows.drop(text).schema
-        rows = rows.mapInArrow(_pass(block, text, drop, shard_words), schema)
-    return rows
-
-
-def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str, window: int, block_words: int) -> list:
-    spark: SparkSession = benchmark.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in phrase_blocks(benchmark, item_id_col, item_text_col, window, block_words)]
-    return blocks or [spark.sparkContext.broadcast(PhraseBlock([], window))]
+    spark: SparkSession = rows.sparkSession
+    ahead = next(blocks, None) or PhraseBlock([], window)
+    before = None
+    while True:
+        held = [spark.sparkContext.broadcast(b) for b in chain([ahead], islice(blocks, PASS_BLOCKS - 1))]
+        ahead = next(blocks, None)
+        drop = ahead is None and not keep_text
+        rows = rows.mapInArrow(_pass(held, text, drop, shard_words), rows.drop(text).schema if drop else rows.schema)
+        if ahead is None:
+            return rows
+        rows = materialise(rows, "searched")
+        for block in held:
+            block.unpersist()
+        if before is not None:
+            free(before)
+        before = rows
 
 
 def _nothing() -> tuple:
@@ -225,7 +251,7 @@ def _nothing() -> tuple:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per document: ``id_col``, n_words, spans (word first to end, merged), items (ids, sorted as strings)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *_nothing())
-    found = _search(rows, "text", False, _blocks(benchmark, item_id_col, item_text_col, window, block_words), shard_words)
+    found = _search(rows, "text", False, phrase_blocks(benchmark, item_id_col, item_text_col, window, block_words), window, shard_words)
     return found.withColumnRenamed("id", id_col)
 
 
@@ -234,5 +260,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
     so rows that repeat an id, or have none, stay or go by it. Other columns may have any name. Nothing is joined or shuffled."""
     rows = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
     rows = rows.select("*", *_nothing())
-    found = _search(rows, f"c{docs.columns.index(text_col)}", True, _blocks(benchmark, item_id_col, item_text_col, window, block_words), shard_words)
+    found = _search(rows, f"c{docs.columns.index(text_col)}", True, phrase_blocks(benchmark, item_id_col, item_text_col, window, block_words), window, shard_words)
     return found.filter(F.size("spans") == 0).drop("n_words", "spans", "items").toDF(*docs.columns)

@@ -94,7 +94,7 @@ def test_fm_index_finds_all():
     assert hi[0] - lo[0] == sum((text[i : i + 8] == 4).all() for i in range(393))
 
 
-def test_decontamination(spark, docs, rows, empty):
+def test_decontamination(spark, docs, rows, empty, monkeypatch):
     items = [(1, "the benchmark question that nobody has"), (2, rows[0][1][:400]), (3, "ONE"), (4, None), (5, ""), (10, rows[7][1][-300:]), (2, rows[0][1][:400])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     phrases: dict[tuple, set] = {}
@@ -112,7 +112,8 @@ def test_decontamination(spark, docs, rows, empty):
                     own |= phrases[tuple(w[k : k + size])]
         return len(w), sorted(hit), sorted(own)
 
-    for words_a_block in (decontaminate.BLOCK_WORDS, 60):
+    for words_a_block, blocks_a_pass in ((decontaminate.BLOCK_WORDS, 8), (60, 8), (1, 2)):
+        monkeypatch.setattr(decontaminate, "PASS_BLOCKS", blocks_a_pass)
         got = decontaminate.decontaminate(docs, bench, block_words=words_a_block, shard_words=500).collect()
         key = lambda x: (str(x[0]), *map(str, x[1:]))
         have = sorted(((g.doc_id, g.n_words, [i for s in g.spans for i in range(s.first, s.end)], list(g.items)) for g in got), key=key)
