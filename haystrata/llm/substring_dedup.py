@@ -19,7 +19,9 @@ Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A null or empty text has no words
 than the window loses none. Ids are integers; a document with a null id is not indexed and
 loses nothing; rows of one id are one document (none is smaller). Windows are judged on the
 input. Only the id and text columns are read. Buckets grow in number with the input, so that
-one holds about ``BUCKET_WINDOWS`` entries whatever the corpus.
+one holds about ``BUCKET_WINDOWS`` entries whatever the corpus. A run is cut into at most
+``2**STEP_BITS`` of them, lest its rows hold few entries; beyond that, rows are dealt by these coarse
+buckets first, merged ``RUN_WINDOWS`` at a time, and cut again.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from haystrata.llm.scratch import free, materialise
 from haystrata.llm.tokens import SPACE, Words, mix, second_windows, slices, windows, words
 
 WINDOW, FAN = 13, 8
-RUN_WINDOWS, BUCKET_WINDOWS = 1 << 20, 1 << 20
+RUN_WINDOWS, BUCKET_WINDOWS, STEP_BITS = 1 << 20, 1 << 20, 14
 _LOW = np.uint64(16)
 
 #: Entries of a run: ascending fingerprints, their second hashes, documents.
@@ -136,33 +138,43 @@ def _found(prints: np.ndarray, docs: np.ndarray, bits: int) -> list[tuple[int, b
     return [(int(group[a]), pack(np.diff(docs[a:b], prepend=0)), pack(prints[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _build(window: int, bits: int):
-    """Texts to sorted runs, a row for each bucket, and to the duplicates inside a run, a row for each group of documents.
+def _found_batch(prints: list[np.ndarray], docs: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    rows = _found(np.concatenate(prints), np.concatenate(docs), bits)
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["part", "docs", "keys"])
 
-    The latter have the bucket ``-1 - group`` and pass the join as they are."""
+
+def _cut(prints: np.ndarray, seconds: np.ndarray, ids: np.ndarray, bits: int, groups: int) -> pa.RecordBatch:
+    """A run of these windows: a row for each bucket, and the duplicates inside the run in a row for each group of documents.
+
+    The latter have the bucket ``-1 - group`` and pass later steps as they are."""
+    known, d = np.unique(ids, return_inverse=True)
+    both = seconds.astype(np.uint64) << np.uint64(32) | d.astype(np.uint64)
+    order = np.lexsort((both, prints))
+    p, both = prints[order], both[order]
+    c, d = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    head = _heads(p, c)
+    later = d > d[head][np.cumsum(head) - 1]
+    later[1:] &= head[1:] | (d[1:] != d[:-1])
+    out = [(-1 - g, keys, None, None, own, None) for g, own, keys in _found(p[later], known[d[later]], groups)]
+    p, c, d = p[head], c[head], d[head]
+    bucket = p >> np.uint64(64 - bits)
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(p) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        out.append(_encode(int(bucket[a]), p[a:b], c[a:b], d[a:b], known))
+    return _batch(out)
+
+
+def _build(window: int, bits: int, groups: int):
+    """Texts to the rows of ``_cut``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, seconds, docs, ids, n = [], [], [], [], 0
 
         def flush():
-            p, c, d = (np.concatenate(x) for x in (prints, seconds, docs))
-            known, d = np.unique(np.concatenate(ids)[d], return_inverse=True)
-            both = c.astype(np.uint64) << np.uint64(32) | d.astype(np.uint64)
-            order = np.lexsort((both, p))
-            p, both = p[order], both[order]
-            c, d = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            head = _heads(p, c)
-            later = d > d[head][np.cumsum(head) - 1]
-            later[1:] &= head[1:] | (d[1:] != d[:-1])
-            out = [(-1 - g, keys, None, None, own, None) for g, own, keys in _found(p[later], known[d[later]], bits)]
-            p, c, d = p[head], c[head], d[head]
-            cuts = np.searchsorted(p >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                part = slice(cuts[b], cuts[b + 1])
-                out.append(_encode(b, p[part], c[part], d[part], known))
+            out = _cut(np.concatenate(prints), np.concatenate(seconds), np.concatenate(ids)[np.concatenate(docs)], bits, groups)
             for held in (prints, seconds, docs, ids):
                 held.clear()
-            return _batch(out)
+            return out
 
         for piece in slices(batches, "text"):
             w = words(piece.column("text"), SPACE)
@@ -183,13 +195,62 @@ def _build(window: int, bits: int):
     return run
 
 
+def _recut(bits: int, groups: int):
+    """Rows in order of coarse bucket: as many entries of one as a run has are merged and cut into buckets of ``bits``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def flush():
+            out = _cut(*(np.concatenate(x) for x in zip(*held, strict=True)), bits, groups)
+            held.clear()
+            return out
+
+        for b, *blobs in _buckets(batches, _NAMES):
+            if held and (b != bucket or sum(len(p) for p, _, _ in held) >= RUN_WINDOWS):
+                yield flush()
+            bucket = b
+            if b < 0:
+                yield _batch([(b, *blobs)])
+            else:
+                held.append(_decode(*blobs))
+        if held:
+            yield flush()
+
+    return run
+
+
+def _regroup(bits: int):
+    """Rows in order of coarse document group: as many duplicates of one as a run has are dealt to groups of ``bits``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, prints, docs = None, [], []
+
+        def flush():
+            out = _found_batch(prints, docs, bits)
+            prints.clear()
+            docs.clear()
+            return out
+
+        for g, d, p in _buckets(batches, ["part", "docs", "keys"]):
+            if docs and (g != part or sum(map(len, docs)) >= RUN_WINDOWS):
+                yield flush()
+            part = g
+            prints.append(unpack(p))
+            docs.append(np.cumsum(unpack(d)))
+        if docs:
+            yield flush()
+
+    return run
+
+
 def _buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
     """Rows of batches as tuples."""
     for batch in batches:
         yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
 
 
-def _join(bits: int):
+def _join(groups: int):
     """Rows in order of bucket: all runs enter the bucket's index, then each new one is joined with it.
 
     Duplicates leave in one row for each group of documents, whatever number of buckets a task has."""
@@ -211,10 +272,10 @@ def _join(bits: int):
             held.clear()
 
         def emit():
-            rows = _found(np.concatenate(prints), np.concatenate(docs), bits)
+            out = _found_batch(prints, docs, groups)
             prints.clear()
             docs.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["part", "docs", "keys"])
+            return out
 
         for b, fresh, *blobs in _buckets(batches, ["bucket", "new", *_NAMES[1:]]):
             if b != bucket and held:
@@ -335,7 +396,9 @@ def _finish(window: int, texts: bool):
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, window: int, bits: int) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
-    return texts.mapInArrow(_build(window, bits), RUNS)
+    coarse = min(bits, STEP_BITS)
+    rows = texts.mapInArrow(_build(window, coarse, coarse), RUNS)
+    return rows if bits == coarse else _by_bucket(rows).mapInArrow(_recut(bits, coarse), RUNS)
 
 
 def _by_bucket(rows: DataFrame) -> DataFrame:
@@ -353,8 +416,12 @@ def _dedup(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, window:
     rows = rows.withColumn("new", F.lit(True))
     if history is not None:
         rows = rows.unionByName(history.withColumn("new", F.lit(False)))
-    found = _by_bucket(rows).mapInArrow(_join(bits), "part int, docs binary, keys binary")
-    found = found.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(_gather, "id long, keys binary")
+    coarse, kinds = min(bits, STEP_BITS), "part int, docs binary, keys binary"
+    by_part = lambda x: x.repartition(F.col("part")).sortWithinPartitions("part")
+    found = _by_bucket(rows).mapInArrow(_join(coarse), kinds)
+    if bits > coarse:
+        found = by_part(found).mapInArrow(_regroup(bits), kinds)
+    found = by_part(found).mapInArrow(_gather, "id long, keys binary")
     found = materialise(found, "duplicate-windows").select(F.col("id").alias("found_id"), "keys")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     own = own.join(found, F.col("id").cast("long") == F.col("found_id"), "left").select("id", "text", "keys")

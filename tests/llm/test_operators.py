@@ -265,7 +265,7 @@ def test_html(spark):
     assert got[4][0].endswith("here short") and got[5][0] == "plain <text>"
 
 
-def test_substring_dedup(docs, rows, empty):
+def test_substring_dedup(docs, rows, empty, monkeypatch):
     texts: dict = {}
     for r in rows:
         texts.setdefault((r[0], r[1]), 0)
@@ -288,6 +288,11 @@ def test_substring_dedup(docs, rows, empty):
     key = lambda x: tuple(map(str, x))
     assert sorted((tuple(g) for g in got), key=key) == sorted(((r[0], *plain(r[0], r[1])) for r in rows), key=key)
     assert substring_dedup.dedup(empty).count() == 0
+    # coarse buckets first, short runs: the same rows
+    monkeypatch.setattr(substring_dedup, "STEP_BITS", 3)
+    monkeypatch.setattr(substring_dedup, "RUN_WINDOWS", 1 << 9)
+    assert sorted((tuple(g) for g in substring_dedup.dedup(docs, texts=True).collect()), key=key) == sorted(map(tuple, got), key=key)
+    assert substring_dedup.dedup(empty).count() == 0
 
 
 def test_substring_dedup_incremental(spark):
