@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haystrata.llm import decontaminate, exact_dedup, html_text, jaccard, licenses, mixing, quality, secrets, substring_dedup, toxicity
+from haystrata.llm import decontaminate, exact_dedup, html_text, jaccard, licenses, mixing, quality, secrets, substring_dedup, token_counts, toxicity
+from haystrata.llm.scratch import folder
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,9 +70,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_licenses, op4_toxicity, op5_exact_dedup, op6_html_extraction, op7_quality, op8_substring_dedup, op9_jaccard_join, op10_secrets)}
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a cache of its own, so that every run encodes all it reads; elsewhere the folder lasts
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder(spark, "token-cache"))
 
-# --- the same results in DuckDB's SQL; 4, 6, 7 and 10 are trained or parse and have none ---
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_mixing, op3_licenses, op4_toxicity, op5_exact_dedup, op6_html_extraction, op7_quality, op8_substring_dedup, op9_jaccard_join, op10_secrets,
+        op13_token_counts,
+    )
+}
+
+# --- the same results in DuckDB's SQL; 4, 6, 7, 10 and 13 are trained, parse or encode and have none ---
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SPACE = r"[^\x20\x09-\x0D]+"

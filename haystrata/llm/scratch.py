@@ -32,8 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a reader of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/haystrata/{name}-{uuid.uuid4().hex}"
-    _written[path] = spark
+    path = folder(spark, name)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -46,6 +45,13 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return out
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted at exit."""
+    path = f"{shared_dir(spark)}/haystrata/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def _delete(path: str) -> None:
     spark = _written.pop(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
