@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haystrata.llm import decontaminate, exact_dedup, html_text, jaccard, licenses, mixing, quality, secrets, substring_dedup, token_counts, toxicity
+from haystrata.llm import clustering, decontaminate, exact_dedup, html_text, jaccard, licenses, mixing, quality, secrets, substring_dedup, token_counts, toxicity
 from haystrata.llm.scratch import folder
 
 
@@ -70,6 +70,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_read(spark, sf_dir, "embeddings"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a cache of its own, so that every run encodes all it reads; elsewhere the folder lasts
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder(spark, "token-cache"))
@@ -79,7 +83,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_mixing, op3_licenses, op4_toxicity, op5_exact_dedup, op6_html_extraction, op7_quality, op8_substring_dedup, op9_jaccard_join, op10_secrets,
-        op13_token_counts,
+        op12_clustering, op13_token_counts,
     )
 }
 
@@ -152,4 +156,22 @@ m AS (SELECT * FROM s WHERE dice >= {licenses.THRESHOLD} QUALIFY row_number() OV
 SELECT d.doc_id, count(m.license)::BIGINT AS n_matches, coalesce(string_agg(DISTINCT m.license, ',' ORDER BY m.license), '') AS licenses, round(max(m.dice), 6) AS best_dice FROM d LEFT JOIN m USING (doc_id) GROUP BY d.doc_id"""
 
 
+def _clustering_sql() -> str:
+    c = clustering
+    near = "SELECT rid, any_value(v) AS v, arg_min(c, d) AS c, min(d) AS d FROM (SELECT rid, v, c, list_sum(list_transform(range(1, {dim} + 1), lambda i: (v[i] - cv[i]) * (v[i] - cv[i]))) * {k}::HUGEINT + c AS d FROM x, c{r}) GROUP BY rid"
+    mean = "SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS cv FROM (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT c, v, unnest(range(1, {dim} + 1)) AS i FROM a{r}) GROUP BY c, i) GROUP BY c"
+    steps = []
+    for r in range(c.ROUNDS):
+        steps.append(f"a{r} AS MATERIALIZED ({near.format(r=r, dim=c.DIM, k=c.K)})")
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m.cv, o.cv) AS cv FROM c{r} o LEFT JOIN ({mean.format(r=r, dim=c.DIM)}) m USING (c))")
+    steps.append(f"a{c.ROUNDS} AS MATERIALIZED ({near.format(r=c.ROUNDS, dim=c.DIM, k=c.K)})")
+    return f"""
+WITH x AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda y: CAST(floor({c.SCALE} * CAST(y AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {c.DIM} AND len(list_filter(embedding, lambda y: isfinite(y))) = {c.DIM}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS cv FROM (SELECT v, sha256('{c.SEED}:' || vec_id) AS h FROM x ORDER BY h NULLS LAST, v LIMIT {c.K})),
+{", ".join(steps)},
+f AS (SELECT vec_id, c, d // {c.K} AS d FROM a{c.ROUNDS} JOIN x USING (rid))
+SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(cv, ',')) AS centroid_sha256 FROM f JOIN c{c.ROUNDS} USING (c)"""
+
+
 ORACLES["op3_licenses"] = _licenses_sql()
+ORACLES["op12_clustering"] = _clustering_sql()

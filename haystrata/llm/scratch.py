@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, SparkSession] = {}
+_tables: dict[str, str] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -52,8 +53,21 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``column`` in the shared folder: tables of equal buckets join by it without a shuffle."""
+    spark = df.sparkSession
+    path = folder(spark, name)
+    table = f"haystrata_{path.rsplit('-', 1)[1]}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).sortBy(column).saveAsTable(table)
+    out = spark.table(table)
+    out._haystrata_path, _tables[path] = path, table
+    return out
+
+
 def _delete(path: str) -> None:
     spark = _written.pop(path)
+    if path in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
