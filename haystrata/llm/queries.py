@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haystrata.llm import clustering, decontaminate, exact_dedup, html_text, jaccard, licenses, mixing, quality, secrets, substring_dedup, token_counts, toxicity
+from haystrata.llm import clustering, decontaminate, exact_dedup, hard_negatives, html_text, jaccard, licenses, mixing, quality, secrets, substring_dedup, token_counts, toxicity
 from haystrata.llm.scratch import folder
 
 
@@ -70,6 +70,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_read(spark, sf_dir, "embeddings"))
+
+
 def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(_read(spark, sf_dir, "embeddings"))
 
@@ -83,7 +87,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_mixing, op3_licenses, op4_toxicity, op5_exact_dedup, op6_html_extraction, op7_quality, op8_substring_dedup, op9_jaccard_join, op10_secrets,
-        op12_clustering, op13_token_counts,
+        op11_hard_negatives, op12_clustering, op13_token_counts,
     )
 }
 
@@ -174,4 +178,11 @@ SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION
 
 
 ORACLES["op3_licenses"] = _licenses_sql()
+ORACLES["op11_hard_negatives"] = f"""
+WITH r AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % {hard_negatives.RELABEL_EVERY} = 0 THEN (label + 1) % {hard_negatives.LABELS} ELSE label END AS label, list_transform(embedding, lambda y: CAST(floor({hard_negatives.SCALE} * CAST(y AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: isfinite(y))) = len(embedding)),
+s AS MATERIALIZED (SELECT a.rid AS a, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, coalesce(list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i])), 0)::BIGINT AS score FROM r a JOIN r b ON a.rid <> b.rid WHERE a.vec_id % {hard_negatives.ANCHOR_EVERY} = 0),
+p AS (SELECT a, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, id NULLS LAST) AS k FROM s WHERE same QUALIFY k <= {hard_negatives.POSITIVES})
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.a, k ORDER BY score DESC, id NULLS LAST))::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT same AND {hard_negatives.LOW} * positive_score <= 100 * score AND 100 * score <= {hard_negatives.HIGH} * positive_score QUALIFY rank <= {hard_negatives.NEGATIVES}"""
 ORACLES["op12_clustering"] = _clustering_sql()
