@@ -356,7 +356,8 @@ def search(index: DataFrame, lists: Lists, dim: int, anchors: DataFrame, k: int,
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     for visits in (FIRST_VISITS, None):
         asked = anchors.mapInArrow(_visit(lists, visits), "part long, number long, asked binary")
-        found = asked.join(index, "part").select("number", "asked", "block", "ids", "labels", "vectors").mapInArrow(_score(dim, k, same), "number long, found binary")
+        # what anchors ask is far larger than their table, from which Spark would take its size: never broadcast
+        found = asked.hint("merge").join(index, "part").select("number", "asked", "block", "ids", "labels", "vectors").mapInArrow(_score(dim, k, same), "number long, found binary")
         both = anchors.select("number", "anchors", none("binary", "found"), F.lit(0).alias("kind")).unionByName(found.select("number", none("binary", "anchors"), "found", F.lit(1).alias("kind")))
         dealt = both.repartition("number").sortWithinPartitions("number", "kind").drop("kind")
         after = materialise(dealt.mapInArrow(_merge(lists, visits), "number long, anchors binary"), "anchors")
