@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from haystrata.operators.scan import scan
 
 GENESIS = "GENESIS"
+CHECK = "check_disclosure_risk"
 LOG = "id bigint, timestamp string, tool_name string, input_hash string, result_summary string, requires_human_review int, prev_hash string, record_hash string"
 _FIELDS = ("timestamp", "tool_name", "input_hash", "result_summary", "requires_human_review")
 
@@ -49,12 +50,20 @@ def prepare(records: DataFrame) -> DataFrame:
     )
 
 
-def _chain(last_id: int, last_hash: str):
-    """Records in order, each with its text: number, hash before it and own hash are added."""
+def _chain(last_id: int, last_hash: str, last_call: tuple[str | None, str | None] | None):
+    """Records in order, each with its text: number, hash before it and own hash are added. ``last_call``: tool and input of the
+    last record, where the check tool's records that repeat the record before them are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, prev = last_id, last_hash
+        number, prev, call = last_id, last_hash, last_call
         for batch in batches:
+            if call is not None:
+                fresh = []
+                for one in zip(batch.column("tool_name").to_pylist(), batch.column("input_hash").to_pylist(), strict=True):
+                    repeats = one[0] == CHECK and call[0] is not None and call[0].strip().lower() == CHECK and call[1] == one[1]
+                    fresh.append(not repeats)
+                    call = call if repeats else one
+                batch = batch.filter(pa.array(fresh, pa.bool_()))
             before, own = [], []
             for text in batch.column("body").to_pylist():
                 before.append(prev)
@@ -62,17 +71,26 @@ def _chain(last_id: int, last_hash: str):
                 own.append(prev)
             ids = pa.array(range(number + 1, number + 1 + len(own)), pa.int64())
             number += len(own)
-            yield pa.RecordBatch.from_arrays([ids, *(batch.column(c) for c in _FIELDS), pa.array(before, pa.string()), pa.array(own, pa.string())], [c.split()[0] for c in LOG.split(", ")])
+            yield pa.RecordBatch.from_arrays([ids, *(batch.column(c) for c in _FIELDS), pa.array(before, pa.string()), pa.array(own, pa.string()), batch.column("seq")], [*(c.split()[0] for c in LOG.split(", ")), "seq"])
 
     return run
 
 
+def bodies(records: DataFrame) -> DataFrame:
+    """Prepared records with the text that their hash is taken of."""
+    return prepare(records).withColumn("body", record_text(*(F.col(c) for c in _FIELDS)))
+
+
+def chained(rows: DataFrame, last_id: int = 0, last_hash: str = GENESIS, last_call: tuple[str | None, str | None] | None = None) -> DataFrame:
+    """``bodies`` as records behind the chain's last one, in order of seq, with seq."""
+    kind = rows.schema["seq"].dataType.simpleString()
+    ordered = rows.repartition(1).sortWithinPartitions("seq", *_FIELDS).select(*_FIELDS, "body", "seq")
+    return ordered.mapInArrow(_chain(last_id, last_hash, last_call), f"{LOG}, seq {kind}")
+
+
 def append(records: DataFrame, last_id: int = 0, last_hash: str = GENESIS) -> DataFrame:
     """The batch's records behind the chain's last one, in order of seq."""
-    rows = prepare(records)
-    rows = rows.withColumn("body", record_text(*(F.col(c) for c in _FIELDS)))
-    order = ["seq", *_FIELDS]
-    return rows.repartition(1).sortWithinPartitions(*order).select(*_FIELDS, "body").mapInArrow(_chain(last_id, last_hash), LOG)
+    return chained(bodies(records), last_id, last_hash).drop("seq")
 
 
 def checked(log: DataFrame) -> DataFrame:
@@ -117,5 +135,6 @@ def latest(log: DataFrame) -> DataFrame:
 def repeats_latest(log: DataFrame, calls: DataFrame) -> DataFrame:
     """calls: call_id, tool_name, input_text. Adds duplicate: same tool (case, outer blanks apart) and input as the last record."""
     last = latest(log).select(F.lower(F.trim("tool_name")).alias("last_tool"), F.col("input_hash").alias("last_input"))
+    # one row: the last record
     same = (F.lower(F.trim("tool_name")) == F.col("last_tool")) & (F.sha2("input_text", 256) == F.col("last_input"))
     return calls.join(F.broadcast(last), F.lit(True), "left").withColumn("duplicate", F.coalesce(same, F.lit(False))).drop("last_tool", "last_input")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haystrata.config import Settings
 from haystrata.operators import audit, citations, retrieval, signals
 from haystrata.operators.scan import envelope, scan
-from haystrata.sources import files
+from haystrata.sources import files, shared
+from haystrata.sources.audit_log import AuditLog
 
 # Messages.
 CONFIRMATION = "🔒 확인한 내용이 안전하게 기록되었습니다. 개인정보와 미공개 정보 등 민감한 내용은 노출되지 않도록 보호한 뒤 저장됩니다."
@@ -22,8 +27,13 @@ BOTH_INPUTS = ("text와 file_path 중 정확히 하나만 전달하세요.", "in
 NOT_TEXT = ("올바르지 않은 인자 형식입니다. 모든 텍스트 필드는 문자열이어야 합니다.", "invalid_arguments: text fields must be strings")
 NOT_FLAG = ("올바르지 않은 인자 형식입니다. 검토 여부는 boolean이어야 합니다.", "invalid_arguments: requires_human_review must be boolean")
 NOT_READY = {"check_disclosure_risk": "규정 코퍼스 인덱스를 준비하지 못했습니다. 보수적으로 준법감시 확인이 필요합니다.", "search_compliance_rule": "규정 코퍼스 인덱스를 준비하지 못했습니다."}
+LOG_FAILED = "감사 로그 기록에 실패했습니다."
+SKIP_REASON = "check_disclosure_risk_auto_logs_audit_record"
 NO_TEXT_QUERY = "공시 위험 준법감시 사전확인"
 
+#: What a write that fails raises; errors of the program itself are none of these.
+LOG_ERRORS = (PySparkException, Py4JError, OSError, RuntimeError)
+
 
 def failed(rows: DataFrame, id_col: str, tool: str, summary: Column, error: Column) -> DataFrame:
     """The result columns of calls that failed: no data, no outputs, and always a review."""
@@ -119,21 +129,53 @@ def check_tool(texts: DataFrame, found: DataFrame, answers: DataFrame | None = N
     return rows.select("query_id", F.lit(True).alias("ok"), F.lit("check_disclosure_risk").alias("tool"), summary.alias("summary"), "risk_signals", "matched_criteria", F.when(F.col("passed"), F.col("matches")).alias("matches"), F.char_length(F.coalesce("text", F.lit(""))).alias("input_chars"), F.col("kept").alias("answer"), "citation", F.col("passed").alias("threshold_passed"), F.when(F.col("passed"), outputs).otherwise(none).alias("outputs"), review.alias("requires_human_review"), F.lit(None).cast("string").alias("error"))
 
 
-def check_and_log(texts: DataFrame, found: DataFrame, answers: DataFrame | None = None, log: DataFrame | None = None, ts: str | None = None, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
-    """The check tool with its automatic record: (results with a confirmation and ``audit_log``, new records behind ``log``).
+def logged(result: DataFrame, texts: DataFrame, log: AuditLog, ts: str | None = None) -> DataFrame:
+    """Results of the check tool with their automatic records in ``log``: a confirmation and ``audit_log`` as committed.
 
-    Calls are logged in order of query_id, which must not repeat; the summary is recorded as it was before the confirmation.
+    Results are evaluated once; records are appended in order of query_id, which must not repeat, with the summary as it was
+    before the confirmation. If nothing could be committed every call has failed.
     """
-    result = check_tool(texts, found, answers, settings)
+    result = shared.written(result, "checked")
     calls = result.join(texts.select("query_id", F.coalesce("text", F.lit("")).alias("input_text")), "query_id")
-    calls = calls.select(F.col("query_id").alias("seq"), F.lit(ts).cast("string").alias("ts"), "tool", "input_text", F.col("summary").alias("result_summary"), "requires_human_review").withColumnRenamed("tool", "tool_name")
-    last = audit.latest(log).first() if log is not None else None
-    new = audit.append(calls, last["id"] if last else 0, last["record_hash"] if last else audit.GENESIS)
-    # records come back in order of the calls: the n-th call has the n-th record
-    order = Window.orderBy("query_id")
-    numbered = texts.select("query_id").withColumn("id", F.row_number().over(order).cast("long") + F.lit(last["id"] if last else 0))
-    own = numbered.join(new, "id").select("query_id", F.struct("id", "timestamp", "record_hash", (F.col("requires_human_review") == 1).alias("logged_requires_human_review"), F.lit(True).alias("auto_logged")).alias("audit_log"))
-    return result.join(own, "query_id").withColumn("summary", with_confirmation(F.col("summary"))), new
+    calls = calls.select(F.col("query_id").alias("seq"), F.lit(ts).cast("string").alias("ts"), F.col("tool").alias("tool_name"), "input_text", F.col("summary").alias("result_summary"), "requires_human_review")
+    try:
+        made = log.append(calls)
+    except LOG_ERRORS as e:
+        return failed(result, "query_id", "check_disclosure_risk", F.lit(LOG_FAILED), F.lit(str(e)))
+    own = made.select(F.col("seq").alias("query_id"), F.struct("id", "timestamp", "record_hash", (F.col("requires_human_review") == 1).alias("logged_requires_human_review"), F.lit(True).alias("auto_logged")).alias("audit_log"))
+    return result.join(own, "query_id").withColumn("summary", with_confirmation(F.col("summary")))
+
+
+def check_and_log(texts: DataFrame, found: DataFrame, log: AuditLog, answers: DataFrame | None = None, ts: str | None = None, settings: Settings | None = None) -> DataFrame:
+    """The check tool on texts, with its automatic records in ``log``."""
+    return logged(check_tool(texts, found, answers, settings), texts, log, ts)
+
+
+def check_calls(
+    calls: DataFrame, search: Callable[[DataFrame], DataFrame], log: AuditLog, read: DataFrame | None = None, answers: DataFrame | None = None, error: str | None = None, ts: str | None = None, settings: Settings | None = None
+) -> DataFrame:
+    """The check tool on calls with a text or a file (query_id, text, file_path).
+
+    ``search``: matches of (query_id, query); a blank text asks a fixed question. ``error``: why there is no index; such calls fail, and are
+    logged like others. Calls whose input cannot be used fail and are not logged. A cut file asks for review.
+    """
+    limit = (settings or Settings()).max_text_chars
+    good, failures = resolved(calls, read, "query_id", "check_disclosure_risk")
+    if error is not None:
+        result = not_ready(good, "query_id", "check_disclosure_risk", error)
+    else:
+        blank = ~F.col("text").rlike(r"[^\s\x1c-\x1f\x85\p{Z}]")
+        found = search(good.select("query_id", F.when(blank, NO_TEXT_QUERY).otherwise(F.col("text")).alias("query")))
+        result = check_tool(good.select("query_id", "text"), found, answers, settings)
+    result = apply_file_meta(result, good.filter("kind = 'file'"), "query_id", limit)
+    return with_failures(logged(result, good.select("query_id", "text"), log, ts), failures)
+
+
+def search_calls(queries: DataFrame, search: Callable[[DataFrame], DataFrame], answers: DataFrame | None = None, error: str | None = None, settings: Settings | None = None) -> DataFrame:
+    """The search tool on (query_id, query); all fail if there is no index, for the reason ``error``."""
+    if error is not None:
+        return not_ready(queries, "query_id", "search_compliance_rule", error)
+    return search_tool(queries, search(queries), settings, answers)
 
 
 def search_tool(queries: DataFrame, found: DataFrame, settings: Settings | None = None, answers: DataFrame | None = None) -> DataFrame:
@@ -162,15 +204,27 @@ def generated(rows: DataFrame, answerer, settings: Settings | None = None) -> Da
     return rows.select("query_id", F.when(none, signals.NO_EVIDENCE).otherwise(answerer(F.col("query"), block)).alias("answer"))
 
 
-def log_tool(log: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new records, skipped calls). calls: seq, ts, tool_name, input_text, result_summary, requires_human_review.
+def log_tool(log: AuditLog, calls: DataFrame) -> DataFrame:
+    """Result columns per call. calls: seq (must not repeat), ts (null: now), tool_name, input_text, result_summary, requires_human_review.
 
-    A call that repeats the automatic record of the check tool is skipped; any spelling of that
-    tool's name is stored in lower case.
+    A call that lacks a text or the flag fails and leaves no record. Any spelling of the check tool's name is stored in lower case; a
+    call that repeats that tool's record just before it is skipped, with no summary. If nothing could be committed every valid call has failed.
     """
-    check = F.lower(F.trim("tool_name")) == "check_disclosure_risk"
-    named = calls.withColumn("tool_name", F.when(check, F.lit("check_disclosure_risk")).otherwise(F.col("tool_name")))
-    marked = audit.repeats_latest(log, named).withColumn("duplicate", F.col("duplicate") & (F.col("tool_name") == "check_disclosure_risk"))
-    last = audit.latest(log).first()
-    fresh = marked.filter(~F.col("duplicate")).drop("duplicate")
-    return audit.append(fresh, last["id"] if last else 0, last["record_hash"] if last else audit.GENESIS), marked.filter("duplicate").select("seq", "tool_name")
+    problem = F.when(F.col("tool_name").isNull() | F.col("input_text").isNull() | F.col("result_summary").isNull(), "text").when(F.col("requires_human_review").isNull(), "flag")
+    calls = calls.select("seq", "ts", "tool_name", "input_text", "result_summary", "requires_human_review", problem.alias("problem"))
+    bad, good = calls.filter(F.col("problem").isNotNull()), calls.filter(F.col("problem").isNull())
+    pick = lambda k: F.when(F.col("problem") == "text", NOT_TEXT[k]).otherwise(NOT_FLAG[k])
+    failures = failed(bad, "seq", "log_ai_usage", pick(0), pick(1))
+    check = F.lower(F.trim("tool_name")) == audit.CHECK
+    named = good.withColumn("stored_name", F.when(check, audit.CHECK).otherwise(F.col("tool_name")))
+    try:
+        made = log.append(named.select("seq", "ts", F.col("stored_name").alias("tool_name"), "input_text", "result_summary", "requires_human_review"), skip_repeats=True)
+    except LOG_ERRORS as e:
+        return with_failures(failed(good, "seq", "log_ai_usage", F.lit(LOG_FAILED), F.lit(str(e))), failures)
+    own = made.select("seq", F.struct("id", "timestamp", "tool_name", "input_hash", "prev_hash", "record_hash", (F.col("requires_human_review") == 1).alias("logged_requires_human_review")).alias("record"))
+    rows = good.join(own, "seq", "left")
+    skipped = F.col("record").isNull()
+    skip = F.when(skipped, F.struct(F.lit(True).alias("skipped"), F.lit(SKIP_REASON).alias("skip_reason"), "tool_name", F.col("requires_human_review").alias("logged_requires_human_review")))
+    none = F.array().cast("array<string>")
+    result = rows.select("seq", F.lit(True).alias("ok"), F.lit("log_ai_usage").alias("tool"), F.when(skipped, "").otherwise(CONFIRMATION).alias("summary"), "record", skip.alias("skip"), none.alias("outputs"), F.lit(False).alias("requires_human_review"), F.lit(None).cast("string").alias("error"))
+    return with_failures(result, failures)

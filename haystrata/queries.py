@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from haystrata.operators import audit, calibrate, chunking, citations, retrieval, signals
 from haystrata.operators import scan as S
 from haystrata.plans import tools
-from haystrata.sources import index
+from haystrata.sources import index, shared
+from haystrata.sources.audit_log import AuditLog
 from haystrata.sources.files import truncated
 
 # template with {n} for a number, masked text, types found in order
@@ -224,10 +225,57 @@ def retrieval_confidence(spark, sf_dir):
     return retrieval.confidence(found).select("query_id", F.round("best_vector_similarity", 5).alias("best"), "threshold_passed")
 
 
+TS = "2026-01-01T09:00:00+09:00"
+
+
+def _log(spark) -> AuditLog:
+    """A new log in the shared folder."""
+    return AuditLog(spark, shared.folder(spark, "audit-log"))
+
+
+def _supplied(spark, sf_dir):
+    """Calls to log, from the suppliers: one in ten names the check tool twice running, one in thirteen lacks its summary or flag."""
+    s = _read(spark, sf_dir, "supplier")
+    k, twice = F.col("s_suppkey"), F.explode(F.when(F.col("s_suppkey") % 10 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    rows = s.select("*", twice.alias("again"))
+    name = F.when(k % 10 == 3, F.when(F.col("again") == 1, " Check_Disclosure_Risk ").otherwise("check_disclosure_risk")).otherwise(F.concat(F.lit("tool|"), (k % 4).cast("string")))
+    summary = F.when(k % 13 != 5, F.when(k % 6 == 0, F.concat(F.lit("메일 ab@example.com "), F.col("s_name"))).otherwise(F.concat(F.lit("요약 "), F.col("s_name"))))
+    return rows.select((k * 2 + F.col("again")).alias("seq"), F.lit(TS).alias("ts"), name.alias("tool_name"), F.coalesce("s_name", F.lit("")).alias("input_text"), summary.alias("result_summary"), F.when(k % 13 != 7, k % 3 == 0).alias("requires_human_review"))
+
+
+def audit_log_calls(spark, sf_dir):
+    """The log tool on all calls: what each returned."""
+    out = tools.log_tool(_log(spark), _supplied(spark, sf_dir))
+    return out.select("seq", "ok", "summary", "requires_human_review", F.coalesce("error", F.lit("")).alias("error"), F.coalesce("record.id", F.lit(-1)).alias("log_id"), F.coalesce("record.record_hash", F.lit("")).alias("record_hash"), F.coalesce("skip.skipped", F.lit(False)).alias("skipped"))
+
+
+def audit_log_written(spark, sf_dir):
+    """The log that two calls of the log tool have written, read back."""
+    log, calls = _log(spark), _supplied(spark, sf_dir)
+    tools.log_tool(log, calls.filter("seq % 4 < 2"))
+    tools.log_tool(log, calls.filter("seq % 4 >= 2"))
+    return log.read()
+
+
+def audit_log_verify(spark, sf_dir):
+    """Verification before and after a second append, and after a segment was edited: only new and changed segments are hashed."""
+    log, calls = _log(spark), _supplied(spark, sf_dir)
+    tools.log_tool(log, calls.filter("seq % 4 < 2"))
+    seen = [("first", log.verify())]
+    tools.log_tool(log, calls.filter("seq % 4 >= 2"))
+    seen += [("second", log.verify()), ("again", log.verify())]
+    at = f"{log.path}/segments/{log.segments()[0]}"
+    rows = shared.written(spark.read.parquet(at), "edited")
+    last = rows.agg(F.max("id")).first()[0]
+    rows.withColumn("result_summary", F.when(F.col("id") == last, "edited by hand").otherwise(F.col("result_summary"))).coalesce(1).write.mode("overwrite").parquet(at)
+    seen += [("edited", log.verify()), ("whole", log.verify(full=True))]
+    return spark.createDataFrame([(case, v["valid"], v["broken_at"] or -1, v["total_records"], v["hashed"]) for case, v in seen], "case string, valid boolean, broken_at long, total_records long, hashed long")
+
+
 def _records(spark, sf_dir):
     n = _read(spark, sf_dir, "nation")
     return n.select(
-        F.col("n_nationkey").alias("seq"), F.lit("2026-01-01T09:00:00+09:00").alias("ts"), F.concat(F.lit("tool|"), (F.col("n_regionkey")).cast("string")).alias("tool_name"), F.col("n_name").alias("input_text"),
+        F.col("n_nationkey").alias("seq"), F.lit(TS).alias("ts"), F.concat(F.lit("tool|"), (F.col("n_regionkey")).cast("string")).alias("tool_name"), F.col("n_name").alias("input_text"),
         F.when(F.col("n_nationkey") % 5 == 0, F.lit("담당자 010-1234-5678 확인")).otherwise(F.concat(F.lit("요약 "), F.col("n_name"))).alias("result_summary"), (F.col("n_nationkey") % 3 == 0).alias("requires_human_review"),
     )
 
@@ -283,7 +331,7 @@ def check_tool(spark, sf_dir):
     found, queries = _tool_matches(spark, sf_dir)
     answers = queries.select("query_id", F.concat(F.lit("<think>x</think> "), _pick(F.col("query_id"), [a[0] for a in ANSWERS])).alias("answer"))
     texts = queries.select("query_id", F.concat(F.lit("회계 처리 검토. "), F.col("query")).alias("text"))
-    result, _ = tools.check_and_log(texts, found, answers, ts="2026-01-01T09:00:00+09:00")
+    result = tools.check_and_log(texts, found, _log(spark), answers, ts=TS)
     criteria = F.array_join(F.transform("matched_criteria", lambda c: c["criterion_no"]), ",")
     return result.select("query_id", "ok", "summary", criteria.alias("criteria"), "threshold_passed", "requires_human_review", F.size("outputs").cast("long").alias("n_outputs"), F.col("audit_log.id").alias("log_id"), F.col("audit_log.record_hash").alias("record_hash"))
 
@@ -310,7 +358,7 @@ QUERIES = {
     for f in (
         scan_masked_text, scan_claim_priority, scan_counts_by_type, scan_log_safe_summary, scan_email_documents, scan_card_luhn_documents, scan_envelope, scan_phone_events, scan_rrn_confidence, scan_account_window,
         file_truncation, risk_signals, risk_criteria, citation_guard, review_decision, snippet_format, article_chunks, clause_chunks, plain_chunks, chunk_stats, vector_topk, bm25_topk, rrf_hybrid, retrieval_confidence,
-        audit_chain_append, audit_chain_verify, audit_duplicate_guard, calibration_stats, calibration_margin, threshold_sweep, search_tool, check_tool, scan_calls, index_upsert,
+        audit_chain_append, audit_chain_verify, audit_duplicate_guard, audit_log_calls, audit_log_written, audit_log_verify, calibration_stats, calibration_margin, threshold_sweep, search_tool, check_tool, scan_calls, index_upsert,
     )
 }
 
@@ -350,6 +398,14 @@ o AS (SELECT *, row_number() OVER (ORDER BY seq) AS id FROM r),
 ch AS (SELECT CAST(0 AS BIGINT) AS id, '' AS ts, '' AS tool, '' AS ih, '' AS s, 0 AS f, '' AS prev_hash, 'GENESIS' AS record_hash
   UNION ALL SELECT o.id, o.ts, o.tool, o.ih, o.s, o.f, ch.record_hash, sha256(o.ts || '|' || replace(o.tool, '|', '/') || '|' || o.ih || '|' || replace(o.s, '|', '/') || '|' || CAST(o.f AS VARCHAR) || '|' || ch.record_hash) FROM ch JOIN o ON o.id = ch.id + 1)
 """
+_MADE = r"""
+s0 AS (SELECT *, unnest(CASE WHEN s_suppkey % 10 = 3 THEN [0, 1] ELSE [0] END) AS again FROM supplier),
+s1 AS (SELECT s_suppkey * 2 + again AS seq, s_suppkey AS k, again, coalesce(s_name, '') AS input, CASE WHEN s_suppkey % 10 = 3 THEN 'check_disclosure_risk' ELSE 'tool|' || s_suppkey % 4 END AS tool,
+  CASE WHEN s_suppkey % 6 = 0 THEN '메일 ***@example.com ' ELSE '요약 ' END || s_name AS summary, CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 6 = 0 THEN 1 ELSE 0 END AS f, s_suppkey % 13 = 5 OR s_name IS NULL AS no_text, s_suppkey % 13 = 7 AS no_flag FROM s0),
+s2 AS (SELECT *, row_number() OVER (ORDER BY {order}) AS id FROM s1 WHERE NOT no_text AND NOT no_flag AND again = 0),
+ch AS (SELECT CAST(0 AS BIGINT) AS id, 'GENESIS' AS record_hash, '' AS prev_hash
+  UNION ALL SELECT s2.id, sha256('2026-01-01T09:00:00+09:00|' || replace(tool, '|', '/') || '|' || sha256(input) || '|' || replace(summary, '|', '/') || '|' || f || '|' || ch.record_hash), ch.record_hash FROM ch JOIN s2 ON s2.id = ch.id + 1)
+"""
 _MEASURED = f"m AS (SELECT {_pick_sql('label', ['A', 'B', 'C'])} AS \"group\", round(abs(CAST(embedding[1] AS DOUBLE)) * 3, 6) AS top1 FROM embeddings)"
 _FLAT = r"trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\pZ]+', ' ', 'g'))"
 _STOP = "strpos(reverse(substr(flat, {a} + 1, 900)), ' .')"
@@ -403,6 +459,9 @@ ORACLES = {
     "audit_chain_append": f"WITH RECURSIVE {_CHAIN} SELECT id, ts AS timestamp, tool AS tool_name, ih AS input_hash, s AS result_summary, f AS requires_human_review, prev_hash, record_hash FROM ch WHERE id > 0",
     "audit_chain_verify": "SELECT * FROM (VALUES ('whole', true, -1::BIGINT, 25::BIGINT), ('edited', false, 7, 25), ('cut', false, 13, 24), ('shorter', true, -1, 19)) AS x(\"case\", valid, broken_at, total_records)",
     "audit_duplicate_guard": "SELECT n_nationkey AS call_id, n_nationkey = (SELECT max(n_nationkey) FROM nation) AS duplicate FROM nation",
+    "audit_log_calls": f"WITH RECURSIVE {_MADE.format(order='seq')} SELECT s1.seq, NOT (no_text OR no_flag) AS ok, CASE WHEN no_text THEN '{tools.NOT_TEXT[0]}' WHEN no_flag THEN '{tools.NOT_FLAG[0]}' WHEN s1.again = 1 THEN '' ELSE '{tools.CONFIRMATION}' END AS summary, no_text OR no_flag AS requires_human_review, CASE WHEN no_text THEN '{tools.NOT_TEXT[1]}' WHEN no_flag THEN '{tools.NOT_FLAG[1]}' ELSE '' END AS error, coalesce(x.id, -1) AS log_id, coalesce(record_hash, '') AS record_hash, s1.again = 1 AND NOT no_text AND NOT no_flag AS skipped FROM s1 LEFT JOIN (SELECT seq, id, record_hash FROM s2 JOIN ch USING (id)) x ON x.seq = s1.seq",
+    "audit_log_written": f"WITH RECURSIVE {_MADE.format(order='seq % 4 >= 2, seq')} SELECT id, '2026-01-01T09:00:00+09:00' AS timestamp, tool AS tool_name, sha256(input) AS input_hash, summary AS result_summary, f AS requires_human_review, prev_hash, record_hash FROM s2 JOIN ch USING (id)",
+    "audit_log_verify": f"WITH {_MADE.format(order='seq').split('ch AS')[0].rstrip().rstrip(',')}, c AS (SELECT count(*) FILTER (seq % 4 < 2) AS a, count(*) AS n FROM s2) SELECT \"case\", \"case\" NOT IN ('edited', 'whole') AS valid, CASE WHEN \"case\" IN ('edited', 'whole') THEN a ELSE -1 END AS broken_at, CASE WHEN \"case\" = 'first' THEN a ELSE n END AS total_records, hashed::BIGINT AS hashed FROM c, (VALUES ('first', 1), ('second', 1), ('again', 0), ('edited', 1), ('whole', 2)) AS x(\"case\", hashed)",
     "calibration_stats": f"WITH {_MEASURED} SELECT \"group\", count(*) AS n, round(min(top1), 6) AS min_top1, round(avg(top1), 6) AS mean_top1, round(max(top1), 6) AS max_top1, count(*) FILTER (top1 >= 0.49) AS n_pass, count(*) FILTER (top1 < 0.49) AS n_cut FROM m GROUP BY \"group\"",
     "calibration_margin": f"WITH {_MEASURED}, e AS (SELECT min(top1) FILTER (\"group\" = 'A') AS a, max(top1) FILTER (\"group\" = 'B') AS b FROM m) SELECT round(a - b, 6) AS margin, coalesce(CASE WHEN a > b THEN round((a + b) / 2, 6) END, -1.0::DOUBLE) AS midpoint FROM e",
     "threshold_sweep": f"WITH {_MEASURED} SELECT \"group\", h::INT AS hundredths, count(*) FILTER (top1 >= h / 100.0::DOUBLE) AS n_pass, count(*) FILTER (top1 < h / 100.0::DOUBLE) AS n_cut, round(avg(CASE WHEN top1 >= h / 100.0::DOUBLE THEN 1.0::DOUBLE ELSE 0 END), 6) AS pass_rate FROM m, (SELECT unnest(range(30, 71, 2)) AS h) GROUP BY \"group\", h",

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from haystrata.operators import audit
 from haystrata.operators.scan import scan
+from haystrata.sources.audit_log import AuditLog
 
 
 def scan_stream(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -15,25 +15,15 @@ def scan_stream(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return scan(texts, text_col)
 
 
-def audit_stream(texts: DataFrame, log_path: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text", ts: str | None = None) -> StreamingQuery:
-    """Scans each micro-batch and appends its records to the chain at ``log_path``.
+def audit_stream(texts: DataFrame, log_path: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text", ts: str | None = None, name: str = "scan") -> StreamingQuery:
+    """Scans each micro-batch and appends its records to the log at ``log_path``, beside whatever other writers it has.
 
-    A batch is written to a folder of its own number, so a batch that is run again after a
-    failure replaces what it wrote and the chain holds every record once. Only the last batch that has
-    records is read for the chain's end. ``ts``: the time of all records, instead of the time of their batch.
+    The log holds the last batch of each stream (``name``), so a batch that is run again after a failure appends nothing twice.
+    ``ts``: the time of all records, instead of the time of their batch.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        fs = spark._jvm.org.apache.hadoop.fs.Path(log_path).getFileSystem(spark._jsc.hadoopConfiguration())
-        last = None
-        for n in range(number - 1, -1, -1):
-            at = f"{log_path}/batch={n}"
-            if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")):
-                last = audit.latest(spark.read.schema(audit.LOG).parquet(at)).first()
-                if last is not None:
-                    break
         calls = scan(batch.withColumn("input_text", F.col(text_col)), text_col).select(F.col(id_col).alias("seq"), F.lit(ts).cast("string").alias("ts"), F.lit("scan_sensitive_info").alias("tool_name"), "input_text", F.col("log_safe_summary").alias("result_summary"), "requires_human_review")
-        audit.append(calls, last["id"] if last else 0, last["record_hash"] if last else audit.GENESIS).write.mode("overwrite").parquet(f"{log_path}/batch={number}")
+        AuditLog(batch.sparkSession, log_path).append(calls, batch=(name, number))
 
     return texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
