@@ -1,9 +1,7 @@
 """Hybrid retrieval over chunks: exact cosine, Okapi BM25, reciprocal rank fusion, confidence.
 
-Queries meet all chunks. For the vector side queries are broadcast, in blocks of about
-``MAX_QUERIES`` if there are more; chunks are scanned once a block and never shuffled, and rows
-without an embedding take no part. For BM25 the terms of queries are met before anything is counted by chunk: broadcast
-if there are at most ``MAX_TERMS``, else joined; document frequencies are partial aggregates of each chunk's distinct terms.
+Both searches read stored indexes (``sources.vectors``, ``sources.postings``): blocks with bounds, of which
+a query reads those that can hold one of its best.
 """
 
 from __future__ import annotations
@@ -11,13 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
-MAX_QUERIES, MAX_TERMS = 10_000, 200_000
-TOKEN = "[가-힣]+|[A-Za-z0-9]+"
-
-
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+from haystrata.sources import postings, shared, vectors
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -26,44 +18,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)))
 
 
-def _blocks(queries: DataFrame) -> list[DataFrame]:
-    """All queries in disjoint blocks of about ``MAX_QUERIES``, each broadcast."""
-    n = -(-queries.count() // MAX_QUERIES)
-    if n <= 1:
-        return [F.broadcast(queries)]
-    return [F.broadcast(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k)) for k in range(n)]
-
-
 def vector_search(chunks: DataFrame, queries: DataFrame, pool: int = 10) -> DataFrame:
-    """chunks: chunk_id, seq, embedding; queries: query_id, query_embedding. query_id, chunk_id, seq, vector_similarity, vector_distance, rank."""
-    chunks = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", "seq", "embedding")
-    best = Window.partitionBy("query_id").orderBy(F.col("vector_similarity").desc(), "seq")
-    scored = None
-    for block in _blocks(queries.filter(F.col("query_embedding").isNotNull())):
-        part = chunks.join(block, F.lit(True)).select("query_id", "chunk_id", "seq", cosine(F.col("embedding"), F.col("query_embedding")).alias("vector_similarity"))
-        scored = part if scored is None else scored.unionByName(part)
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= pool).withColumn("vector_distance", 1 - F.col("vector_similarity"))
+    """chunks: chunk_id, seq, embedding; queries: query_id, query_embedding. query_id, chunk_id, seq, vector_similarity, vector_distance, rank.
+
+    For chunks that have no stored index: one is built for this search.
+    """
+    return vectors.build(chunks, shared.folder(chunks.sparkSession, "vectors")).search(queries, pool)
 
 
 def bm25_search(chunks: DataFrame, queries: DataFrame, pool: int = 10) -> DataFrame:
-    """chunks: chunk_id, seq, text; queries: query_id, query. query_id, chunk_id, seq, bm25, rank; scores above 0 only."""
-    docs = chunks.select("chunk_id", "seq", tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    idf = docs.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), F.lit(True))
-    idf = idf.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    mean = idf.agg(F.avg("idf").alias("mean_idf"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    asked = asked.join(idf, "term").join(F.broadcast(mean), F.lit(True)).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")))
-    wanted = queries.select(F.explode(tokens(F.col("query"))).alias("term")).distinct()
-    if wanted.limit(MAX_TERMS + 1).count() <= MAX_TERMS:
-        wanted = F.broadcast(wanted)
-    own = docs.select("chunk_id", "seq", "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-    postings = own.groupBy("chunk_id", "seq", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    hits = postings.join(asked, "term").join(F.broadcast(stats), F.lit(True))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "chunk_id", "seq").agg(F.sum(part).alias("bm25"))
-    best = Window.partitionBy("query_id").orderBy(F.round("bm25", 9).desc(), "seq")
-    return scored.withColumn("rank", F.row_number().over(best)).filter((F.col("rank") <= pool) & (F.col("bm25") > 0))
+    """chunks: chunk_id, seq, text; queries: query_id, query. query_id, chunk_id, seq, bm25, rank; scores above 0 only.
+
+    For chunks that have no stored index: one is built for this search.
+    """
+    return postings.build(chunks, shared.folder(chunks.sparkSession, "postings")).search(queries, pool)
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, top_k: int = 5, rrf_k: int = 60) -> DataFrame:

@@ -14,6 +14,8 @@ from haystrata.operators import audit, citations, retrieval, signals
 from haystrata.operators.scan import envelope, scan
 from haystrata.sources import files, shared
 from haystrata.sources.audit_log import AuditLog
+from haystrata.sources.postings import Postings
+from haystrata.sources.vectors import Vectors
 
 # Messages.
 CONFIRMATION = "🔒 확인한 내용이 안전하게 기록되었습니다. 개인정보와 미공개 정보 등 민감한 내용은 노출되지 않도록 보호한 뒤 저장됩니다."
@@ -95,11 +97,17 @@ def apply_file_meta(result: DataFrame, files: DataFrame, id_col: str = "doc_id",
     return joined.withColumn("outputs", F.when(cut, F.array_append("outputs", warning)).otherwise(F.col("outputs"))).withColumn("requires_human_review", cut | F.col("requires_human_review"))
 
 
-def matches(chunks: DataFrame, queries: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """chunks: chunk_id, seq, text, embedding, source, file_name, article, article_title; queries: query_id, query, query_embedding. Formatted matches in order of position."""
+def matches(chunks: DataFrame, queries: DataFrame, settings: Settings | None = None, words: Postings | None = None, vectors: Vectors | None = None) -> DataFrame:
+    """chunks: chunk_id, seq, text, embedding, source, file_name, article, article_title; queries: query_id, query, query_embedding. Formatted matches in order of position.
+
+    ``words``, ``vectors``: stored indexes of the same chunks; without them they are built for this call.
+    """
     s = settings or Settings()
     pool = max(s.top_k, s.pool)
-    hits = retrieval.fuse(retrieval.vector_search(chunks, queries.select("query_id", "query_embedding"), pool), retrieval.bm25_search(chunks, queries.select("query_id", "query"), pool), s.top_k, s.rrf_k)
+    asked = queries.select("query_id", "query_embedding")
+    near = vectors.search(asked, pool) if vectors else retrieval.vector_search(chunks, asked, pool)
+    said = queries.select("query_id", "query")
+    hits = retrieval.fuse(near, words.search(said, pool) if words else retrieval.bm25_search(chunks, said, pool), s.top_k, s.rrf_k)
     meta = chunks.select("chunk_id", "source", "file_name", "article", "article_title", citations.snippet(F.col("text")).alias("snippet"))
     return hits.join(meta, "chunk_id").select("query_id", "position", "source", "file_name", "article", "article_title", "chunk_id", "snippet", F.round("score", 6).alias("score"), F.round("vector_distance", 6).alias("vector_distance"), F.round("vector_similarity", 6).alias("vector_similarity"))
 

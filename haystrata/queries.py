@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from haystrata.operators import audit, calibrate, chunking, citations, retrieval, signals
 from haystrata.operators import scan as S
 from haystrata.plans import tools
-from haystrata.sources import index, shared
+from haystrata.sources import index, postings, shared, vectors
 from haystrata.sources.audit_log import AuditLog
 from haystrata.sources.files import truncated
 
@@ -195,11 +195,32 @@ def chunk_stats(spark, sf_dir):
     return _plain(spark, sf_dir).select("doc_seq").join(d, "doc_seq").groupBy("origin").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
+_indexes: dict[tuple, object] = {}
+
+
+def _stored(spark, sf_dir, table: str, chunks: DataFrame, module):
+    """The stored index of a table's chunks; built once, and again when a file of the table has changed."""
+    at = f"{sf_dir}/{table}.parquet"
+    key = (spark.sparkContext.applicationId, module.__name__, at, tuple(chunks.columns), *shared.listed(spark, at))
+    if key not in _indexes:
+        _indexes[key] = module.build(chunks, shared.folder(spark, table))
+    return _indexes[key]
+
+
+def _vector_index(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    return _stored(spark, sf_dir, "embeddings", e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("vec_id").alias("seq"), "embedding"), vectors)
+
+
+def _word_index(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents")
+    return _stored(spark, sf_dir, "documents", d.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("seq"), "text"), postings)
+
+
 def _vectors(spark, sf_dir):
     e = _read(spark, sf_dir, "embeddings")
-    chunks = e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("vec_id").alias("seq"), "embedding")
     asked = e.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    return retrieval.vector_search(chunks, asked)
+    return _vector_index(spark, sf_dir).search(asked)
 
 
 def vector_topk(spark, sf_dir):
@@ -207,9 +228,8 @@ def vector_topk(spark, sf_dir):
 
 
 def _lexical(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("seq"), "text")
     asked = _read(spark, sf_dir, "benchmark").filter(F.col("item_id") % 50 == 0).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieval.bm25_search(d, asked)
+    return _word_index(spark, sf_dir).search(asked)
 
 
 def bm25_topk(spark, sf_dir):
@@ -319,7 +339,7 @@ def _tool_matches(spark, sf_dir):
     chunks = d.join(e, d["doc_id"] == e["vec_id"], "left").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("seq"), "text", "embedding", "source", F.concat("source", F.lit(".txt")).alias("file_name"), F.lit("제10조").alias("article"), F.lit("보고").alias("article_title"))
     b = _read(spark, sf_dir, "benchmark")
     queries = b.join(e, b["item_id"] == e["vec_id"], "left").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("query_embedding"))
-    return tools.matches(chunks, queries), queries
+    return tools.matches(chunks, queries, words=_word_index(spark, sf_dir)), queries
 
 
 def search_tool(spark, sf_dir):
