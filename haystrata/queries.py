@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from haystrata.operators import audit, calibrate, chunking, citations, retrieval, signals
 from haystrata.operators import scan as S
 from haystrata.plans import tools
-from haystrata.sources import index, postings, shared, vectors
+from haystrata.sources import corpus, index, postings, shared, vectors
 from haystrata.sources.audit_log import AuditLog
 from haystrata.sources.files import truncated
 
@@ -362,15 +362,37 @@ def scan_calls(spark, sf_dir):
     return tools.scan_calls(e.select("event_id", text.alias("text"), path.alias("file_path")), id_col="event_id").select("event_id", "ok", "summary", "requires_human_review", F.coalesce("error", F.lit("")).alias("error"))
 
 
-def index_upsert(spark, sf_dir):
+def _customers(spark, sf_dir):
     c = _read(spark, sf_dir, "customer")
     key = F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("chunk_id")
     none = F.lit(None).cast("string")
-    row = lambda text, seq: (key, text.alias("text"), F.lit("customer").alias("source"), none.alias("article"), none.alias("article_title"), none.alias("category"), none.alias("file_name"), F.lit(seq).cast("long").alias("chunk_seq"))
-    old = c.filter(F.col("c_custkey") % 2 == 0).select(*row(F.col("c_name"), 0))
-    new = c.filter(F.col("c_custkey") % 3 == 0).select(*row(F.concat(F.lit("new "), F.col("c_name")), 1)).unionByName(c.filter(F.col("c_custkey") % 9 == 0).select(*row(F.concat(F.lit("newer "), F.col("c_name")), 2)))
-    rows = index.restored(index.stored(index.upsert(old, new)))
-    return rows.select("chunk_id", "text", "source", "article", F.coalesce("category", F.lit("-")).alias("category"), F.coalesce("file_name", F.lit("-")).alias("file_name"), "chunk_seq")
+    return lambda every, name, seq: c.filter(F.col("c_custkey") % every == 0).select(key, F.concat(F.lit(name), F.col("c_name")).alias("text"), F.lit("customer").alias("source"), none.alias("article"), none.alias("article_title"), none.alias("category"), none.alias("file_name"), F.lit(seq).cast("long").alias("chunk_seq"))
+
+
+def index_upsert(spark, sf_dir):
+    """A written index after an upsert, read back."""
+    rows, own = _customers(spark, sf_dir), index.table(spark, shared.folder(spark, "index"))
+    own.replace(index.stored(rows(2, "", 0)))
+    own.change(index.stored(rows(3, "new ", 1).unionByName(rows(9, "newer ", 2))))
+    return index.restored(own.read()).select("chunk_id", "text", "source", "article", F.coalesce("category", F.lit("-")).alias("category"), F.coalesce("file_name", F.lit("-")).alias("file_name"), "chunk_seq")
+
+
+def index_versions(spark, sf_dir):
+    """Chunks of each version of an index: built, upserted, with a source taken out, built anew."""
+    rows, own = _customers(spark, sf_dir), index.table(spark, shared.folder(spark, "index"))
+    made = [own.replace(index.stored(rows(2, "", 0))), own.change(index.stored(rows(3, "new ", 1))), own.change(index.stored(rows(50, "last ", 2)), F.col("text").endswith("5")), own.replace(index.stored(rows(7, "", 0)))]
+    out = [own.read(v).select(F.lit(v.number).cast("long").alias("version"), "chunk_id", "text", F.lit(v.rows).cast("long").alias("stated")) for v in made]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+def corpus_changes(spark, sf_dir):
+    """Files that differ between two listings, made of the orders, by digests of their nodes."""
+    o = _read(spark, sf_dir, "orders")
+    k, path = F.col("o_orderkey"), F.concat(F.lit("/corpus/"), F.col("o_orderkey").cast("string"), F.lit(".txt"))
+    listing = o.select("o_orderkey", path.alias("path"), corpus.file_name(path).alias("file_name"), F.col("o_custkey").cast("long").alias("length"), F.col("o_orderdate").cast("timestamp").alias("modificationTime"))
+    before = corpus.marked(listing.filter(k % 1000 != 3))
+    after = corpus.marked(listing.filter(k % 1000 != 4).withColumn("length", F.when(k % 1000 == 5, F.col("length") + 1).otherwise(F.col("length"))))
+    return corpus.changes(before, after, corpus.nodes(before), corpus.nodes(after)).select("path", "kind")
 
 
 QUERIES = {
@@ -378,7 +400,7 @@ QUERIES = {
     for f in (
         scan_masked_text, scan_claim_priority, scan_counts_by_type, scan_log_safe_summary, scan_email_documents, scan_card_luhn_documents, scan_envelope, scan_phone_events, scan_rrn_confidence, scan_account_window,
         file_truncation, risk_signals, risk_criteria, citation_guard, review_decision, snippet_format, article_chunks, clause_chunks, plain_chunks, chunk_stats, vector_topk, bm25_topk, rrf_hybrid, retrieval_confidence,
-        audit_chain_append, audit_chain_verify, audit_duplicate_guard, audit_log_calls, audit_log_written, audit_log_verify, calibration_stats, calibration_margin, threshold_sweep, search_tool, check_tool, scan_calls, index_upsert,
+        audit_chain_append, audit_chain_verify, audit_duplicate_guard, audit_log_calls, audit_log_written, audit_log_verify, calibration_stats, calibration_margin, threshold_sweep, search_tool, check_tool, scan_calls, index_upsert, index_versions, corpus_changes,
     )
 }
 
@@ -492,4 +514,6 @@ ORACLES = {
     "check_tool": f"WITH RECURSIVE {_TOOLS}, {_CHECKED} SELECT query_id, true AS ok, summary || chr(10) || chr(10) || '{tools.CONFIRMATION}' AS summary, '7호' AS criteria, passed AS threshold_passed, true AS requires_human_review, (CASE WHEN passed THEN least(n, 3) ELSE 0 END)::BIGINT AS n_outputs, id AS log_id, record_hash FROM k JOIN ch USING (id)",
     "scan_calls": f"SELECT event_id, event_id % 4 IN (0, 2) AS ok, CASE event_id % 4 WHEN 1 THEN '{tools.BOTH_INPUTS[0]}' WHEN 3 THEN '파일 입력 오류: 파일을 찾을 수 없습니다: /nowhere/b.txt' ELSE '민감정보·금융 금지문구 패턴이 탐지되지 않았습니다.' END AS summary, event_id % 4 IN (1, 3) AS requires_human_review, CASE event_id % 4 WHEN 1 THEN '{tools.BOTH_INPUTS[1]}' WHEN 3 THEN '파일을 찾을 수 없습니다: /nowhere/b.txt' ELSE '' END AS error FROM events",
     "index_upsert": "SELECT 'k' || c_custkey AS chunk_id, CASE WHEN c_custkey % 9 = 0 THEN 'newer ' WHEN c_custkey % 3 = 0 THEN 'new ' ELSE '' END || c_name AS text, 'customer' AS source, '' AS article, '-' AS category, '-' AS file_name, (CASE WHEN c_custkey % 9 = 0 THEN 2 WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS chunk_seq FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
+    "index_versions": "WITH v1 AS (SELECT c_custkey AS k, c_name AS t FROM customer WHERE c_custkey % 2 = 0), v2 AS (SELECT k, t FROM v1 WHERE k % 3 <> 0 UNION ALL SELECT c_custkey, 'new ' || c_name FROM customer WHERE c_custkey % 3 = 0), v3 AS (SELECT k, t FROM v2 WHERE NOT t LIKE '%5' AND k % 50 <> 0 UNION ALL SELECT c_custkey, 'last ' || c_name FROM customer WHERE c_custkey % 50 = 0), v4 AS (SELECT c_custkey AS k, c_name AS t FROM customer WHERE c_custkey % 7 = 0), al AS (SELECT 1 AS version, * FROM v1 UNION ALL SELECT 2, * FROM v2 UNION ALL SELECT 3, * FROM v3 UNION ALL SELECT 4, * FROM v4) SELECT version::BIGINT AS version, 'k' || k AS chunk_id, t AS text, count(*) OVER (PARTITION BY version) AS stated FROM al",
+    "corpus_changes": "SELECT '/corpus/' || o_orderkey || '.txt' AS path, CASE o_orderkey % 1000 WHEN 3 THEN 'new' WHEN 4 THEN 'gone' ELSE 'changed' END AS kind FROM orders WHERE o_orderkey % 1000 IN (3, 4, 5)",
 }

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haystrata.config import Settings
+from haystrata.sources import corpus
 
-ALLOWED = ("pdf", "txt", "md")
+ALLOWED = corpus.ALLOWED
 READ = "path string, file_name string, extension string, text string, pages int, error string"
 
 
@@ -52,7 +53,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), ("file_name", pa.string()), ("extension", pa.string()), ("text", pa.string()), ("pages", pa.int32()), ("error", pa.string())]))
 
 
-def read_files(spark: SparkSession, path: str, settings: Settings | None = None) -> DataFrame:
+def read_files(spark: SparkSession, path: str | list[str], settings: Settings | None = None) -> DataFrame:
     """A row per file: path, file_name, extension, text (cut at the limit), pages, total_chars, truncated, error. A file that cannot be used has an error and no text."""
     s = settings or Settings()
     rows = spark.read.format("binaryFile").load(path)
@@ -79,24 +80,23 @@ def choose_input(text: Column, file_path: Column) -> Column:
 
 def corpus_fingerprint(spark: SparkSession, path: str) -> str:
     """A digest of names, sizes and times of the usable files under a folder."""
-    files = spark.read.format("binaryFile").load(path).filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*ALLOWED))
-    marks = files.select(F.concat_ws("|", F.element_at(F.split("path", "/"), -1), F.col("length").cast("string"), F.col("modificationTime").cast("string")).alias("m"))
-    return marks.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("m")), "\n"), 256)).first()[0]
+    return corpus.digest(corpus.nodes(corpus.marked(corpus.files(spark, path))))
 
 
-def rule_documents(spark: SparkSession, path: str) -> DataFrame:
-    """file_name, text, doc_seq in order of name; a file that cannot be read fails the whole load.
+def rule_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, file_name, text, doc_seq ascending in order of name; a file that cannot be read fails the whole load.
 
-    Only names are numbered in one place; texts stay where they are read.
+    Names are put in order by ranges; texts stay where they are read.
     """
     files = read_files(spark, path, Settings(max_text_chars=2**31 - 1))
     files = files.filter(F.substring("extension", 2, 9).isin(*ALLOWED))
     text = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.col("file_name"), F.lit(": "), F.col("error")))).otherwise(F.col("text"))
-    names = spark.read.format("binaryFile").load(path).select(F.col("path").alias("at"))
-    names = names.withColumn("doc_seq", (F.row_number().over(Window.orderBy(F.element_at(F.split("at", "/"), -1), "at")) - 1).cast("long"))
-    return files.join(names, F.col("path") == F.col("at")).select("file_name", text.alias("text"), "doc_seq")
+    names = ordered(spark.read.format("binaryFile").load(path).select(F.col("path").alias("at")), "at")
+    return files.join(names, F.col("path") == F.col("at")).select("path", "file_name", text.alias("text"), "doc_seq")
 
 
-def write_index(chunks: DataFrame, path: str) -> None:
-    """Replaces the index, so that vector and lexical side hold the same chunks."""
-    chunks.write.mode("overwrite").parquet(path)
+def ordered(paths: DataFrame, column: str) -> DataFrame:
+    """Adds doc_seq: numbers that ascend with the file's name, then its path; not without gaps."""
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = paths.withColumn("_name", corpus.file_name(F.col(column))).repartitionByRange("_name", column).sortWithinPartitions("_name", column)
+    return rows.withColumn("doc_seq", F.spark_partition_id().cast("long") * F.lit(1 << 24) + inside).drop("_name")

@@ -1,52 +1,53 @@
-"""The chunk index: corpus and path lists to chunks, a Parquet index with a manifest, search over it.
+"""The chunk index: corpus folders and path lists to chunks, a versioned table with a manifest, search over it.
 
-The index is a folder with ``chunks`` (Parquet) and ``manifest.json`` ({corpus, chunks}). Vector and
-lexical search read the same chunks, so a rebuild replaces both. Embeddings and answers come from
-functions of the caller: a Column of the text column (a pandas UDF, or a precomputed column).
+The index is a ``VersionedTable`` of chunks by chunk_id. Its version states the corpus digest and, in a table of its own,
+the marks of the corpus' files; of a corpus that has changed only new and changed files are read and chunked, and
+chunks of files that are gone are taken out. Search reads posting and vector blocks stored for the version that was
+loaded; they are built at its first search. Embeddings and answers come from functions of the caller: a Column of the text
+column (a pandas UDF, or a precomputed column).
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haystrata.config import Settings
 from haystrata.operators import chunking
 from haystrata.plans import tools
-from haystrata.sources import files
+from haystrata.sources import corpus, files, postings, shared, vectors
+from haystrata.sources import versioned
+from haystrata.sources.versioned import Version, VersionedTable
 
 # Messages.
 NO_INDEX = "인덱스가 없습니다. 먼저 build_index(chunks)를 호출하세요."
 NO_CORPUS = "검색 가능한 코퍼스 문서가 없습니다."
 KEY = "chunk_id"
-
-
-def _fs(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, at = _fs(spark, path)
-    return fs.exists(at)
+#: Paths of changed files that are listed to the reader; beyond, the folder is read.
+MOST_PATHS = 10_000
+#: What reading a corpus or writing an index raises; errors of the program itself are none of these.
+ERRORS = (PySparkException, Py4JError, ValueError, OSError)
 
 
 def corpus_files(spark: SparkSession, path: str) -> DataFrame:
     """path, file_name, length, modificationTime of the usable files in order of name; none if the folder is missing."""
-    schema = "path string, file_name string, length long, modificationTime timestamp"
-    if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.format("binaryFile").load(path).filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*files.ALLOWED))
-    return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", "modificationTime").orderBy("path")
+    return corpus.files(spark, path).orderBy("path")
 
 
-def load_corpus(spark: SparkSession, path: str, limit: int = 900, overlap: int = 120) -> DataFrame:
-    """Chunks of all rule documents of a folder; a file that cannot be read fails the whole load."""
-    return chunking.chunk(files.rule_documents(spark, path), limit, overlap)
+def load_corpus(spark: SparkSession, path: str | list[str], limit: int = 900, overlap: int = 120) -> DataFrame:
+    """Chunks of all rule documents of a folder, with the path of their file; a file that cannot be read fails the whole load."""
+    return _chunked(files.rule_documents(spark, path), limit, overlap)
+
+
+def _chunked(docs: DataFrame, limit: int, overlap: int) -> DataFrame:
+    return chunking.chunk(docs, limit, overlap).join(docs.select("doc_seq", F.col("path").alias("file_path")), "doc_seq")
 
 
 def load_paths(spark: SparkSession, paths: list[str], limit: int = 900, overlap: int = 120) -> DataFrame:
@@ -54,27 +55,26 @@ def load_paths(spark: SparkSession, paths: list[str], limit: int = 900, overlap:
     for path in paths:
         if path.rsplit(".", 1)[-1].lower() not in files.ALLOWED:
             raise ValueError(f"지원하지 않는 코퍼스 파일 형식입니다: {path}")
-    out = None
+    docs = spark.createDataFrame([], "path string, file_name string, text string, doc_seq long")
     for k, path in enumerate(paths):
-        docs = files.rule_documents(spark, path).select("file_name", "text", (F.col("doc_seq") + (k << 32)).alias("doc_seq"))
-        out = docs if out is None else out.unionByName(docs)
-    if out is None:
-        out = spark.createDataFrame([], "file_name string, text string, doc_seq long")
-    return chunking.chunk(out, limit, overlap)
+        docs = docs.unionByName(files.rule_documents(spark, path).withColumn("doc_seq", F.col("doc_seq") + F.lit(k << 38)))
+    return _chunked(docs, limit, overlap)
 
 
 def embedded(chunks: DataFrame, embed: Callable[[Column], Column] | None) -> DataFrame:
-    """With a column ``embedding``: of the caller's function, as it is, or null."""
-    if embed is not None:
-        return chunks.withColumn("embedding", embed(F.col("text")))
-    return chunks if "embedding" in chunks.columns else chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
+    """With a column ``embedding``: of the caller's function, as it is, or null. A text that gets no vector, or one of another size than the first, is an error."""
+    if embed is None:
+        return chunks if "embedding" in chunks.columns else chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
+    rows = chunks.withColumn("embedding", embed(F.col("text")))
+    size = F.coalesce(F.size("embedding"), F.lit(-1))
+    bad = F.raise_error(F.concat(F.lit("embedding of "), F.col("chunk_id"), F.lit(" has "), size.cast("string"), F.lit(" components")))
+    first = rows.select("embedding").first()
+    return rows.withColumn("embedding", F.when(size == (len(first.embedding or []) or 1 if first else 1), F.col("embedding")).otherwise(bad))
 
 
 def upsert(index: DataFrame, new: DataFrame, key: str = KEY, order: str = "chunk_seq") -> DataFrame:
     """Rows of ``new`` replace rows of equal key; of new rows that repeat a key the last in ``order`` holds. Null keys are no keys and stay."""
-    last = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last()))
-    fresh = new.filter(F.col(key).isNotNull()).withColumn("_place", last).filter("_place = 1").drop("_place").unionByName(new.filter(F.col(key).isNull()))
-    return index.join(fresh.select(key), key, "left_anti").select(*index.columns).unionByName(fresh.select(*index.columns))
+    return versioned.upsert(index, new, key, order)
 
 
 def restored(stored: DataFrame) -> DataFrame:
@@ -92,18 +92,17 @@ def stored(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("chunk_id").alias("id"), "text", *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in fields), *rest)
 
 
-def build(chunks: DataFrame, path: str, corpus: str | None = None, embed: Callable[[Column], Column] | None = None) -> int:
-    """Replaces the index at ``path``; returns its number of chunks. Nothing is written when there are none."""
-    spark = chunks.sparkSession
+def table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, KEY, "chunk_seq")
+
+
+def build(chunks: DataFrame, path: str, mark: str | None = None, embed: Callable[[Column], Column] | None = None, facts: dict | None = None) -> int:
+    """Replaces the index at ``path``; returns its number of chunks. Nothing is written when there are none. Of equal ids the last in order of the files holds."""
     if not chunks.take(1):
         return 0
-    files.write_index(stored(embedded(chunks, embed)), f"{path}/chunks")
-    n = spark.read.parquet(f"{path}/chunks").count()
-    fs, at = _fs(spark, f"{path}/manifest.json")
-    out = fs.create(at, True)
-    out.write(bytearray(manifest(corpus, n).encode()))
-    out.close()
-    return n
+    rows = stored(embedded(chunks, embed))
+    last = upsert(rows.limit(0), rows.withColumn("_order", F.struct("doc_seq", "chunk_seq")), KEY, "_order")
+    return table(chunks.sparkSession, path).replace(last, {"corpus": mark, **(facts or {})}).rows
 
 
 def manifest(corpus: str | None, chunks: int) -> str:
@@ -111,54 +110,111 @@ def manifest(corpus: str | None, chunks: int) -> str:
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict | None:
-    """The manifest of an index, or none if it is missing or cannot be read."""
-    if not exists(spark, f"{path}/manifest.json"):
-        return None
-    try:
-        found = json.loads("\n".join(r.value for r in spark.read.text(f"{path}/manifest.json").collect()))
-    except Exception:  # a manifest that cannot be read names no corpus: the index is built again
-        return None
-    return found if isinstance(found, dict) else None
+    """Corpus digest and number of chunks of an index; none if there is none or its newest version cannot be read."""
+    v = table(spark, path).version()
+    return {"corpus": v.facts.get("corpus"), "chunks": v.rows} if v.schema is not None else None
 
 
 @dataclass(frozen=True)
 class Index:
-    """An index that can be searched; ``chunks`` is None before it is built or loaded."""
+    """An index that can be searched, at the version that was loaded; ``chunks`` is None before it is built or loaded."""
 
     chunks: DataFrame | None = None
+    path: str | None = None
+    number: int = 0
+    _search: dict = field(default_factory=dict)
 
     def count(self) -> int:
         return 0 if self.chunks is None else self.chunks.count()
 
+    def _stored(self, name: str, module, chunks: DataFrame):
+        """Blocks of this version, found in the index's folder or built there."""
+        if name not in self._search:
+            spark, top = chunks.sparkSession, f"{self.path}/search"
+            for folder, _, _ in shared.listed(spark, top):
+                if folder.startswith(f"{self.number:012d}-{name}-"):
+                    self._search[name] = self._search.get(name) or module.load(spark, f"{top}/{folder}")
+            self._search[name] = self._search.get(name) or module.build(chunks, f"{top}/{self.number:012d}-{name}-{uuid.uuid4().hex}")
+        return self._search[name]
+
     def search(self, queries: DataFrame, settings: Settings | None = None) -> DataFrame:
         """queries: query_id, query, query_embedding. Formatted matches; an error without an index."""
         if self.chunks is None:
             raise RuntimeError(NO_INDEX)
-        return tools.matches(self.chunks.withColumn("seq", F.col("doc_seq") * F.lit(1 << 20) + F.col("chunk_seq")), queries, settings)
-
-
-def load(spark: SparkSession, path: str) -> Index:
-    """The index at a folder; one without chunks if there is none."""
-    if not exists(spark, f"{path}/chunks/_SUCCESS"):
+        chunks = self.chunks.withColumn("seq", F.col("doc_seq") * F.lit(1 << 20) + F.col("chunk_seq"))
+        if self.path is None:
+            return tools.matches(chunks, queries, settings)
+        return tools.matches(chunks, queries, settings, self._stored("words", postings, chunks), self._stored("vectors", vectors, chunks))
+
+
+def load(spark: SparkSession, path: str, number: int | None = None) -> Index:
+    """The index at a folder, its newest version unless another is named; one without chunks if there is none."""
+    own = table(spark, path)
+    v = own.version(number)
+    rows = own.read(v)
+    if rows is None:
         return Index()
-    return Index(restored(spark.read.parquet(f"{path}/chunks")))
-
-
-def ensure_ready(spark: SparkSession, corpus: str, path: str, embed: Callable[[Column], Column] | None = None) -> tuple[Index, str | None]:
-    """The index of a corpus folder, loaded if its manifest names this corpus, else built; or why there is none."""
+    listing = v.facts.get("files")
+    if listing is not None:  # the order of files is that of the corpus as it was at this version
+        order = spark.read.schema(f"{corpus.FILES}, mark string, node int, doc_seq long").parquet(f"{path}/files/{listing}").select(F.col("path").alias("file_path"), "doc_seq")
+        rows = rows.drop("doc_seq").join(order, "file_path")
+    return Index(restored(rows.drop("file_path")), path, v.number)
+
+
+def _listing(spark: SparkSession, path: str, marks: DataFrame) -> str:
+    name = uuid.uuid4().hex
+    files.ordered(marks, "path").write.parquet(f"{path}/files/{name}")
+    return name
+
+
+def update(spark: SparkSession, folder: str, path: str, embed: Callable[[Column], Column] | None = None, limit: int = 900, overlap: int = 120) -> dict:
+    """Brings the index at ``path`` up to a corpus folder; returns the files by kind of change, and chunks.
+
+    An index of another kind, or none, is built from all files. Of chunks of several files that share an id the one written last holds.
+    """
+    marks = shared.written(corpus.marked(corpus.files(spark, folder)), "marks")
+    found, own = corpus.nodes(marks), table(spark, path)
+    v, mark = own.version(), corpus.digest(found)
+    facts = {"corpus": mark, "nodes": {str(k): x for k, x in found.items()}}
+    if v.schema is None or "nodes" not in v.facts or not found:
+        if not found:
+            return {"new": 0, "changed": 0, "gone": 0, "chunks": 0}
+        n = build(load_corpus(spark, folder, limit, overlap), path, mark, embed, facts | {"files": _listing(spark, path, marks)})
+        return {"new": marks.count(), "changed": 0, "gone": 0, "chunks": n}
+    if v.facts.get("corpus") == mark:
+        return {"new": 0, "changed": 0, "gone": 0, "chunks": v.rows}
+    before = spark.read.schema(f"{corpus.FILES}, mark string, node int, doc_seq long").parquet(f"{path}/files/{v.facts['files']}")
+    known = {int(k): x for k, x in v.facts["nodes"].items()}
+    differ = shared.written(corpus.changes(before, marks, known, found), "changes")
+    kinds = {r.kind: r["count"] for r in differ.groupBy("kind").count().collect()}
+    read = [r.path for r in differ.filter("kind != 'gone'").limit(MOST_PATHS + 1).collect()]
+    if len(read) > MOST_PATHS:
+        fresh = _chunked(files.rule_documents(spark, folder).join(differ.select("path"), "path", "left_semi"), limit, overlap)
+    elif read:
+        fresh = load_corpus(spark, read, limit, overlap)
+    else:
+        fresh = load_paths(spark, [], limit, overlap)
+    rows = stored(embedded(fresh, embed if read else None))
+    listing = _listing(spark, path, marks)
+    now = own.read(v)
+    stale = now.join(differ.filter("kind != 'new'").select(F.col("path").alias("file_path")), "file_path", "left_semi").select(F.col("file_path").alias("stale_path")).distinct()
+    gone = [r.stale_path for r in stale.limit(MOST_PATHS + 1).collect()]
+    if len(gone) > MOST_PATHS:  # most of the corpus is another one
+        n = build(load_corpus(spark, folder, limit, overlap), path, mark, embed, facts | {"files": listing})
+    else:
+        n = own.change(rows.select(*now.columns), F.col("file_path").isin(gone), lambda _: facts | {"files": listing}).rows
+    return {"new": 0, "changed": 0, "gone": 0} | kinds | {"chunks": n}
+
+
+def ensure_ready(spark: SparkSession, folder: str, path: str, embed: Callable[[Column], Column] | None = None) -> tuple[Index, str | None]:
+    """The index of a corpus folder, brought up to its files; or why there is none."""
     try:
-        if not corpus_files(spark, corpus).take(1):
+        if not corpus.files(spark, folder).take(1):
             return Index(), NO_CORPUS
-        mark = files.corpus_fingerprint(spark, corpus)
-        known = read_manifest(spark, path)
-        if known is not None and known.get("corpus") == mark:
-            index = load(spark, path)
-            if index.chunks is not None:
-                return index, None
-        if not build(load_corpus(spark, corpus), path, mark, embed):
+        if not update(spark, folder, path, embed)["chunks"]:
             return Index(), NO_CORPUS
         return load(spark, path), None
-    except Exception as e:  # the tools report it and ask for review
+    except ERRORS as e:  # the tools report it and ask for review
         return Index(), str(e)
 
 
@@ -173,3 +229,8 @@ def ingest(spark: SparkSession, paths: list[str], path: str, limit: int = 900, o
 def per_source(chunks: DataFrame) -> DataFrame:
     """source, n: chunks of each source."""
     return chunks.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def open_version(spark: SparkSession, path: str) -> Version:
+    """What the newest version states."""
+    return table(spark, path).version()

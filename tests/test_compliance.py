@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 
@@ -157,7 +158,7 @@ def test_windows_cover_the_text(spark):
             assert bool(r.w) == bool(n)
 
 
-def test_index(spark, tmp_path):
+def test_index(spark, tmp_path, capsys):
     corpus, path = tmp_path / "corpus", str(tmp_path / "index")
     assert index.corpus_files(spark, str(corpus)).count() == 0
     assert index.ensure_ready(spark, str(corpus), path)[1] == index.NO_CORPUS
@@ -176,17 +177,21 @@ def test_index(spark, tmp_path):
     assert hits and hits[0].article in ("제1조", "제2조", "")
     with pytest.raises(RuntimeError, match="인덱스가 없습니다"):
         index.load(spark, str(tmp_path / "nowhere")).search(asked)
-    written = (tmp_path / "index" / "manifest.json").stat().st_mtime_ns
-    assert index.ensure_ready(spark, str(corpus), path, embed)[1] is None
-    assert (tmp_path / "index" / "manifest.json").stat().st_mtime_ns == written  # the same corpus is not built again
-    (tmp_path / "index" / "manifest.json").write_text("no json")
-    assert index.ensure_ready(spark, str(corpus), path, embed)[0].count() == 3
+    assert index.ensure_ready(spark, str(corpus), path, embed)[0].number == ready.number == 1  # the same corpus is not built again
+    (tmp_path / "index" / "versions" / f"{1:012d}.json").write_text("no json")
+    assert index.read_manifest(spark, path) is None and index.ensure_ready(spark, str(corpus), path, embed)[0].count() == 3
     with pytest.raises(ValueError):
         index.load_paths(spark, [str(corpus / "x.docx")])
     summary = index.ingest(spark, [str(corpus / "02_기준.txt")], str(tmp_path / "two"))
     assert summary["total_chunks"] == 2 and summary["per_source"] == {"기준": 2}
-    assert ingest.main([str(corpus / "*.txt"), "--index", str(tmp_path / "three")], spark) == 0
-    assert ingest.main([str(corpus / "none*.txt"), "--index", str(tmp_path / "four")], spark) == 1
+    assert ingest.main(["load", "--index", str(tmp_path / "three"), str(corpus / "*.txt")], spark) == 0
+    assert json.loads(capsys.readouterr().out) == {"total_chunks": 2, "per_source": {"기준": 2}, "files": [f"file:{corpus}/02_기준.txt"]}
+    assert ingest.main(["sync", "--index", str(tmp_path / "five"), str(corpus)], spark) == 0
+    assert json.loads(capsys.readouterr().out) == {"total_chunks": 3, "files": {"new": 2, "changed": 0, "gone": 0}}
+    assert ingest.main(["find", "--index", str(tmp_path / "five"), "가를", "정한다"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["matches"][0]["article"] == "제1조"
+    assert ingest.main(["load", "--index", str(tmp_path / "four"), str(corpus / "none*.txt")], spark) == 1 and "error" in json.loads(capsys.readouterr().err)
+    assert ingest.main(["find", "--index", str(tmp_path / "four"), "x"], spark) == 1 and index.NO_INDEX in capsys.readouterr().err
     assert not (tmp_path / "four").exists()
 
 
@@ -261,7 +266,7 @@ def test_queries_against_sql(spark):
     import duckdb
 
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("nation", "supplier", "events", "customer", "documents", "embeddings", "benchmark"):
+    for t in ("nation", "supplier", "events", "customer", "orders", "documents", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     assert set(queries.ORACLES) == set(queries.QUERIES)
     for name, sql in queries.ORACLES.items():
