@@ -6,12 +6,14 @@ claims nothing, so a later stage can take the same characters.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haystrata.config import Settings
 from haystrata.functions import patterns as P
-from haystrata.functions.spans import claim, spans, splice, window
+from haystrata.functions.spans import claim, once, pieces, spans, splice, window
 
 FINDING = "array<struct<s:int,e:int,type:string,label:string,mask:string,confidence:string,reason:string>>"
 _digits = lambda v: F.regexp_replace(v, "[^0-9]", "")
@@ -22,23 +24,28 @@ def _finding(c: Column, kind: str, label: str, mask: Column, confidence: Column,
     return F.struct(c["s"].alias("s"), c["e"].alias("e"), F.lit(kind).alias("type"), F.lit(label).alias("label"), mask.alias("mask"), confidence.alias("confidence"), reason.alias("reason"))
 
 
+def _near(found: Column, text: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """What ``use`` makes of candidates and the text in pieces, which is cut only where there are candidates."""
+    return once(found, lambda f: F.when(F.size(f) > 0, once(pieces(text), lambda blocks: use(f, blocks))).otherwise(use(f, F.array(F.lit("")))))
+
+
 def rrn(text: Column) -> Column:
     """National ids whose first six digits look like a date."""
     part = lambda c, k: F.regexp_extract(c["v"], P.RRN, k)
     cand = F.filter(spans(text, P.RRN, _numeric(text)), lambda c: F.substring(c["v"], 3, 2).cast("int").between(1, 12) & F.substring(c["v"], 5, 2).cast("int").between(1, 31))
 
-    def one(c: Column) -> Column:
-        low = (F.char_length(c["v"]) == 13) & ~window(text, c, P.RRN_WINDOW).rlike(P.RRN_WORDS)
+    def one(c: Column, blocks: Column) -> Column:
+        low = (F.char_length(c["v"]) == 13) & ~window(blocks, c, P.RRN_WINDOW).rlike(P.RRN_WORDS)
         mask = F.concat(part(c, 1), F.lit("-"), F.substring(part(c, 3), 1, 1), F.lit("******"))
         return _finding(c, "rrn", "주민등록번호/외국인등록번호", mask, F.when(low, "low").otherwise("high"), F.lit("고유식별정보 패턴"))
 
-    return F.transform(cand, one)
+    return _near(cand, text, lambda found, blocks: F.transform(found, lambda c: one(c, blocks)))
 
 
 def card(text: Column) -> Column:
     """Card numbers: valid checksum, or a card word nearby."""
     luhn = lambda c: F.call_function("luhn_check", _digits(c["v"]))
-    cand = F.filter(spans(text, P.CARD, _numeric(text)), lambda c: luhn(c) | window(text, c, P.CARD_WINDOW).rlike(P.CARD_WORDS))
+    cand = _near(spans(text, P.CARD, _numeric(text)), text, lambda found, blocks: F.filter(found, lambda c: luhn(c) | window(blocks, c, P.CARD_WINDOW).rlike(P.CARD_WORDS)))
 
     def one(c: Column) -> Column:
         d = _digits(c["v"])
@@ -69,9 +76,9 @@ def email(text: Column) -> Column:
 
 def account(text: Column) -> Column:
     """Ten to sixteen digits with an account word nearby."""
-    ok = lambda c: F.char_length(_digits(c["v"])).between(10, 16) & window(text, c, P.ACCOUNT_WINDOW).rlike(P.ACCOUNT_WORDS)
+    ok = lambda c, blocks: F.char_length(_digits(c["v"])).between(10, 16) & window(blocks, c, P.ACCOUNT_WINDOW).rlike(P.ACCOUNT_WORDS)
     one = lambda c: _finding(c, "account", "계좌번호", F.concat(F.lit("***"), F.substring(_digits(c["v"]), -4, 4)), F.lit("high"), F.lit("계좌 관련 키워드 주변의 10~16자리 금융계좌 후보"))
-    return F.transform(F.filter(spans(text, P.ACCOUNT, _numeric(text)), ok), one)
+    return F.transform(_near(spans(text, P.ACCOUNT, _numeric(text)), text, lambda found, blocks: F.filter(found, lambda c: ok(c, blocks))), one)
 
 
 def claims(text: Column) -> list[Column]:

@@ -147,7 +147,7 @@ def test_windows_cover_the_text(spark):
     docs = spark.createDataFrame([(f"t{k}", t, k) for k, t in enumerate(texts)], "file_name string, text string, doc_seq long")
     for limit, overlap in ((100, 20), (60, 59), (50, 0)):
         rows = chunking.composed(docs, "text").select("doc_seq", squeeze(F.col("text")).alias("flat"))
-        for r in rows.select("doc_seq", "flat", chunking.window_bounds(F.col("flat"), limit, overlap).alias("w")).collect():
+        for r in rows.select("doc_seq", "flat", chunking.window_bounds(F.array("flat"), F.char_length("flat"), limit, overlap).alias("w")).collect():
             n, at = len(r.flat), 0
             for k, w in enumerate(r.w):
                 assert w.a == at and w.a < w.b <= min(n, w.a + limit)
