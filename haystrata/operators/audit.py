@@ -40,13 +40,13 @@ def kst(ts: Column) -> Column:
     return F.concat(F.date_format(F.from_utc_timestamp(ts, "Asia/Seoul"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00"))
 
 
-def prepare(records: DataFrame) -> DataFrame:
-    """records: seq, ts (null: now), tool_name, input_text, result_summary, requires_human_review. Hashes the input and drops it; scans and masks the summary."""
+def prepare(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """records (and columns to ``keep``): seq, ts (null: now), tool_name, input_text, result_summary, requires_human_review. Hashes the input and drops it; scans and masks the summary."""
     now = kst(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))
     checked = records.withColumn("result_summary", F.when(F.col("result_summary").isNull(), F.raise_error(F.lit("result_summary must not be null"))).otherwise(F.col("result_summary")))
     hashed = checked.withColumn("input_hash", F.sha2(F.col("input_text"), 256)).drop("input_text").withColumnRenamed("requires_human_review", "asked")
     return scan(hashed, "result_summary").select(
-        "seq", F.coalesce("ts", now).alias("timestamp"), "tool_name", "input_hash", F.col("masked_text").alias("result_summary"), (F.col("asked") | F.col("requires_human_review")).cast("int").alias("requires_human_review")
+        *keep, "seq", F.coalesce("ts", now).alias("timestamp"), "tool_name", "input_hash", F.col("masked_text").alias("result_summary"), (F.col("asked") | F.col("requires_human_review")).cast("int").alias("requires_human_review")
     )
 
 
@@ -76,9 +76,9 @@ def _chain(last_id: int, last_hash: str, last_call: tuple[str | None, str | None
     return run
 
 
-def bodies(records: DataFrame) -> DataFrame:
+def bodies(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Prepared records with the text that their hash is taken of."""
-    return prepare(records).withColumn("body", record_text(*(F.col(c) for c in _FIELDS)))
+    return prepare(records, keep).withColumn("body", record_text(*(F.col(c) for c in _FIELDS)))
 
 
 def chained(rows: DataFrame, last_id: int = 0, last_hash: str = GENESIS, last_call: tuple[str | None, str | None] | None = None) -> DataFrame:
