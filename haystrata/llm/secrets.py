@@ -12,8 +12,8 @@ alphabets and lengths in secret-like surroundings are true; identifiers of words
 numbers, dates, repeated characters, placeholders, digests and e-mail-like strings in other
 surroundings are false. ``FINDINGS`` bounds them; the corpus is not needed.
 
-Trees are fitted by Spark's own forest and applied as one SQL expression (nested CASE), so a
-scan is a projection without shuffle. Null and empty texts have no findings. Equal rows have
+Trees are fitted by Spark's own forest and applied as one SQL expression: their nodes are arrays of
+constants, a fold of depth steps goes down each, so a scan is a compiled projection without shuffle. Null and empty texts have no findings. Equal rows have
 equal findings; findings are in order of place, ties do not occur. A null path is no path.
 Only the named columns are read.
 """
@@ -115,21 +115,45 @@ def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, se
     table = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(rows.coalesce(1))
     forest = RandomForestClassifier(labelCol="label", featuresCol="x", numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, featureSubsetStrategy="sqrt").fit(table)
 
-    def sql(node) -> str:
-        if node.numDescendants() == 0:
-            a, b = (float(x) for x in node.impurityStats().stats())
-            return repr(b / (a + b)) + "D"
-        split = node.split()
-        return f"CASE WHEN f.{FEATURES[split.featureIndex()]} <= {split.threshold()!r}D THEN {sql(node.leftChild())} ELSE {sql(node.rightChild())} END"
+    def nodes(tree) -> list[str]:
+        """A tree's nodes, root first: feature, threshold, places of both children (-1: a leaf), share of true findings."""
+        out: list[str] = []
 
-    parts = [sql(t._java_obj.rootNode()) for t in forest.trees]
-    return f"({' + '.join(parts)}) / {float(len(parts))!r}D"
+        def add(node) -> int:
+            at = len(out)
+            out.append("")
+            if node.numDescendants() == 0:
+                a, b = (float(x) for x in node.impurityStats().stats())
+                out[at] = f"named_struct('i', 0, 't', 0D, 'l', -1, 'r', -1, 'v', {b / (a + b)!r}D)"
+            else:
+                split = node.split()
+                left, right = add(node.leftChild()), add(node.rightChild())
+                out[at] = f"named_struct('i', {split.featureIndex()}, 't', {split.threshold()!r}D, 'l', {left}, 'r', {right}, 'v', 0D)"
+            return at
+
+        add(tree._java_obj.rootNode())
+        return out
+
+    table = ", ".join(f"array({', '.join(nodes(t))})" for t in forest.trees)
+    down = f"aggregate(sequence(1, {depth}), 0, (n, k) -> CASE WHEN t[n].l < 0 THEN n WHEN x[t[n].i] <= t[n].t THEN t[n].l ELSE t[n].r END, n -> t[n].v)"
+    values = ", ".join(f"f.{name}" for name in FEATURES)
+    return f"transform(array(array({values})), x -> aggregate(array({table}), 0D, (s, t) -> s + {down}) / {float(len(forest.trees))!r}D)[0]"
+
+
+_trained: dict[tuple, str] = {}
+
+
+def default_forest(spark: SparkSession) -> str:
+    """The forest of the labelled findings, trained once a Spark application."""
+    key = (spark.sparkContext.applicationId, FINDINGS, TREES, DEPTH, SEED)
+    if key not in _trained:
+        _trained[key] = train_forest(labelled_findings(spark))
+    return _trained[key]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, threshold: float = THRESHOLD, forest: str | None = None) -> DataFrame:
     """One row per finding: ``id_col``, number, value, first (code point, from 0), score; rejected candidates are left out."""
-    spark = docs.sparkSession
-    forest = forest or train_forest(labelled_findings(spark))
+    forest = forest or default_forest(docs.sparkSession)
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), path.alias("path"))
     rows = rows.filter(F.col("text").rlike(CANDIDATE))  # most texts end here
