@@ -146,3 +146,20 @@ def test_search_without_an_index(spark):
     found = retrieval.vector_search(rows, asked, 3).collect()
     assert len(found) == 60 and all(r.vector_distance == 1 - r.vector_similarity for r in found)
     assert {r.query_id for r in found if r.rank == 1 and r.chunk_id == str(r.query_id)} == set(range(20))
+
+
+def test_answers_are_made_of_the_evidence(spark):
+    from haystrata.config import Settings
+    from haystrata.operators import citations, signals
+    from haystrata.plans import tools
+
+    match = "array<struct<source:string,file_name:string,article:string,article_title:string,snippet:string>>"
+    some = [("규정", "a.txt", "제7조", "보고", "보고한다"), (None, "b.txt", "", None, "가" * 800), ("", None, "제8조", "", None), *[("s", "f", "제9조", "t", "x")] * 4]
+    rows = spark.createDataFrame([(1, "무엇을", some), (2, "없다", []), (3, None, None)], f"query_id int, query string, matches {match}")
+    block = rows.select(citations.evidence_block(F.col("matches")).alias("b")).first().b.split("\n")
+    assert len(block) == 5 and block[0] == "[1] source=규정 article=제7조 보고 snippet=보고한다"
+    assert block[1] == "[2] source=b.txt article=- snippet=" + "가" * 700 and block[2] == "[3] source=unknown article=제8조 snippet="
+    answer = lambda q, e: F.concat(q, F.lit(": "), F.substring(e, 1, 12))
+    got = {r.query_id: r.answer for r in tools.generated(rows, answer, Settings(generate_answer=True)).collect()}
+    assert got == {1: "무엇을: [1] source=규", 2: signals.NO_EVIDENCE, 3: signals.NO_EVIDENCE}
+    assert {r.answer for r in tools.generated(rows, answer).collect()} == {r.answer for r in tools.generated(rows, None, Settings(generate_answer=True)).collect()} == {None}
