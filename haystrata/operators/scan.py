@@ -7,6 +7,7 @@ claims nothing, so a later stage can take the same characters.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,6 +108,12 @@ def findings(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.expr(f"cast(array() as {FINDING})")).otherwise(found)
 
 
+@lru_cache(maxsize=64)
+def _findings_of(application: str, column: str) -> Column:
+    """``findings`` of a column: the expression is large, and the same for every table."""
+    return findings(F.col(column))
+
+
 def type_code(kind: Column) -> Column:
     return F.upper(kind)
 
@@ -136,7 +143,7 @@ def scan(df: DataFrame, text_col: str = "text", settings: Settings | None = None
     most = (settings or Settings()).max_findings
     text = F.col(text_col)
     found, values = (next(n for n in (name + "_" * k for k in range(len(df.columns) + 1)) if n not in df.columns) for name in ("all_findings", "values_text"))
-    rows = df.withColumn(found, findings(text))
+    rows = df.withColumn(found, _findings_of(df.sparkSession.sparkContext.applicationId, text_col))
     every, total = F.col(found), F.size(found)
     empty, none = text.isNull() | (text == ""), total == 0
     types = F.transform(every, lambda f: f["type"])
