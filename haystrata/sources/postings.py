@@ -189,7 +189,9 @@ def _score(avgdl: float | None, pool: int, size: int):
 def build(chunks: DataFrame, path: str) -> Postings:
     """chunks: chunk_id, seq, text. A new index at ``path``; chunks without words count in lengths, and are never found."""
     spark = chunks.sparkSession
-    ordered = chunks.select("chunk_id", "seq", "text").repartitionByRange("seq").sortWithinPartitions("seq", "chunk_id")
+    # a number of partitions keeps Spark from joining small ones: tokenising is the work here, not reading
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ordered = chunks.select("chunk_id", "seq", "text").repartitionByRange(n, "seq").sortWithinPartitions("seq", "chunk_id")
     words = ordered.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("seq").cast("long").alias("seq"), tokens(F.col("text")).alias("terms"))
     packed = shared.written(words.mapInArrow(_ranges(RANGE, RANGE_POSTINGS), _BLOCK), "packed")
     of_terms = F.col("term").isNotNull()
