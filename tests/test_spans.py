@@ -77,7 +77,7 @@ def test_time_grows_with_the_text(spark):
         chunks = [c.text for c in chunking.chunk(docs).orderBy("chunk_seq").collect()]
         assert all(len(c) <= 900 for c in chunks) and chunks[-1].endswith("follows here") and len(chunks) > 300 * n // 900
         seconds[n] = time.time() - began
-    assert seconds[10_000] < 10 * max(seconds[500], 3)
+    assert seconds[10_000] < 20 * max(seconds[500], 3)  # 20 times the text; a quadratic fold takes some 400 times as long
 
 
 def test_many_sentences_and_repeated_articles(spark):
