@@ -4,9 +4,9 @@ A document is the average of learned vectors of its hashed words, pairs of neigh
 character n-grams (of code points; a word's first and last n-grams see the white space around it).
 A pair's hash is the exclusive or of its words' hashes: order is left out, and a word twice in a
 row has one vector whatever the word. A softmax over the average gives the score. Vectors and
-output weights are trained together by stochastic gradient descent in numpy on the driver, on at
-most ``TRAIN_DOCS`` labelled documents (those with the smallest hash of their id; whole texts),
-classes weighted by the root of their rarity. The output is linear in the average, so for scoring
+output weights are trained together by stochastic gradient descent in numpy, on at most ``TRAIN_DOCS``
+labelled documents (those with the smallest hash of their id; whole texts), classes weighted by the
+root of their rarity. A task trains: the steps follow one another, and the driver gets the model only. The output is linear in the average, so for scoring
 every bucket's vector collapses to one number and a document's logit is the mean of its features'
 numbers: one streaming pass, no shuffle.
 
@@ -119,6 +119,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([piece.column("id").cast(pa.string()), piece.column("label"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["id", "label", "ids", "counts"])
 
 
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows; none without rows."""
+    ids, counts, labels = [], [], []
+    for batch in batches:
+        ids += [x.values.to_numpy() for x in batch.column("ids")]
+        counts += [x.values.to_numpy() for x in batch.column("counts")]
+        labels.append(np.clip(batch.column("label").to_numpy(), 0, 1))
+    if ids:
+        of_bucket, bias = train(ids, counts, np.concatenate(labels))
+        yield pa.RecordBatch.from_arrays([pa.array([of_bucket.tobytes()], pa.binary()), pa.array([bias])], ["of_bucket", "bias"])
+
+
 def labelled_sample(labels: DataFrame, id_col: str, label_col: str, keep: Column, most: int) -> DataFrame:
     """At most ``most`` labelled ids (id, label), those with the smallest hash."""
     known = labels.filter(keep & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -130,12 +142,12 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id"
     """keep: condition on the labels' rows that may be learned from."""
     sample = labelled_sample(labels, id_col, label_col, keep, most)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # at most TRAIN_DOCS rows
-    table = texts.mapInArrow(_counted, "id string, label int, ids array<int>, counts array<int>").toArrow()
-    if not table.num_rows:
+    counted = texts.mapInArrow(_counted, "id string, label int, ids array<int>, counts array<int>")
+    # a bounded sample in one order, whatever the partitions
+    made = counted.repartition(1).sortWithinPartitions("id", "ids", "counts").mapInArrow(_trained, "of_bucket binary, bias double").first()
+    if made is None:
         return np.zeros(1 << BITS, np.float32), 0.0
-    table = table.sort_by([("id", "ascending")]) if table.num_rows else table
-    unpack = lambda name: [x.values.to_numpy() for x in table.column(name)]
-    return train(unpack("ids"), unpack("counts"), np.clip(table.column("label").to_numpy(), 0, 1))
+    return np.frombuffer(made["of_bucket"], np.float32), made["bias"]
 
 
 def logits(model: tuple[np.ndarray, float], texts: pa.Array) -> np.ndarray:

@@ -40,6 +40,17 @@ def folder(spark, rows, tmp_path_factory):
     return at
 
 
+def test_the_driver_gets_the_model_and_not_the_sample(spark, folder, monkeypatch):
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+
+    def here(*_):
+        raise AssertionError("trained in the driver")
+
+    monkeypatch.setattr(quality, "train", here)  # tasks import their own
+    of_bucket, _ = quality.fit(docs, labels, quality.remainder("doc_id", 5) != 0)
+    assert len(of_bucket) == 1 << quality.BITS and of_bucket.any()
+
+
 def test_quality_stage_judges_each_text(spark, folder):
     import corpus_pipeline as C
 
