@@ -119,6 +119,15 @@ def chunked(spark, name: str, text, limit: int = 900, overlap: int = 120):
     return chunking.chunk(docs, limit, overlap, name_is_file=False).orderBy("chunk_seq").collect()
 
 
+def test_only_texts_beyond_ascii_are_sent_to_python(spark, capsys):
+    texts = [None, "", "plain", *("\u1112\u1161\u11ab e\u0301 " + str(k) for k in range(150)), "한 é"]
+    out = chunking.composed(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string").coalesce(1), "text")
+    assert [r.text for r in out.orderBy("k").collect()] == ["", "", "plain", *(f"한 é {k}" for k in range(150)), "한 é"]
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" not in plan and "octet_length" in plan
+
+
 def test_chunking(spark):
     text = "머리말 제1조(목적) 가.\n제10조(정보 교류) 나.\n제52조의2(차단) 다."
     got = chunked(spark, "KOFIA_기준", text)
