@@ -40,8 +40,8 @@ def folder(spark, rows, tmp_path_factory):
     return at
 
 
-def test_the_driver_gets_the_model_and_not_the_sample(spark, folder, monkeypatch):
-    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+def test_the_driver_gets_the_model_and_not_the_sample(spark, monkeypatch):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
 
     def here(*_):
         raise AssertionError("trained in the driver")
