@@ -379,6 +379,46 @@ def test_jaccard_join(spark, rows, empty):
     assert jaccard.linked(empty).count() == 0
 
 
+@pytest.mark.parametrize("all_pairs", [False, True])
+def test_jaccard_lists_give_no_more_rows_than_they_hold(all_pairs):
+    """A list of near copies, all of own components and families: each may link with each, and none is paired with all."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    sets = [np.sort(np.r_[base[:390], rng.integers(0, 2**64, 10, dtype=np.uint64)]) for _ in range(150)] + [np.sort(np.r_[base[:40], rng.integers(0, 2**64, 360, dtype=np.uint64)]) for _ in range(50)]
+    ids, zero = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+    columns = {"token": zero + 7, "one": zero, "two": zero, "part": zero, "n": zero + 400, "pos": zero, "rep": ids, "comp": ids, "family": ids}
+    batch = pa.RecordBatch.from_pydict(columns | {"map": [jaccard.bitmap(s) for s in sets]})
+    batch = next(jaccard._folded(iter([batch])))
+    out = pa.Table.from_batches(list(jaccard._cross(90, all_pairs)(iter([batch.slice(0, 70), batch.slice(70)]))))
+    assert 0 < len(out) < len(sets)
+    if all_pairs:
+        assert set(range(150)) <= set(out.column("rep").to_pylist())
+    else:
+        assert {a for pair in out.to_pylist() for a in pair.values()} >= set(range(150))
+
+
+def test_jaccard_join_of_links_across_families(spark, monkeypatch):
+    """Chains of texts, each like the next only, in blocks of few sets: what lists link is what all pairs do."""
+    monkeypatch.setattr(jaccard, "LIST_SETS", 4)
+    monkeypatch.setattr(jaccard, "FAMILY_TOKENS", 1 << 9)
+    monkeypatch.setattr(jaccard, "LIST_BITS", 64)
+    rng = random.Random(4)
+    own, words = [], [f"w{k}" for k in range(90)]
+    for k in range(150):
+        if k % 12 == 0:
+            words = [f"w{j}" if rng.random() < 0.8 else f"x{rng.randrange(50)}" for j in range(90)]
+        at = rng.randrange(80)
+        words[at : at + rng.randrange(1, 4)] = [f"y{rng.randrange(400)}" for _ in range(2)]
+        own.append((k + 1, " ".join(words)))
+    rng.shuffle(own)
+    table = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+    for k, percent in ((3, 90), (5, 80), (1, 90)):
+        want = plain_components(own, k, percent)
+        assert len({c for _, c in want.values()}) < len(own)
+        for g in jaccard.linked(table, k=k, percent=percent).collect():
+            assert (g.n_shingles, g.component_id) == want[g.doc_id]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k + 1, k) for k in range(40)] + [(101, 100), (101, 100), (102, 100), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in connected_components(links).collect()}
