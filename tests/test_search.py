@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,31 @@ def test_only_asked_folders_and_likely_ranges_are_read(spark, tmp_path, monkeypa
     assert re.search(r"PartitionFilters: \[(?=[^]]*bucket#\d+ (IN|=))", plans[0])
 
 
+def test_blocks_travel_once_for_all_queries(spark, tmp_path, monkeypatch):
+    index = postings.build(spark.createDataFrame(texts_of(5, 60), CHUNKS), str(tmp_path / "p"))
+    real, seen = postings.shared.written, []
+
+    def blocks(*_):
+        def run(batches):
+            for batch in batches:
+                n = len(batch) - batch.column("places").null_count
+                kinds = {"query_id": batch.schema.field("query_id").type, "range": pa.int64(), "place": pa.int32(), "bm25": pa.float64(), "exact": pa.float64()}
+                yield pa.RecordBatch.from_pydict({c: pa.array([0] * n, k) for c, k in kinds.items()})
+
+        return run
+
+    def spy(df, name):
+        out = real(df, name)
+        seen.extend([out.count()] if name == "scored" else [])
+        return out
+
+    monkeypatch.setattr(postings, "_score", blocks)
+    monkeypatch.setattr(postings.shared, "written", spy)
+    for n in (1, 20):
+        index.search(spark.createDataFrame([(k, "moon the") for k in range(n)], "query_id int, query string"))
+    assert seen[0] == seen[1] > 0
+
+
 def test_empty_index(spark, tmp_path):
     index = postings.build(spark.createDataFrame([], CHUNKS), str(tmp_path / "p"))
     assert index.n == 0 and index.search(spark.createDataFrame([(1, "moon")], "query_id int, query string")).collect() == []
