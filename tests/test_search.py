@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import random
 import re
+from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -120,6 +122,25 @@ def test_blocks_travel_once_for_all_queries(spark, tmp_path, monkeypatch):
     assert seen[0] == seen[1] > 0
 
 
+def test_mean_idf_does_not_gather_rounding(spark, tmp_path):
+    rows = [(str(k), k, " ".join(f"w{k}x{j}" for j in range(2500)) + " all", "t", 1) for k in range(40)]
+    index = postings.build(spark.createDataFrame(rows, CHUNKS), str(tmp_path / "p"))
+    idf = lambda df: Fraction(math.log(40 - df + 0.5) - math.log(df + 0.5))
+    exact = float((100_000 * idf(1) + idf(40)) / 100_001)
+    assert abs(index.mean_idf - exact) <= 2 * math.ulp(exact)
+
+
+def test_bm25_topk_equals_its_sql_with_null_texts(spark, tmp_path):
+    rows = [(int(c[1:]) if c[1:].isdigit() else s, t) for c, s, t, *_ in texts_of(3, 40)] + [(1000 + k, None) for k in range(9)]
+    tables = {"documents": (rows, "doc_id long, text string"), "benchmark": ([(0, "the moon"), (50, "moon5 zebra 보고"), (100, None)], "item_id long, text string")}
+    con = duckdb.connect()
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["bm25_topk"]).fetchall()
+    assert len(want) == 20 and {tuple(r) for r in queries.bm25_topk(spark, str(tmp_path)).collect()} == set(want)
+
+
 def test_empty_index(spark, tmp_path):
     index = postings.build(spark.createDataFrame([], CHUNKS), str(tmp_path / "p"))
     assert index.n == 0 and index.search(spark.createDataFrame([(1, "moon")], "query_id int, query string")).collect() == []
