@@ -158,7 +158,10 @@ class Shard:
         return spans, {d: sorted(block.item_ids[i] for i in x) for d, x in items.items()}
 
 
-SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+def _replaced(table: pa.Table, name: str, values) -> pa.Table:
+    """The column's new values in its own field: batches of a task must agree to the names inside lists, so every shard keeps what came in."""
+    at = table.schema.get_field_index(name)
+    return table.set_column(at, table.schema.field(at), pa.array(values, table.schema.field(at).type))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[dict]:
@@ -199,10 +202,9 @@ def _pass(blocks: list, text: str, drop: bool, shard_words: int):
                 for d, found in by_doc.items():
                     spans[d] = _merged([(x["first"], x["end"]) for x in spans[d]] + found)
                     items[d] = sorted({*items[d], *of_doc.get(d, ())})
-                table = table.set_column(table.schema.get_field_index("spans"), "spans", pa.array(spans, SPANS))
-                table = table.set_column(table.schema.get_field_index("items"), "items", pa.array(items, pa.list_(pa.string())))
+                table = _replaced(_replaced(table, "spans", spans), "items", items)
             n_words = np.concatenate([np.diff(first) for first, _ in hashed])
-            table = table.set_column(table.schema.get_field_index("n_words"), "n_words", pa.array(n_words, pa.int64()))
+            table = _replaced(table, "n_words", n_words)
             return (table.drop_columns([text]) if drop else table).to_batches()
 
         for piece in slices(batches, text):

@@ -125,6 +125,22 @@ def test_decontamination(spark, docs, rows, empty, monkeypatch):
     assert clean.count() == sum(not plain(r[1])[1] for r in rows)
 
 
+def test_shards_of_one_task_with_and_without_hits(spark):
+    texts = ["nothing of it is here", "and so the benchmark question that nobody has", None, "nor is it here", "the benchmark question that nobody has again", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    items = [(1, "the benchmark question that nobody has"), (2, "question that nobody has again")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a shard is one batch at least
+    try:
+        for block_words in (decontaminate.BLOCK_WORDS, 1):
+            found = decontaminate.decontaminate(docs, bench, block_words=block_words, shard_words=1).collect()
+            have = {r.doc_id: (r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in found}
+            assert have == {0: (5, [], []), 1: (8, [(2, 8)], ["1"]), 2: (0, [], []), 3: (4, [], []), 4: (7, [(0, 7)], ["1", "2"]), 5: (0, [], [])}
+            assert sorted(r.doc_id for r in decontaminate.clean(docs, bench, block_words=block_words, shard_words=1).collect()) == [0, 2, 3, 5]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_quotient_filter_round_trip():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 50, 300, dtype=np.uint64), rng.integers(0, 2**20, 300, dtype=np.uint64)
